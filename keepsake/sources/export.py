@@ -137,8 +137,6 @@ def manifest_lines(
             block("content", 3), block("structure", 3), "    </directoryhash>\n")))
     if references is not None:
         parts += [once(references, 7, "  <references>\n"), once(references, 8, "  </references>\n")]
-        line = _cat("    <hashlistreference>\n", _element("path", F.col("path"), 3),
-                    _element("c4", F.col("c4"), 3), "    </hashlistreference>\n")
         of_path = references.withColumnRenamed("path", "__path")
         parts.append(
             of_path.select(
