@@ -41,13 +41,16 @@ def path_lists(
 
 
 def human_size(size: Column) -> Column:
+    """Decimal units with one digit; exact ties round to even."""
     value = size.cast("double")
-    out = F.concat(F.format_number(value / 1e15, "0.0"), F.lit(" PB"))
+
+    def scaled(power: int) -> Column:
+        number = F.call_function("format_number", value / 1000.0**power, F.lit("0.0"))
+        return F.concat(number, F.lit(f" {UNITS[power]}"))
+
+    out = scaled(5)
     for power in range(4, 0, -1):
-        out = F.when(
-            F.abs(value) < 1000.0 ** (power + 1),
-            F.concat(F.format_number(value / 1000.0**power, "0.0"), F.lit(f" {UNITS[power]}")),
-        ).otherwise(out)
+        out = F.when(F.abs(value) < 1000.0 ** (power + 1), scaled(power)).otherwise(out)
     out = F.when(F.abs(value) < 1000, F.concat(size.cast("string"), F.lit(" B"))).otherwise(out)
     return F.when(size.isNull(), "-").otherwise(out)
 

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-from keepsake.plans import history_queries, report_queries, scan_queries  # noqa: F401
+from keepsake.plans import (  # noqa: F401
+    history_queries,
+    report_queries,
+    scan_queries,
+    source_queries,
+)
 from keepsake.plans.registry import all_queries, all_sql  # noqa: F401

@@ -112,8 +112,7 @@ select event_id + 1 as id, user_id as project_id,
        cast(floor(value) as bigint) as files_done, 20 as files_total
 from events""",
     "fx_requests": """
-select *, event_id_mod = 0 as bypass_hours
-from (select j.*, id % 6 as event_id_mod from fx_jobs j) x""",
+select j.*, id % 7 = 0 as bypass_hours from fx_jobs j""",
     "fx_decisions": """
 select id, case id % 8 when 0 then 'seal' when 1 then 'cancel' when 2 then 'start_now'
            when 3 then 'verify_now' when 4 then 'update_now' when 5 then 'accept'
