@@ -7,5 +7,6 @@ from keepsake.plans import (  # noqa: F401
     report_queries,
     scan_queries,
     source_queries,
+    stream_queries,
 )
 from keepsake.plans.registry import all_queries, all_sql  # noqa: F401
