@@ -2,7 +2,8 @@
 
 Each takes tables and gives tables: the entries of the new generations, the rows that replace the
 sealed ones, what goes to review, and one outcome per project. Projects that must not be written
-are split off by an anti-join before anything is recorded for them.
+are split off by an anti-join before anything is recorded for them. What several results of a job
+need (its problems, its new entries) is staged once instead of being computed for each of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.config import ORIGIN_FORMATS, PRIMARY_FORMAT
 from keepsake.functions.text import path_lists
 from keepsake.operators import diff, generations, origin, verify
+from keepsake.session import stage
 
 BY = ("project",)
 
@@ -92,12 +94,14 @@ def seal(
     ``files`` are the present files, ``digests`` ``(project, rel_path, fmt, digest)`` of them,
     ``expected`` the merged origin digests, ``history`` earlier entries with ``generation_no``.
     """
-    problems = origin.origin_problems(expected, files, digests, by=by)
-    origin_reasons = _origin_reasons(problems, by)
+    problems = stage(origin.origin_problems(expected, files, digests, by=by))
+    origin_reasons = stage(_origin_reasons(problems, by))
     clean = digests.join(origin_reasons.select(*by), list(by), "left_anti")
-    actions = generations.assign_actions(
-        _with_inherited(clean, expected, by), history, F.col("inherited"), by
-    ).drop("inherited")
+    actions = stage(
+        generations.assign_actions(
+            _with_inherited(clean, expected, by), history, F.col("inherited"), by
+        ).drop("inherited")
+    )
     clean_files = files.join(origin_reasons.select(*by), list(by), "left_anti")
     gone = (
         history.select(*by, "rel_path")
@@ -106,7 +110,7 @@ def seal(
         .join(files.select(*by, "rel_path"), [*by, "rel_path"], "left_anti")
     )
     failed = actions.where(F.col("problem").isNotNull()).select(*by, "rel_path")
-    history_reasons = _history_reasons(failed.unionByName(gone), by)
+    history_reasons = stage(_history_reasons(failed.unionByName(gone), by))
     reasons = origin_reasons.unionByName(history_reasons)
     entries = actions.join(history_reasons.select(*by), list(by), "left_anti").drop("problem")
     written = clean_files.join(history_reasons.select(*by), list(by), "left_anti")
@@ -128,8 +132,8 @@ def append(
     by: Sequence[str] = BY,
 ) -> Result:
     """A partial generation with the added files; anything modified or deleted goes to review."""
-    rows = diff.diff_against_sealed(files, sealed, by)
-    diff_reasons = diff.review_reason(rows, by)
+    rows = stage(diff.diff_against_sealed(files, sealed, by).where("change <> 'unchanged'"))
+    diff_reasons = stage(diff.review_reason(rows, by))
     added = (
         rows.where(F.col("change") == "added")
         .join(diff_reasons.select(*by), list(by), "left_anti")
@@ -138,8 +142,8 @@ def append(
     )
     scoped = origin.append_scope(expected, added.withColumn("change", F.lit("added")), by)
     new_digests = digests.join(added.select(*by, "rel_path"), [*by, "rel_path"], "left_semi")
-    problems = origin.origin_problems(scoped, added, new_digests, by=by)
-    origin_reasons = _origin_reasons(problems, by)
+    problems = stage(origin.origin_problems(scoped, added, new_digests, by=by))
+    origin_reasons = stage(_origin_reasons(problems, by))
     reasons = diff_reasons.unionByName(origin_reasons)
     kept = added.join(origin_reasons.select(*by), list(by), "left_anti")
     entries = generations.partial_generation(
@@ -180,7 +184,7 @@ def accept_new_version(
     Origin problems only cost the files concerned their origin formats. Also gives the old
     generations with ``superseded_at``.
     """
-    problems = origin.origin_problems(expected, files, digests, by=by)
+    problems = stage(origin.origin_problems(expected, files, digests, by=by))
     kept = origin.accept_overrides(digests, problems, by)
     nothing = digests.limit(0).withColumn("generation_no", F.lit(0))
     entries = generations.assign_actions(
@@ -208,13 +212,15 @@ def verify_projects(
     A clean project gets a full generation and ``last_verified_at``; a problem writes nothing.
     Also gives the result row of every file.
     """
-    results = verify.compare_for_verify(sealed, current, by)
-    reasons = verify.verify_reason(results, by)
+    results = stage(verify.compare_for_verify(sealed, current, by))
+    reasons = stage(verify.verify_reason(results, by))
     clean = current.join(reasons.select(*by), list(by), "left_anti")
     given = clean.select(*by, "rel_path", F.lit(fmt).alias("fmt"), "digest")
-    actions = generations.assign_actions(given, history, (), by)
-    disagreeing = _history_reasons(actions.where(F.col("problem").isNotNull()), by).select(
-        *by, F.concat(F.lit("verification: "), "review_reason").alias("review_reason")
+    actions = stage(generations.assign_actions(given, history, (), by))
+    disagreeing = stage(
+        _history_reasons(actions.where(F.col("problem").isNotNull()), by).select(
+            *by, F.concat(F.lit("verification: "), "review_reason").alias("review_reason")
+        )
     )
     entries = actions.join(disagreeing.select(*by), list(by), "left_anti").drop("problem")
     written = clean.join(disagreeing.select(*by), list(by), "left_anti")
