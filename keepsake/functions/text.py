@@ -23,10 +23,20 @@ def lookup(key: Column, table: Mapping[str, object], default: object = None) ->
 
 
 def path_lists(
-    df: DataFrame, by: Sequence[str], path: str = "rel_path", n: int = LISTED_PATHS
+    df: DataFrame,
+    by: Sequence[str],
+    path: str = "rel_path",
+    n: int = LISTED_PATHS,
+    **measures: Column,
 ) -> DataFrame:
-    """Per key: ``n_paths`` and ``listed``, the first ``n`` paths and how many more there are."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_paths"))
+    """Per key: ``n_paths``, ``listed`` (the first ``n`` paths and how many more) and ``measures``.
+
+    Counts are combined before their shuffle and the paths cut to ``n`` per task before theirs, so
+    a key with a third of the rows costs no more than any other.
+    """
+    counts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_paths"), *[m.alias(name) for name, m in measures.items()]
+    )
     shown = (
         first_rows(df.select(*by, path), by, [path], n)
         .groupBy(*by)

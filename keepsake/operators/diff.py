@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.config import HELD_STATES, LISTED_PATHS, MTIME_TOLERANCE_NS
+from keepsake.config import HELD_STATES, MTIME_TOLERANCE_NS
 from keepsake.functions.text import counted, joined, path_lists
 
 BY = ("project",)
@@ -163,15 +163,16 @@ def unsealed_files(current: DataFrame, sealed: DataFrame, by: Sequence[str] = BY
 def review_reason(diff: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """``review_reason`` per project with a modified or deleted path."""
     bad = diff.where(F.col("change").isin("modified", "deleted"))
-    counts = bad.groupBy(*by).agg(
-        F.count_if(F.col("change") == "modified").alias("modified"),
-        F.count_if(F.col("change") == "deleted").alias("deleted"),
+    lists = path_lists(
+        bad,
+        by,
+        modified=F.count_if(F.col("change") == "modified"),
+        deleted=F.count_if(F.col("change") == "deleted"),
     )
-    lists = path_lists(bad, by, n=LISTED_PATHS).drop("n_paths")
     head = joined(
         [counted(F.col("modified"), "modified"), counted(F.col("deleted"), "deleted")], " and "
     )
-    return counts.join(lists, list(by)).select(
+    return lists.select(
         *by,
         F.concat(head, F.lit(" since the last seal: "), F.col("listed")).alias("review_reason"),
     )

@@ -66,7 +66,9 @@ def balance_by_bytes(
     order = [*by, "rel_path"]
     summed = running(files, [], order, __before=Running("sum", F.col("size"), "before"))
     bucket = F.floor(F.coalesce("__before", F.lit(0)) / F.lit(bucket_bytes)).cast("bigint")
-    return summed.withColumn("bucket", bucket).drop("__before").repartition("bucket")
+    placed = summed.withColumn("bucket", bucket).drop("__before")
+    buckets = (placed.agg(F.max("bucket")).first()[0] or 0) + 1
+    return placed.repartitionByRange(buckets, "bucket")
 
 
 def read_once(path: str, formats: Sequence[str]) -> tuple[str, str | None, int, int, dict]:

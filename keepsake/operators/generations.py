@@ -248,11 +248,17 @@ def current_from_history(
     last_full = generations.groupBy(*by).agg(
         F.coalesce(F.max(F.when(F.col("is_full"), F.col("generation_no"))), F.lit(0)).alias("since")
     )
-    live = entries.join(last_full, list(by)).where(F.col("generation_no") >= F.col("since"))
-    latest = live.groupBy(*by, "rel_path").agg(
+    # The latest entry decides, so paths are reduced first, spread by path; a join on the project
+    # before that would gather each project in one task.
+    latest = entries.groupBy(*by, "rel_path").agg(
         F.max(F.struct("generation_no", "digest")).alias("last")
     )
-    return latest.select(*by, "rel_path", "last.generation_no", "last.digest")
+    return (
+        latest.select(*by, "rel_path", "last.generation_no", "last.digest")
+        .join(last_full, list(by))
+        .where(F.col("generation_no") >= F.col("since"))
+        .drop("since")
+    )
 
 
 def orphan_manifests(

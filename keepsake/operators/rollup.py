@@ -22,6 +22,7 @@ from keepsake.session import stage, stage_table
 HEX_FORMATS = ("xxh128", "xxh64", "xxh3", "md5", "sha1")
 SMALL_FOLDER = 10_000
 RUN = 256  # child hashes per packed row of a large folder
+BROADCAST_FOLDERS = 100_000  # large folders of one level that are still broadcast
 
 
 def _named(name: Column, child: Column, fmt: str) -> Column:
@@ -72,19 +73,23 @@ def directory_hashes(
         .select(*by, "folder", folder_depth.alias("depth"))
     )
     deepest = children.agg(F.max("depth")).first()[0]
-    large_depths = {r[0] for r in large.select("depth").distinct().collect()}
+    large_at = {r["depth"]: r["count"] for r in large.groupBy("depth").count().collect()}
     done: DataFrame | None = None
     below: DataFrame | None = None
     for level in range(deepest if deepest is not None else -1, -1, -1):
         items = children.where(F.col("depth") == level).drop("depth")
         if below is not None:
             items = items.unionByName(below)
-        if level in large_depths:
+        if level in large_at:
             mark = large.where(F.col("depth") == level).drop("depth")
-            hashed = _hash_small(items.join(mark, [*by, "folder"], "left_anti"), fmt, by)
-            hashed = hashed.unionByName(
-                _hash_large(items.join(mark, [*by, "folder"], "left_semi"), fmt, by)
-            )
+            if large_at[level] <= BROADCAST_FOLDERS:
+                mark = F.broadcast(mark)
+            few = items.join(mark, [*by, "folder"], "left_anti")
+            if large_at[level] > BROADCAST_FOLDERS:
+                # A shuffle of its own lets the join before it split a crowded folder.
+                few = few.repartition(*[F.col(c) for c in (*by, "folder")])
+            many = items.join(mark, [*by, "folder"], "left_semi")
+            hashed = _hash_small(few, fmt, by).unionByName(_hash_large(many, fmt, by))
         else:
             hashed = _hash_small(items, fmt, by)
         hashed = stage(hashed)

@@ -57,13 +57,10 @@ def problems(results: DataFrame) -> DataFrame:
 def verify_reason(results: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """``review_reason`` per project with a problem."""
     bad = problems(results)
-    counts = bad.groupBy(*by).agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in VERIFY_PROBLEMS]
-    )
-    lists = path_lists(bad, by).drop("n_paths")
+    lists = path_lists(bad, by, **{s: F.count_if(F.col("status") == s) for s in VERIFY_PROBLEMS})
     heads = joined([counted(F.col(s), s) for s in VERIFY_PROBLEMS], ", ")
     text = F.concat(F.lit(f"{VERIFICATION_PREFIX} "), heads, F.lit("; files: "), F.col("listed"))
-    return counts.join(lists, list(by)).select(*by, text.alias("review_reason"))
+    return lists.select(*by, text.alias("review_reason"))
 
 
 def verify_counts(results: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -113,21 +110,34 @@ def verify_eligible(projects: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def verify_report(results: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Problem and added rows of each project's latest run, with the count of good files.
+    """Each project's latest run: a row per problem or added file, and one with the good ones.
 
-    ``results`` has ``run``. The latest run is found by an aggregate over the run column and
-    joined back, so no project is windowed as a whole.
+    ``results`` has ``run``. Counts per run are combined before they are shuffled and only rows
+    worth showing meet the latest run, so no project's files are gathered in one task.
     """
-    latest = results.groupBy(*by).agg(F.max("run").alias("run"))
-    rows = results.join(latest, [*by, "run"])
-    ok = rows.groupBy(*by, "run").agg(F.count_if(F.col("status") == "ok").alias("ok_files"))
+    counts = results.groupBy(*by, "run").agg(F.count_if(F.col("status") == "ok").alias("files"))
+    latest = counts.groupBy(*by).agg(F.max(F.struct("run", "files")).alias("last"))
+    latest = latest.select(*by, "last.run", "last.files")
     rank = (
         F.when(F.col("status") == "corrupt", 0)
         .when(F.col("status") == "modified", 1)
         .when(F.col("status") == "missing", 2)
         .otherwise(3)
     )
-    shown = rows.where(F.col("status") != "ok").select(
-        *by, "run", "status", rank.alias("rank"), "rel_path"
+    shown = (
+        results.where(F.col("status") != "ok")
+        .join(latest.select(*by, "run"), [*by, "run"], "left_semi")
+        .select(
+            *by, "run", "status", rank.alias("rank"), "rel_path", F.lit(1).cast("bigint")
+            .alias("files"),
+        )
+    )
+    good = latest.select(
+        *by,
+        "run",
+        F.lit("ok").alias("status"),
+        F.lit(4).alias("rank"),
+        F.lit(None).cast("string").alias("rel_path"),
+        "files",
     )
-    return ok.join(shown, [*by, "run"], "left").orderBy(*by, "rank", "rel_path")
+    return shown.unionByName(good).orderBy(*by, "rank", "rel_path")

@@ -8,7 +8,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from keepsake.operators.running import number_rows
 from keepsake.schemas import TABLES
-from keepsake.session import prepare
+from keepsake.session import prepare, stage
 
 NOW = "timestamp '1998-06-01 12:00:00'"
 
@@ -194,6 +194,8 @@ class Fixtures:
                 df = self._generations()
             else:
                 df = self.spark.sql(VIEWS[view])
+            if view == "fx_gen_files":  # a stored table anywhere but here; read several times
+                df = stage(df)
             df.createOrReplaceTempView(view)
         return self.spark.table(name)
 

@@ -287,10 +287,10 @@ acted as (
 def assign_actions(fx: Fixtures) -> DataFrame:
     """The newest generation of each project against all earlier ones, with two more formats."""
     files = fx["fx_gen_files"]
-    newest = files.groupBy("project_id").agg(F.max("generation_no").alias("g"))
-    rows = files.join(newest, "project_id")
-    last = rows.where(F.col("generation_no") == F.col("g"))
-    history = rows.where(F.col("generation_no") < F.col("g")).select(
+    newest = files.groupBy("project_id").agg(F.max("generation_no").alias("generation_no"))
+    one = ["project_id", "generation_no"]
+    last = files.join(newest, one, "left_semi")
+    history = files.join(newest, one, "left_anti").select(
         "project_id", "rel_path", "generation_no", F.lit("md5").alias("fmt"), "digest"
     )
 

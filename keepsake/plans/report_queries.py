@@ -128,13 +128,14 @@ def verify_review_items(fx: Fixtures) -> DataFrame:
 
 @query(
     BOTH,
-    """select o.project, o.run, o.ok_files, r.status,
-              case r.status when 'corrupt' then 0 when 'modified' then 1 when 'missing' then 2
-                   when 'added' then 3 end as rank, r.rel_path
-       from (select project, case when project = 'src5' then 1 else 2 end as run,
-                    count(*) filter (project = 'src5' or status = 'ok') as ok_files
-             from results group by 1) o
-       left join results r on r.project = o.project and o.run = 2 and r.status <> 'ok'""",
+    """select project, 2 as run, status,
+              case status when 'corrupt' then 0 when 'modified' then 1 when 'missing' then 2 else 3 end
+                as rank, rel_path, cast(1 as bigint) as files
+       from results where project <> 'src5' and status <> 'ok'
+       union all
+       select project, case when project = 'src5' then 1 else 2 end, 'ok', 4, null,
+              count(*) filter (project = 'src5' or status = 'ok')
+       from results group by 1""",
     ctes=RESULTS,
 )
 def verify_report(fx: Fixtures) -> DataFrame:

@@ -1,12 +1,15 @@
 """Manifest and chain files from history tables.
 
-Spark renders and sorts the lines; each file is written by the task its lines meet in, one line
-at a time, so the size of a manifest does not matter to memory.
+Spark renders the lines, range-partitions and sorts them; each task joins its run of a file's
+lines into one part, and one task per file copies the parts in order. The rows of a huge manifest
+are never gathered: what passes through its last task are bytes, block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 from keepsake.config import CHAIN_FILE, CHAIN_NAMESPACE, HISTORY_DIR, MANIFEST_NAMESPACE
 from keepsake.functions.hashing import c4_text
 from keepsake.functions.times import iso_text
-from keepsake.sources.storage import replacing
+from keepsake.session import new_folder, stage
+from keepsake.sources.storage import open_read, open_write, replacing
 
 BY = ("project",)
 _HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
@@ -169,30 +173,78 @@ def chain_lines(chain: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     )
 
 
+INLINE = 256 * 1024  # bytes of a part that travel in the row; a longer part is a file
+_PART = "path string, section int, key string, data binary, part string"
+
+
 def write_lines(lines: DataFrame, folder: str) -> DataFrame:
-    """Write each ``path`` below ``folder``; gives ``(path, bytes, c4)`` of the files."""
+    """Write each ``path`` below ``folder``; gives ``(path, bytes, c4)`` of the files.
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def by_file() -> Iterator[tuple[str, bytes]]:
-            for batch in batches:
-                for path, line in zip(batch["path"], batch["line"], strict=True):
-                    yield path, line.encode()
-
-        rest = by_file()
-        ahead = next(rest, None)
-        while ahead is not None:
-            path, total, state = ahead[0], 0, hashlib.sha512()
+    Lines are ordered by ``(path, section, key)``. Parts longer than :data:`INLINE` lie in the
+    shared folder until it is cleared.
+    """
+    aside = new_folder(lines.sparkSession, "parts")
+
+    def join_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "section", "key", "data", "part"]
+        head, held, size, out, name = None, [], 0, None, None
+
+        def close() -> pd.DataFrame:
+            nonlocal out
+            data = b"".join(held)
+            if out is None:
+                return pd.DataFrame([[*head, data, None]], columns=columns)
+            out.write(data)
+            out.close()
+            out = None
+            return pd.DataFrame([[*head, None, name]], columns=columns)
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if head is None or row.path != head[0]:
+                    if head is not None:
+                        yield close()
+                    head, held, size = (row.path, row.section, row.key), [], 0
+                line = row.line.encode()
+                held.append(line)
+                size += len(line)
+                if size > INLINE:
+                    if out is None:
+                        name = f"{aside}/{uuid.uuid4().hex}"
+                        out = open_write(name)
+                    out.write(b"".join(held))
+                    held, size = [], 0
+        if head is not None:
+            yield close()
+
+    def copy_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = (row for batch in batches for row in batch.itertuples(index=False))
+        for path, parts in itertools.groupby(rest, key=lambda row: row.path):
+            total, state = 0, hashlib.sha512()
             with replacing(f"{folder}/{path}") as out:
-                while ahead is not None and ahead[0] == path:
-                    out.write(ahead[1])
-                    state.update(ahead[1])
-                    total += len(ahead[1])
-                    ahead = next(rest, None)
-            yield pd.DataFrame([[path, total, c4_text(state.digest())]],
-                               columns=["path", "bytes", "c4"])
-
-    placed = lines.repartition("path").sortWithinPartitions("path", "section", "key")
-    return placed.select("path", "line").mapInPandas(write, "path string, bytes bigint, c4 string")
+                for row in parts:
+                    for block in _blocks(row.data, row.part):
+                        out.write(block)
+                        state.update(block)
+                        total += len(block)
+            yield pd.DataFrame(
+                [[path, total, c4_text(state.digest())]], columns=["path", "bytes", "c4"]
+            )
+
+    order = ["path", "section", "key"]
+    runs = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stage(runs.select(*order, "line").mapInPandas(join_lines, _PART))
+    placed = parts.repartition("path").sortWithinPartitions(*order)
+    return placed.mapInPandas(copy_parts, "path string, bytes bigint, c4 string")
+
+
+def _blocks(data: bytes | None, part: str | None) -> Iterator[bytes]:
+    if part is None:
+        yield data
+        return
+    with open_read(part) as source:
+        while block := source.read(8 * 1024 * 1024):
+            yield block
 
 
 def write_contents(files: DataFrame, folder: str) -> DataFrame:

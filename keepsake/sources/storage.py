@@ -34,6 +34,17 @@ def open_read(path: str) -> BinaryIO:
     return system.open_input_stream(name)
 
 
+def open_write(path: str) -> BinaryIO:
+    """A new file under a name nobody else uses."""
+    local = local_path(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    system, name = _remote(path)
+    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(name)
+
+
 def stat_of(path: str) -> tuple[int, int]:
     """``(size, mtime_ns)``."""
     local = local_path(path)
