@@ -605,6 +605,18 @@ legacy_reasons as (
   group by project)"""
 
 
+def _read_rows(fx: Fixtures, expected: DataFrame) -> DataFrame:
+    """Digests of a read: the primary format of every file, and what its origin recorded.
+
+    The views carry one digest per file; it stands for both.
+    """
+    current = fx["fx_current"].select("project", "rel_path", "digest")
+    listed = expected.select("project", "rel_path", "fmt")
+    return current.withColumn("fmt", F.lit("xxh128")).unionByName(
+        current.join(listed, ["project", "rel_path"])
+    )
+
+
 def _jobs_expected(fx: Fixtures) -> DataFrame:
     """Half of the projects came with origin manifests."""
     return _expected(fx).where(LATER)
@@ -621,21 +633,26 @@ def _jobs_expected(fx: Fixtures) -> DataFrame:
 def seal(fx: Fixtures) -> DataFrame:
     current = fx["fx_current"]
     history = _md5_rows(current.limit(0)).withColumn("generation_no", F.lit(1))
-    return jobs.seal(current, _md5_rows(current), _jobs_expected(fx), history, "md5").outcome
+    expected = _jobs_expected(fx)
+    return jobs.seal(current, _read_rows(fx, expected), expected, history).outcome
 
 
 @query(
     FILES,
-    """select c.project, c.rel_path, 'md5' as fmt, c.digest, 'original' as action
+    """select c.project, c.rel_path, 'xxh128' as fmt, c.digest, 'original' as action
        from fx_current c
        where c.project not in (select project from legacy_reasons)
-         and c.project not in (select project from expected)""",
+       union all
+       select c.project, c.rel_path, 'md5', c.digest, 'verified'
+       from fx_current c join expected e on e.project = c.project and e.rel_path = c.rel_path
+       where c.project not in (select project from legacy_reasons)""",
     ctes=NORMAL + "," + SEAL,
 )
 def seal_entries(fx: Fixtures) -> DataFrame:
     current = fx["fx_current"]
     history = _md5_rows(current.limit(0)).withColumn("generation_no", F.lit(1))
-    return jobs.seal(current, _md5_rows(current), _jobs_expected(fx), history, "md5").entries
+    expected = _jobs_expected(fx)
+    return jobs.seal(current, _read_rows(fx, expected), expected, history).entries
 
 
 APPEND = """
@@ -703,11 +720,9 @@ def _kept_record(fx: Fixtures) -> DataFrame:
     ctes=NORMAL + "," + APPEND,
 )
 def append(fx: Fixtures) -> DataFrame:
-    current, sealed = fx["fx_current"], _kept_record(fx)
+    current, sealed, expected = fx["fx_current"], _kept_record(fx), _expected(fx)
     history = _md5_rows(sealed).withColumn("generation_no", F.lit(1))
-    return jobs.append(
-        current, sealed, _md5_rows(current), _expected(fx), history, "md5"
-    ).outcome
+    return jobs.append(current, sealed, _read_rows(fx, expected), expected, history).outcome
 
 
 @query(
@@ -728,7 +743,8 @@ def accept_new_version(fx: Fixtures) -> DataFrame:
         .distinct()
         .withColumns({"generation_no": F.lit(1), "superseded_at": F.lit(None).cast("timestamp")})
     )
+    expected = _jobs_expected(fx)
     result, _ = jobs.accept_new_version(
-        current, _md5_rows(current), _jobs_expected(fx), old, now(), "md5"
+        current, _read_rows(fx, expected), expected, old, now()
     )
     return result.outcome

@@ -48,15 +48,34 @@ def _origin_reasons(problems: DataFrame, by: Sequence[str]) -> DataFrame:
         F.lit(" files do not match their legacy MHL 1.x: "),
         F.col("listed"),
     )
-    return path_lists(problems, by).select(*by, text.alias("review_reason"))
+    return _review(path_lists(problems, by).select(*by, text.alias("review_reason")))
+
+
+# What a history can have against a new generation, the first one found decides.
+_OBJECTIONS = (
+    ("missing", "needs_review", "files recorded in the history are missing: "),
+    ("hash mismatch", "needs_review", "hash mismatch (review, not a generation): "),
+    ("none of the recorded formats was given", "error", "none of the recorded formats was given: "),
+    ("at least one format must be original", "error", "at least one format must be original: "),
+)
 
 
 def _history_reasons(bad: DataFrame, by: Sequence[str]) -> DataFrame:
-    text = F.concat(
-        F.lit("hash mismatch (review, not a generation): "), F.col("listed")
-    )
-    return path_lists(bad.select(*by, "rel_path").distinct(), by).select(
-        *by, text.alias("review_reason")
+    """Why a project's history stops a generation, and the state that leads to.
+
+    ``bad`` has ``rel_path`` and ``problem``.
+    """
+    problem = F.col("problem")
+    rank, state, text = (F.lit(None).cast(t) for t in ("int", "string", "string"))
+    for n, (name, leads_to, head) in enumerate(_OBJECTIONS):
+        rank = F.when(problem == name, n).otherwise(rank)
+        state = F.when(F.col("rank") == n, leads_to).otherwise(state)
+        text = F.when(F.col("rank") == n, head).otherwise(text)
+    ranked = bad.select(*by, "rel_path", rank.alias("rank")).distinct()
+    first = ranked.groupBy(*by).agg(F.min("rank").alias("rank"))
+    lists = path_lists(ranked.join(first, [*by, "rank"], "left_semi"), [*by, "rank"])
+    return lists.select(
+        *by, F.concat(text, "listed").alias("review_reason"), state.alias("blocked")
     )
 
 
@@ -64,18 +83,21 @@ def _outcome(files: DataFrame, reasons: DataFrame, by: Sequence[str], **extra: C
     totals = files.groupBy(*by).agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("bytes")
     )
-    blocked = F.col("review_reason").isNotNull()
     return totals.join(reasons, list(by), "left").select(
         *by,
-        F.when(blocked, "needs_review").otherwise("sealed").alias("state"),
+        F.coalesce("blocked", F.lit("sealed")).alias("state"),
         "review_reason",
-        (~blocked).alias("writes_generation"),
+        F.col("blocked").isNull().alias("writes_generation"),
         "files",
         "bytes",
         *[c.alias(n) for n, c in extra.items()],
     )
 
 
+def _review(reasons: DataFrame) -> DataFrame:
+    return reasons.withColumn("blocked", F.lit("needs_review"))
+
+
 def _sealed_rows(files: DataFrame, digests: DataFrame, primary: str, by: Sequence[str]) -> DataFrame:
     own = digests.where(F.col("fmt") == primary).select(*by, "rel_path", "digest")
     return files.select(*by, "rel_path", "size", "mtime_ns").join(own, [*by, "rel_path"])
@@ -109,7 +131,8 @@ def seal(
         .join(clean_files.select(*by).distinct(), list(by), "left_semi")
         .join(files.select(*by, "rel_path"), [*by, "rel_path"], "left_anti")
     )
-    failed = actions.where(F.col("problem").isNotNull()).select(*by, "rel_path")
+    gone = gone.withColumn("problem", F.lit("missing"))
+    failed = actions.where(F.col("problem").isNotNull()).select(*by, "rel_path", "problem")
     history_reasons = stage(_history_reasons(failed.unionByName(gone), by))
     reasons = origin_reasons.unionByName(history_reasons)
     entries = actions.join(history_reasons.select(*by), list(by), "left_anti").drop("problem")
@@ -133,7 +156,7 @@ def append(
 ) -> Result:
     """A partial generation with the added files; anything modified or deleted goes to review."""
     rows = stage(diff.diff_against_sealed(files, sealed, by).where("change <> 'unchanged'"))
-    diff_reasons = stage(diff.review_reason(rows, by))
+    diff_reasons = stage(_review(diff.review_reason(rows, by)))
     added = (
         rows.where(F.col("change") == "added")
         .join(diff_reasons.select(*by), list(by), "left_anti")
@@ -144,11 +167,16 @@ def append(
     new_digests = digests.join(added.select(*by, "rel_path"), [*by, "rel_path"], "left_semi")
     problems = stage(origin.origin_problems(scoped, added, new_digests, by=by))
     origin_reasons = stage(_origin_reasons(problems, by))
-    reasons = diff_reasons.unionByName(origin_reasons)
     kept = added.join(origin_reasons.select(*by), list(by), "left_anti")
-    entries = generations.partial_generation(
-        _with_inherited(new_digests, scoped, by), kept, history, F.col("inherited"), by
-    ).drop("inherited", "problem", "is_full")
+    actions = stage(
+        generations.partial_generation(
+            _with_inherited(new_digests, scoped, by), kept, history, F.col("inherited"), by
+        ).drop("inherited", "is_full")
+    )
+    history_reasons = stage(_history_reasons(actions.where(F.col("problem").isNotNull()), by))
+    kept = kept.join(history_reasons.select(*by), list(by), "left_anti")
+    entries = actions.join(history_reasons.select(*by), list(by), "left_anti").drop("problem")
+    reasons = diff_reasons.unionByName(origin_reasons).unionByName(history_reasons)
     new_rows = _sealed_rows(kept, digests, primary, by)
     old_rows = sealed.select(*by, "rel_path", "size", "mtime_ns", "digest")
     counts = added.groupBy(*by).agg(F.count(F.lit(1)).alias("__added"))
@@ -191,7 +219,7 @@ def accept_new_version(
         _with_inherited(kept, expected, by), nothing, F.col("inherited"), by
     ).drop("inherited", "problem")
     warnings = problems.groupBy(*by).agg(F.count(F.lit(1)).alias("overridden"))
-    none = files.limit(0).select(*by, F.lit("").alias("review_reason"))
+    none = _review(files.limit(0).select(*by, F.lit("").alias("review_reason")))
     outcome = _outcome(files, none, by).join(warnings, list(by), "left").withColumn(
         "overridden", F.coalesce("overridden", F.lit(0))
     )
@@ -213,13 +241,13 @@ def verify_projects(
     Also gives the result row of every file.
     """
     results = stage(verify.compare_for_verify(sealed, current, by))
-    reasons = stage(verify.verify_reason(results, by))
+    reasons = stage(_review(verify.verify_reason(results, by)))
     clean = current.join(reasons.select(*by), list(by), "left_anti")
     given = clean.select(*by, "rel_path", F.lit(fmt).alias("fmt"), "digest")
     actions = stage(generations.assign_actions(given, history, (), by))
     disagreeing = stage(
-        _history_reasons(actions.where(F.col("problem").isNotNull()), by).select(
-            *by, F.concat(F.lit("verification: "), "review_reason").alias("review_reason")
+        _history_reasons(actions.where(F.col("problem").isNotNull()), by).withColumn(
+            "review_reason", F.concat(F.lit("verification: "), "review_reason")
         )
     )
     entries = actions.join(disagreeing.select(*by), list(by), "left_anti").drop("problem")

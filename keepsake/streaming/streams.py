@@ -65,21 +65,39 @@ def apply_scans(
     )
     if fresh.isEmpty():
         return
-    newest = fresh.groupBy("archive_id").agg(F.max("scan_id").alias("scan_id"))
-    earlier = (
+    newest = fresh.groupBy("archive_id").agg(F.max("scan_id").alias("newest"))
+    both = (
         fresh.unionByName(applied.select("archive_id", "scan_id"))
-        .join(newest.select("archive_id", F.col("scan_id").alias("newest")), "archive_id")
-        .where(F.col("scan_id") < F.col("newest"))
-        .groupBy("archive_id")
-        .agg(F.max("scan_id").alias("scan_id"))
+        .join(newest, "archive_id")
+        .groupBy("archive_id", "newest")
+        .agg(F.max(F.when(F.col("scan_id") < F.col("newest"), F.col("scan_id"))).alias("earlier"))
+    )
+    scans = stage(both)  # one row per archive
+    low = F.coalesce("earlier", "newest")
+    span = scans.agg(
+        F.min(low), F.max("newest"), F.min("archive_id"), F.max("archive_id")
+    ).first()
+    # Constants prune the snapshot partitions; a join alone would list every scan ever landed.
+    snapshots = snapshots.where(
+        F.col("scan_id").between(span[0], span[1])
+        & F.col("archive_id").between(span[2], span[3])
+    )
+    current = snapshots.join(
+        scans.select("archive_id", F.col("newest").alias("scan_id")),
+        ["archive_id", "scan_id"],
+        "left_semi",
+    )
+    previous = snapshots.join(
+        scans.select("archive_id", F.col("earlier").alias("scan_id")),
+        ["archive_id", "scan_id"],
+        "left_semi",
     )
-    key = ["archive_id", "scan_id"]
-    current = snapshots.join(newest, key, "left_semi")
-    previous = snapshots.join(earlier, key, "left_semi")
     readable = current.where(F.col("error").isNull())
-    record = sealed.join(newest.select("archive_id"), "archive_id", "left_semi")
-    summary = diff.settled(
-        diff.diff_summary(readable, record, previous, SCAN_KEY), now_ns, settle_hours
+    record = sealed.join(scans.select("archive_id"), "archive_id", "left_semi")
+    summary = stage(
+        diff.settled(
+            diff.diff_summary(readable, record, previous, SCAN_KEY), now_ns, settle_hours
+        )
     )
     rows = diff.diff_against_sealed(readable, record, SCAN_KEY)
     broken = diff.scan_health(current, SCAN_KEY).select(
@@ -87,8 +105,8 @@ def apply_scans(
     )
     known = store.read("projects")
     first_scan = [*SCAN_KEY, "state", "preexisting", "review_reason", "last_generation_no"]
-    seen = readable.select(*SCAN_KEY).distinct()
-    ever_sealed = record.select(*SCAN_KEY).distinct().withColumn("__sealed", F.lit(1))
+    seen = summary.where(F.col("files") > 0)
+    recorded = F.col("unchanged") + F.col("modified") + F.col("deleted") > 0
     if known is None:
         known = seen.limit(0).select(
             *SCAN_KEY,
@@ -101,22 +119,19 @@ def apply_scans(
     new = (
         seen.join(known.select(*SCAN_KEY), list(SCAN_KEY), "left_anti")
         .join(archives, "archive_id", "left")
-        .join(ever_sealed, list(SCAN_KEY), "left")
         .select(
             *SCAN_KEY,
             F.lit("unsealed").alias("state"),
             F.col("__known").isNull().alias("preexisting"),
             F.lit(None).cast("string").alias("review_reason"),
-            F.col("__sealed").alias("last_generation_no"),
+            F.when(recorded, 1).alias("last_generation_no"),
         )
     )
     projects = known.select(*first_scan).unionByName(new)
     decided = diff.classify(projects, summary, diff.review_reason(rows, SCAN_KEY), SCAN_KEY)
-    listed = summary.where(F.col("files") > 0).select(
-        *SCAN_KEY, F.lit(True).alias("__listed"), "settled"
-    )
+    listed = seen.select(*SCAN_KEY, F.lit(True).alias("__listed"), "settled")
     decided = decided.join(listed, list(SCAN_KEY), "left").join(broken, list(SCAN_KEY), "left")
-    touched = newest.select("archive_id").withColumn("__scanned", F.lit(True))
+    touched = scans.select("archive_id").withColumn("__scanned", F.lit(True))
     decided = decided.join(touched, "archive_id", "left")
     state = (
         F.when(F.col("__scanned").isNull() | (F.col("state") == "ignored"), F.col("state"))

@@ -115,9 +115,17 @@ def test_seal_against_a_foreign_history(spark, rows):
     )
     out = jobs.seal(now, given, given.limit(0), past)
     assert rows(out.outcome, "state", "review_reason") == [
-        ("needs_review", "hash mismatch (review, not a generation): a, lost")
+        ("needs_review", "files recorded in the history are missing: lost")
     ]
     assert out.entries.count() == 0 and out.sealed.count() == 0
+    present = past.where("rel_path = 'a'")
+    mismatch = jobs.seal(now, given, given.limit(0), present)
+    assert rows(mismatch.outcome, "state", "review_reason") == [
+        ("needs_review", "hash mismatch (review, not a generation): a")
+    ]
+    only_origin = given.withColumn("fmt", F.lit("md5"))
+    wrong = jobs.seal(now, only_origin, only_origin, present.limit(0), "md5")
+    assert rows(wrong.outcome, "state", "writes_generation") == [("error", False)]
 
 
 def test_append(spark, rows):
