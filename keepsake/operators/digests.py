@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from keepsake.config import ORIGIN_FORMATS, PRIMARY_FORMAT, READER_FORMATS
 from keepsake.functions.hashing import HASHERS, check_formats
 from keepsake.operators.running import Running, running
+from keepsake.session import stage
 from keepsake.sources.storage import open_read, stat_of
 
 BLOCK = 8 * 1024 * 1024
 MAX_READS = 3
 BUCKET_BYTES = 64 * 1024**3  # bytes one task reads before the next bucket starts
+OPEN_BYTES = 4 * 1024 * 1024  # what opening a file counts as, so tiny files fill a bucket too
 STAT_KEY = ("rel_path", "size", "mtime_ns")
 
 
@@ -64,11 +66,12 @@ def balance_by_bytes(
     gets one of its own.
     """
     order = [*by, "rel_path"]
-    summed = running(files, [], order, __before=Running("sum", F.col("size"), "before"))
+    weight = F.col("size") + OPEN_BYTES
+    summed = running(files, [], order, __before=Running("sum", weight, "before"))
     bucket = F.floor(F.coalesce("__before", F.lit(0)) / F.lit(bucket_bytes)).cast("bigint")
     placed = summed.withColumn("bucket", bucket).drop("__before")
-    buckets = (placed.agg(F.max("bucket")).first()[0] or 0) + 1
-    return placed.repartitionByRange(buckets, "bucket")
+    last, rows = placed.agg(F.max("bucket"), F.count(F.lit(1))).first()
+    return placed.repartitionByRange(max(1, min((last or 0) + 1, rows)), "bucket")
 
 
 def read_once(path: str, formats: Sequence[str]) -> tuple[str, str | None, int, int, dict]:
@@ -119,6 +122,11 @@ def compute_digests(
         )
     keys = list(by)
     placed = balance_by_bytes(files.select(*keys, *STAT_KEY, "formats"), by, bucket_bytes)
+    return _read(placed, root, keys)
+
+
+def _read(placed: DataFrame, root: str, keys: list[str]) -> DataFrame:
+    """Digest the files of each task, in place order."""
     schema = ", ".join(f"`{k}` string" for k in keys) + (
         ", rel_path string, size bigint, mtime_ns bigint, fmt string, digest string,"
         " status string, error string"
@@ -139,7 +147,35 @@ def compute_digests(
                     )
             yield pd.DataFrame(out, columns=columns)
 
-    return placed.mapInPandas(read, schema)
+    return placed.drop("bucket").mapInPandas(read, schema)
+
+
+def read_in_waves(
+    wanted: DataFrame,
+    stored: DataFrame | None,
+    root: str,
+    append: Callable[[DataFrame], None],
+    by: Sequence[str] = ("project",),
+    bucket_bytes: int = BUCKET_BYTES,
+    wave_buckets: int = 1024,
+) -> int:
+    """Read what ``stored`` lacks, appending wave after wave; gives the number of waves.
+
+    A run that dies keeps every wave it appended: the next one finds those digests stored and
+    starts with the rest. ``wanted`` is the result of :func:`wanted_formats`.
+    """
+    keys = list(by)
+    if stored is None:
+        todo = fresh_read(wanted, by)
+    else:
+        todo = to_compute(reuse_digests(wanted, stored, by), by)
+    placed = stage(balance_by_bytes(todo, by, bucket_bytes))
+    last = placed.agg(F.max("bucket")).first()[0]
+    starts = range(0, last + 1, wave_buckets) if last is not None else ()
+    for start in starts:
+        part = placed.where(F.col("bucket").between(start, start + wave_buckets - 1))
+        append(_read(part.repartitionByRange(wave_buckets, "bucket"), root, keys))
+    return len(starts)
 
 
 def fresh_read(wanted: DataFrame, by: Sequence[str] = ("project",)) -> DataFrame:

@@ -337,6 +337,23 @@ def apply_decisions(fx: Fixtures) -> DataFrame:
     return planning.apply_decisions(fx["fx_decisions"], projects, fx["fx_requests"], unsealed)
 
 
+@query(
+    ("fx_decisions", "fx_requests"),
+    """select p.id, p.state, w.kind as work_kind,
+              coalesce(w.trigger_kind = 'manual' and w.kind <> 'root_manifest', false) as cancellable,
+              case when w.kind in ('seal', 'append', 'accept_new_version') and not w.bypass_hours
+                   then case w.kind when 'seal' then 'Seal now' when 'append' then 'Update now'
+                             else 'Accept now' end else '' end as start_now,
+              p.state = 'changed' and p.last_generation_no is not null as update_now
+       from fx_projects p left join waiting w on w.id = p.id
+       where p.state in ('queued', 'hashing', 'changed')""",
+    ctes=DECIDED,
+)
+def project_actions(fx: Fixtures) -> DataFrame:
+    """Asked inside working hours."""
+    return reports.project_actions(fx["fx_projects"], fx["fx_requests"], now(), OFFICE)
+
+
 @query(
     PLANNED,
     """select j.id, j.kind, j.project_id,
@@ -466,12 +483,13 @@ counters as (
          count(*) filter (state = 'missing') as missing, count(*) filter (state = 'sealed') as sealed,
          count(*) filter (state = 'ignored') as ignored,
          count(*) filter (state in ('needs_review', 'error', 'missing')) as to_decide,
-         count(*) filter (state in ('queued', 'hashing', 'changed')) as in_queue
+         count(*) filter (state in ('queued', 'hashing', 'changed')) as in_queue,
+         (select count(*) from fx_jobs where state = 'queued') as queued_work
   from fx_projects)"""
 
 
 @query(
-    ("fx_projects",),
+    PLANNED,
     """select *, projects || ' project folders watched in the archive. ' || to_decide
               || ' need a decision, ' || unsealed || ' are not sealed yet, ' || in_queue
               || ' are in the queue, ' || sealed || ' are sealed, ' || ignored || ' are ignored.'
@@ -480,7 +498,7 @@ counters as (
     ctes=COUNTS,
 )
 def state_counters(fx: Fixtures) -> DataFrame:
-    return reports.context_sentence(reports.state_counters(fx["fx_projects"]))
+    return reports.context_sentence(reports.state_counters(fx["fx_projects"], fx["fx_jobs"]))
 
 
 @query(
@@ -589,7 +607,7 @@ def project_list(fx: Fixtures) -> DataFrame:
 
 @query(
     ("fx_known",),
-    f"""select id, rel_path, state,
+    f"""select id, rel_path, split_part(rel_path, '/', 1) as folder, state,
                case when state in ('needs_review', 'error', 'missing') then 'red'
                     when state = 'sealed' then 'green' when state = 'ignored' then 'grey'
                     else 'amber' end as light,
@@ -614,7 +632,34 @@ def project_list(fx: Fixtures) -> DataFrame:
                  when 'hashing' then 'reading files'
                  when 'ignored' then 'ignored'
                  else 'missing: not on disk since '
-                   || strftime({at_home('missing_since')}, '%Y-%m-%d %H:%M') end as status
+                   || strftime({at_home('missing_since')}, '%Y-%m-%d %H:%M') end as status,
+               concat_ws(' · ',
+                 case when state = 'missing' and sealed_on <> '' then 'sealed ' || sealed_on end,
+                 file_count || case when file_count = 1 then ' file' else ' files' end,
+                 case when state = 'missing' and verified_on <> '' then 'verified OK ' || verified_on end)
+                 as meta,
+               case state
+                 when 'sealed' then 'Sealed on ' || sealed_on || '. Nothing has changed since.'
+                   || case when verified_on <> '' then ' Last verified on ' || verified_on || '.' else '' end
+                 when 'needs_review' then
+                   case when starts_with(review_reason, 'verification:')
+                        then 'The periodic verification found problems: '
+                             || 'something changed since the last seal. Decide what to do.'
+                        else 'Files changed since the last seal (something changed).'
+                             || ' Is this the new final version?' end
+                 when 'unsealed' then
+                   'No manifest yet. Press Seal when the archiving of this project is finished.'
+                   || case when preexisting then ''
+                           else ' If nobody does, it seals itself after 168 h without changes.' end
+                 when 'changed' then 'New files were added since the last seal, which is fine.'
+                   || ' They join the manifest after 168 h without changes.'
+                 when 'queued' then 'Queued. The app works on it after working hours.'
+                 when 'hashing' then 'Reading every file to write the manifest.'
+                 when 'ignored' then 'Ignored. The app leaves this folder alone.'
+                 else 'This project''s files have not been on disk since '
+                   || strftime({at_home('missing_since')}, '%Y-%m-%d %H:%M')
+                   || '. Retry looks for them again. Forget permanently deletes the app''s record and the'
+                   || ' saved MHL history of this project; the archive itself is not touched.' end as detail
         from (select *, coalesce(strftime({at_home('last_sealed_at')}, '%Y-%m-%d'), '') as sealed_on,
                      coalesce(strftime({at_home('last_verified_at')}, '%Y-%m-%d'), '') as verified_on
               from fx_known)""",

@@ -130,6 +130,16 @@ def effective_patterns(fx: Fixtures) -> DataFrame:
     return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
+@query(
+    ("fx_projects",),
+    """select count(last_generation_no) > 0 as any_sealed,
+              case when count(last_generation_no) > 0 then '*.md, *.tmp' else '' end as kept_globs
+       from fx_projects""",
+)
+def removed_globs(fx: Fixtures) -> DataFrame:
+    return discovery.removed_globs(("*.md", "*.wav", "*.tmp"), ("*.wav",), fx["fx_projects"])
+
+
 @query(
     ("fx_sealed",),
     """select pattern, row_number() over (order by origin, project, n, pattern) as position

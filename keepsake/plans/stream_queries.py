@@ -82,7 +82,7 @@ def quiet_periods(fx: Fixtures) -> DataFrame:
           <= (select max(ts) from events) - interval 1 hour""",
     ctes=RUNS,
 )
-def quiescence_stream(fx: Fixtures) -> DataFrame:
+def quiescence(fx: Fixtures) -> DataFrame:
     """Only runs the watermark has closed come out; the open ones wait for more events."""
     out = new_folder(fx.spark, "quiet")
     rows = streams.quiescence(_events(fx), ["user_id"], "ts", f"{GAP_HOURS} hours", "1 hour")
@@ -102,7 +102,7 @@ def quiescence_stream(fx: Fixtures) -> DataFrame:
                <= (select epoch_us(max(ts)) // 1000 * 1000 from events) - 60000000)
        where n = 1""",
 )
-def progress_rollup_stream(fx: Fixtures) -> DataFrame:
+def progress_rollup(fx: Fixtures) -> DataFrame:
     out = new_folder(fx.spark, "progress")
     progress = _events(fx).select(
         "user_id",
@@ -123,7 +123,7 @@ def progress_rollup_stream(fx: Fixtures) -> DataFrame:
                    else event_type || ' {"id":"' || event_id || '"}' end as msg
        from events""",
 )
-def event_log_stream(fx: Fixtures) -> DataFrame:
+def event_log(fx: Fixtures) -> DataFrame:
     out = new_folder(fx.spark, "log")
     number = F.col("event_id").cast("string")
     payload = F.when(

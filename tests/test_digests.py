@@ -43,7 +43,8 @@ def test_unknown_format_is_rejected(spark):
         digests.compute_digests(df, "/nowhere", formats=["crc32"])
 
 
-def test_compute_digests_reads_files_once(spark, tmp_path):
+def test_compute_digests_reads_files_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(digests, "OPEN_BYTES", 0)
     data = {"a.mov": b"1" * 1000, "_b.mov": b"", ".keep": b"x", "sub/d e+f.wav": b"y" * 10}
     for name, content in data.items():
         path = tmp_path / "p" / name
@@ -69,7 +70,8 @@ def test_a_file_that_keeps_changing(tmp_path, monkeypatch):
     assert digests.read_once(str(path), ["md5"])[0] == "changed"
 
 
-def test_buckets_hold_about_the_bytes(spark):
+def test_buckets_hold_about_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(digests, "OPEN_BYTES", 0)
     files = spark.range(1000).select(
         F.lit("p").alias("project"), F.lpad(F.col("id").cast("string"), 4, "0").alias("rel_path"),
         F.when(F.col("id") == 7, 10_000).otherwise(10).cast("bigint").alias("size"),
@@ -223,3 +225,38 @@ def test_origin_problems(spark, rows):
     ]
     kept = origin.accept_overrides(read, out)
     assert rows(kept, "rel_path", "fmt") == [("bad", "xxh128"), ("ok", "md5")]
+
+
+def test_waves_resume_where_a_run_died(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(digests, "OPEN_BYTES", 0)
+    from keepsake.sources.tables import append_rows
+
+    for n in range(12):
+        path = tmp_path / "a" / "p" / f"f{n:02}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * n)
+    files = spark.createDataFrame(
+        [("p", f"f{n:02}", n, os.stat(tmp_path / "a/p" / f"f{n:02}").st_mtime_ns) for n in range(12)],
+        "project string, rel_path string, size bigint, mtime_ns bigint",
+    )
+    wanted = files.withColumn("fmt", F.lit("xxh128"))
+    store, root = str(tmp_path / "digests"), str(tmp_path / "a")
+    calls = []
+
+    def dies_after_one(wave):
+        if calls:
+            raise RuntimeError("executor lost")
+        calls.append(1)
+        append_rows(wave, store)
+
+    with pytest.raises(RuntimeError):
+        digests.read_in_waves(wanted, None, root, dies_after_one, bucket_bytes=10, wave_buckets=2)
+    done = spark.read.parquet(store).count()
+    assert 0 < done < 12
+    stored = spark.read.parquet(store)
+    digests.read_in_waves(wanted, stored, root, lambda w: append_rows(w, store), bucket_bytes=10)
+    got = {r.rel_path: r.digest for r in spark.read.parquet(store).collect()}
+    assert got == {f"f{n:02}": PLAIN["xxh128"](b"x" * n) for n in range(12)}
+    assert spark.read.parquet(store).count() == 12
+    everything = spark.read.parquet(store)
+    assert digests.read_in_waves(wanted, everything, root, lambda w: append_rows(w, store)) == 0
