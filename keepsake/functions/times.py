@@ -59,18 +59,24 @@ def parse_iso(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+_DAY = 86_400_000_000  # microseconds
+
+
+def _seconds(clock: str) -> int:
+    return int(clock[:2]) * 3600 + int(clock[3:]) * 60
+
+
 def is_working(instant: Column, hours: WorkingHours) -> Column:
     """Inside the working slot at its wall time; a slot over midnight belongs to its first day."""
-    wall = local(instant, hours.zone)
-    clock = F.date_format(wall, "HH:mm:ss.SSSSSS")
-    start, end = F.lit(f"{hours.start}:00.000000"), F.lit(f"{hours.end}:00.000000")
-    today = F.weekday(wall)
-    days = [F.lit(d) for d in hours.days]
-    if hours.start == hours.end or not days:
+    if hours.start == hours.end or not hours.days:
         return F.lit(False)
+    wall = F.unix_micros(local(instant, hours.zone))
+    clock = F.pmod(wall, F.lit(_DAY))
+    today = F.pmod(F.floor(wall / _DAY) + 3, F.lit(7))  # the epoch was a Thursday
+    start, end = (F.lit(_seconds(c) * 1_000_000) for c in (hours.start, hours.end))
     if hours.start < hours.end:
         return today.isin(*hours.days) & (clock >= start) & (clock < end)
-    yesterday = (today + 6) % 7
+    yesterday = F.pmod(today + 6, F.lit(7))
     return (today.isin(*hours.days) & (clock >= start)) | (
         yesterday.isin(*hours.days) & (clock < end)
     )
@@ -79,11 +85,52 @@ def is_working(instant: Column, hours: WorkingHours) -> Column:
 def next_change(instant: Column, hours: WorkingHours, horizon_days: int = 8) -> Column:
     """Next instant at which :func:`is_working` flips, or null within the horizon.
 
-    Between two clock jumps the predicate flips only at a slot border, so the candidates are the
-    borders of each day (read at both offsets around the day, which covers a wall time that
-    occurs twice) and the hour marks of a day whose offset changes.
+    Mostly the zone's offset does not change within the horizon; then the flip is plain
+    arithmetic on the wall time. The search over candidates is left to the days around a change.
     """
+    if hours.start == hours.end or not hours.days:
+        return F.lit(None).cast("timestamp")
     instant = instant.cast("timestamp")
+    limit = instant + F.expr(f"interval {horizon_days} days")
+
+    def offset(at: Column) -> Column:
+        return F.unix_micros(local(at, hours.zone)) - F.unix_micros(at)
+
+    day_before = instant - F.expr("interval 1 day")
+    day_after = limit + F.expr("interval 1 day")
+    steady = (offset(day_before) == offset(instant)) & (offset(instant) == offset(day_after))
+    wall = F.unix_micros(local(instant, hours.zone))
+    flip = F.timestamp_micros(_next_flip(wall, hours, horizon_days) - offset(instant))
+    flip = F.when(flip <= limit, flip)
+    return F.when(steady, flip).otherwise(_search(instant, limit, hours, horizon_days))
+
+
+def _next_flip(wall: Column, hours: WorkingHours, horizon_days: int) -> Column:
+    """The wall time of the next flip where wall times never jump."""
+    clock = F.pmod(wall, F.lit(_DAY))
+    midnight = wall - clock
+    today = F.pmod(F.floor(midnight / _DAY) + 3, F.lit(7))
+    start, end = (F.lit(_seconds(c) * 1_000_000) for c in (hours.start, hours.end))
+    listed = today.isin(*hours.days)
+    if hours.start < hours.end:
+        working = listed & (clock >= start) & (clock < end)
+        closing = midnight + end
+    else:
+        evening = listed & (clock >= start)
+        working = evening | (F.pmod(today + 6, F.lit(7)).isin(*hours.days) & (clock < end))
+        closing = midnight + end + F.when(evening, F.lit(_DAY)).otherwise(F.lit(0))
+    opening = F.lit(None).cast("bigint")
+    for ahead in range(horizon_days, -1, -1):
+        on_that_day = F.pmod(today + ahead, F.lit(7)).isin(*hours.days)
+        if ahead == 0:
+            on_that_day = on_that_day & (clock < start)
+        opening = F.when(on_that_day, midnight + F.lit(ahead * _DAY) + start).otherwise(opening)
+    return F.when(working, closing).otherwise(opening)
+
+
+def _search(instant: Column, limit: Column, hours: WorkingHours, horizon_days: int) -> Column:
+    """The first flip among the slot borders of each day, read at the offsets around the day, and
+    the quarter hours of a day whose offset changes."""
     now_working = is_working(instant, hours)
     first = F.date_sub(local_date(instant, hours.zone), 1)
     days = F.sequence(first, F.date_add(first, horizon_days + 2))
@@ -92,14 +139,12 @@ def next_change(instant: Column, hours: WorkingHours, horizon_days: int = 8) ->
         return F.unix_timestamp(F.from_utc_timestamp(at, hours.zone)) - F.unix_timestamp(at)
 
     def of_day(day: Column) -> Column:
-        noon_before = F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) - 43200)
-        noon_after = F.timestamp_seconds(F.unix_timestamp(day.cast("timestamp")) + 129600)
         midnight = F.unix_timestamp(day.cast("timestamp"))
-        early, late = offset(noon_before), offset(noon_after)
+        early = offset(F.timestamp_seconds(midnight - 43200))
+        late = offset(F.timestamp_seconds(midnight + 129600))
         borders = []
         for clock in (hours.start, hours.end):
-            seconds = int(clock[:2]) * 3600 + int(clock[3:]) * 60
-            borders += [midnight + seconds - early, midnight + seconds - late]
+            borders += [midnight + _seconds(clock) - early, midnight + _seconds(clock) - late]
         quarters = F.when(
             early != late,
             F.transform(F.sequence(F.lit(-48), F.lit(144)), lambda q: midnight + q * 900),
@@ -107,7 +152,6 @@ def next_change(instant: Column, hours: WorkingHours, horizon_days: int = 8) ->
         return F.concat(F.array(*borders).cast("array<bigint>"), quarters)
 
     candidates = F.transform(F.flatten(F.transform(days, of_day)), F.timestamp_seconds)
-    limit = instant + F.expr(f"interval {horizon_days} days")
     flips = F.filter(
         candidates,
         lambda c: (c > instant) & (c <= limit) & (is_working(c, hours) != now_working),

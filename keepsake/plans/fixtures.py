@@ -173,6 +173,7 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
+        self._defined: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
         """A given table; its zone-less times are UTC instants."""
@@ -186,19 +187,22 @@ class Fixtures:
         return df.select(*casts)
 
     def __getitem__(self, name: str) -> DataFrame:
-        views = closure((name,))
-        for table in dict.fromkeys(t for v in views for t in READS.get(v, ())):
+        views = [v for v in closure((name,)) if v not in self._defined]
+        tables = dict.fromkeys(t for v in views for t in READS.get(v, ()))
+        for table in [t for t in tables if t not in self._defined]:
             self.table(table).createOrReplaceTempView(table)
         for view in views:
-            if view == "fx_generations":
-                df = self._generations()
-            else:
-                df = self.spark.sql(VIEWS[view])
-            if view == "fx_gen_files":  # a stored table anywhere but here; read several times
-                df = stage(df)
+            df = self._generations() if view == "fx_generations" else self.spark.sql(VIEWS[view])
             df.createOrReplaceTempView(view)
+        self._defined.update(views, tables)
         return self.spark.table(name)
 
+    def staged(self, name: str) -> DataFrame:
+        """A view that a query reads several times: a stored table anywhere but here."""
+        df = stage(self[name])
+        df.createOrReplaceTempView(name)
+        return df
+
     def sql(self, text: str, *names: str) -> DataFrame:
         for name in names:
             self[name]

@@ -286,7 +286,7 @@ acted as (
 )
 def assign_actions(fx: Fixtures) -> DataFrame:
     """The newest generation of each project against all earlier ones, with two more formats."""
-    files = fx["fx_gen_files"]
+    files = fx.staged("fx_gen_files")
     newest = files.groupBy("project_id").agg(F.max("generation_no").alias("generation_no"))
     one = ["project_id", "generation_no"]
     last = files.join(newest, one, "left_semi")

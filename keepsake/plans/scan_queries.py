@@ -524,7 +524,7 @@ gone as (select fingerprint, path, project_id, row_number() over (
 )
 def match_moved(fx: Fixtures) -> DataFrame:
     """Three fingerprints only: each holds a third of all rows."""
-    files = fx["fx_gen_files"].select(
+    files = fx.staged("fx_gen_files").select(
         F.col("project_id").alias("id"),
         F.col("digest").alias("fingerprint"),
         "is_full",

@@ -161,4 +161,20 @@ def test_shared_folder_is_refused_without_a_setting(monkeypatch):
     context = SimpleNamespace(
         getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://somewhere:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(SimpleNamespace(sparkContext=context))
+        shared_folder(
+            SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+        )
+
+
+def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from keepsake.session import shared_folder
+
+    named = []
+    context = SimpleNamespace(
+        getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://somewhere:7077",
+        setCheckpointDir=named.append)
+    conf = SimpleNamespace(get=lambda *_: "hdfs://name/folder")
+    assert shared_folder(SimpleNamespace(sparkContext=context, conf=conf)) == "hdfs://name/folder"
+    assert named == ["hdfs://name/folder"]
