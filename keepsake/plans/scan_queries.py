@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.config import ArchiveConfig
 from keepsake.operators import diff, discovery, lifecycle
 from keepsake.plans.fixtures import NOW, Fixtures
 from keepsake.plans.registry import query
+from keepsake.plans.scan import PROJECT_COLUMNS
+from keepsake.plans.scan import scan_archive as run_scan
 
 
 def now() -> Column:
@@ -615,3 +618,110 @@ def forget_project(fx: Fixtures) -> DataFrame:
 )
 def scan_summary(fx: Fixtures) -> DataFrame:
     return lifecycle.scan_summary(fx["fx_listing"], fx["fx_known"], fx["fx_listing_errors"])
+
+
+TRACKED = """
+numbers as (select distinct cast(substr(source, 4) as int) as n from documents),
+tracked as (
+  select n as id, concat('2024/src', cast(n as string)) as rel_path, 'sealed' as state,
+         1 as last_generation_no, n from numbers
+  union all
+  select 100 + n, concat('2025/src', cast(n as string)),
+         case when n % 4 = 0 then 'missing' else 'unsealed' end,
+         case when n % 4 = 0 then 1 end, n from numbers where n % 2 = 0
+  union all
+  select 200 + n, concat('2023/src', cast(n as string)), 'sealed', 1, n from numbers
+  where n % 5 = 0)"""
+
+
+@query(
+    ("fx_archive",),
+    """select coalesce(m.new_path, t.rel_path) as rel_path, file_count,
+              case when t.id >= 200 and m.new_path is null then 'missing'
+                   when t.id >= 200 then 'changed'
+                   when coalesce(f.file_count, 0) = 0 then 'missing'
+                   when t.id >= 100 then 'queued'
+                   when f.n_modified > 0 then 'needs_review' when f.n_added > 0 then 'queued'
+                   else 'sealed' end as state,
+              case when t.id >= 200 or coalesce(f.file_count, 0) = 0 then ''
+                   when t.id >= 100 then case when t.state = 'missing' then 'append,verify' else 'seal' end
+                   when f.n_modified = 0 and f.n_added > 0 then 'append' else '' end as work
+       from tracked t
+       left join moves m on m.id = t.id
+       left join files f on f.project = coalesce(m.new_path, t.rel_path)
+       union all
+       select f.project, f.file_count, 'unsealed', '' from files f
+       where f.project not in (select rel_path from tracked)
+         and f.project not in (select new_path from moves)""",
+    ctes=INSIDE
+    + ","
+    + TRACKED
+    + f""",
+files as (
+  select project, count(*) as file_count,
+         count(*) filter (project = '2024/src3' and number % 11 = 0 and number % 7 <> 0) as n_modified,
+         count(*) filter (cast(regexp_extract(project, '([0-9]+)$', 1) as int) < 10
+                          and number % 7 = 0) as n_added
+  from (select *, cast(regexp_extract(rel_path, '([0-9]+)[.]mov$', 1) as int) as number
+        from inside where kind = 'file' and not {IGNORED})
+  group by project),
+moves as (
+  select t.id, f.project as new_path from tracked t
+  join files f on f.project = '2025/src' || (t.n + 1)
+  where t.id >= 200 and t.n % 2 = 0)""",
+)
+def scan_archive(fx: Fixtures) -> DataFrame:
+    """A whole scan: known, lost, returned, renamed and new projects in one listing."""
+    mtime = F.lit(10**18).alias("mtime_ns")
+    none = F.lit(None).cast("string")
+    listing = fx["fx_archive"].select("path", "kind", "size", mtime, none.alias("error"))
+    fx.table("documents").createOrReplaceTempView("documents")
+    tracked = fx.spark.sql(f"with {TRACKED} select * from tracked")
+    returned = F.when(F.col("state") == "missing", "changed")
+    known = tracked.select(
+        F.col("id").cast("bigint").alias("id"),
+        "rel_path",
+        F.element_at(F.split("rel_path", "/"), -1).alias("name"),
+        "state",
+        none.alias("review_reason"),
+        none.alias("error"),
+        F.lit(False).alias("preexisting"),
+        "last_generation_no",
+        F.expr("timestamp '1998-01-01 00:00:00'").alias("first_seen"),
+        *[
+            F.lit(None).cast("timestamp").alias(c)
+            for c in ("last_scan_at", "last_change_at", "stable_since")
+        ],
+        F.lit(None).cast("bigint").alias("file_count"),
+        F.lit(None).cast("bigint").alias("total_bytes"),
+        F.when(F.col("state") == "missing", now()).alias("missing_since"),
+        returned.alias("state_before_missing"),
+    ).select(*PROJECT_COLUMNS)
+    files = discovery.apply_ignore_patterns(
+        discovery.regular_files(discovery.with_project(listing))
+    )
+    number = F.regexp_extract("rel_path", "([0-9]+)[.]mov$", 1).try_cast("int")
+    ids = known.where("id < 200").select("id", F.col("rel_path").alias("project"))
+    previous = files.join(ids, "project").select("id", "rel_path", "size", "mtime_ns")
+    grown = (F.col("id") == 3) & (number % 11 == 0)
+    sealed = previous.where((F.col("id") < 100) & ((F.col("id") >= 10) | (number % 7 != 0)))
+    sealed = sealed.withColumn("size", F.col("size") + F.when(grown, 1).otherwise(0))
+    items = previous.limit(0).select(
+        "id", "rel_path", none.alias("change"),
+        *[F.col("size").alias(c) for c in ("old_size", "new_size", "old_mtime_ns", "new_mtime_ns")],
+    )
+    lost = tracked.where("id >= 200 and n % 2 = 0")
+    mark = F.md5(F.concat(F.lit("chain"), F.col("n").cast("string"))).alias("fingerprint")
+    kept = lost.select(F.col("id").cast("bigint").alias("id"), mark)
+    next_one = F.concat(F.lit("2025/src"), (F.col("n") + 1).cast("string")).alias("rel_path")
+    chains = lost.select(next_one, mark)
+    out = run_scan(
+        listing, known, sealed, previous, items, chains, kept, now(), 2 * 10**18,
+        ArchiveConfig(settle_hours=1),
+    )
+    work = out.work.groupBy("id").agg(
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("work")
+    )
+    return out.projects.join(work, "id", "left").select(
+        "rel_path", "state", "file_count", F.coalesce("work", F.lit("")).alias("work")
+    )
