@@ -179,7 +179,13 @@ def append(
     reasons = diff_reasons.unionByName(origin_reasons).unionByName(history_reasons)
     new_rows = _sealed_rows(kept, digests, primary, by)
     old_rows = sealed.select(*by, "rel_path", "size", "mtime_ns", "digest")
-    counts = added.groupBy(*by).agg(F.count(F.lit(1)).alias("__added"))
+    # Counted before the project is a join key, so the count is combined before its shuffle.
+    counts = (
+        rows.where(F.col("change") == "added")
+        .groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("__added"))
+        .join(diff_reasons.select(*by), list(by), "left_anti")
+    )
     outcome = _outcome(files, reasons, by).join(counts, list(by), "left")
     outcome = outcome.withColumn(
         "writes_generation", F.col("writes_generation") & F.col("__added").isNotNull()

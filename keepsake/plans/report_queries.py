@@ -719,20 +719,21 @@ def review_of_work(fx: Fixtures) -> DataFrame:
 
 @query(
     PLANNED,
-    """select section, cast(rank as int) as rank, id, tone, text, detail, percent from (
-         select 0 as section, 1 as rank, id, 'running' as tone, concat_ws(' ', running_label, name) as text,
+    f"""select section, cast(rank as int) as rank, "when", id, tone, text, detail, percent from (
+         select 0 as section, 1 as rank, 'now' as "when", id, 'running' as tone, concat_ws(' ', running_label, name) as text,
                 files_done || ' of ' || files_total || ' files · 0 B of 0 B' as detail,
                 least(100, cast(floor(files_done * 100 / files_total) as bigint)) as percent
          from labelled where state = 'running' qualify row_number() over (order by id desc) = 1
          union all
-         select 1, row_number() over (order by priority desc, id) as rank, id, 'queued',
+         select 1, row_number() over (order by priority desc, id) as rank, 'next', id, 'queued',
                 concat_ws(' ', queued_label, name), '', null
          from labelled where state = 'queued' qualify rank <= 8
          union all
-         select 1, 9, null, 'queued', 'and ' || (count(*) - 8) || ' more', '', null
+         select 1, 9, 'next', null, 'queued', 'and ' || (count(*) - 8) || ' more', '', null
          from labelled where state = 'queued' having count(*) > 8
          union all
-         select 2, row_number() over (order by finished_at desc, id desc) as rank, id,
+         select 2, row_number() over (order by finished_at desc, id desc) as rank,
+                strftime({at_home('finished_at')}, '%Y-%m-%d %H:%M'), id,
                 case when state = 'done' and review is not null then 'review' else state end,
                 case when state = 'failed' then concat_ws(' ', failed_label, name)
                      when state = 'cancelled' then 'Cancelled: ' || concat_ws(' ', queued_label, name)
@@ -751,7 +752,7 @@ def activity_log(fx: Fixtures) -> DataFrame:
         {"bytes_done": F.lit(0).cast("bigint"), "bytes_total": F.lit(0).cast("bigint")}
     )
     names = fx["fx_projects"].select(F.col("id").alias("project_id"), "name")
-    return reports.activity_log(work, _reviews(fx), names)
+    return reports.activity_log(work, now(), ZONE, _reviews(fx), names)
 
 
 # --- time ------------------------------------------------------------------------------------

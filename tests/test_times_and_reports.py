@@ -175,7 +175,10 @@ def test_activity_tones(spark):
         [(1, 1, "start"), (1, 2, "needs review, nothing written: verification: 1 corrupt")],
         "job_id int, seq int, msg string")
     names = spark.createDataFrame([(1, "film")], "project_id int, name string")
-    out = reports.activity_log(work, reports.review_of_work(log), names, limit=2)
+    seen = F.lit(day)
+    reviews = reports.review_of_work(log)
+    out = reports.activity_log(work, seen, "UTC", reviews, names, limit=2)
+    assert [r.when for r in out.collect()] == ["now", "next", "next", "next", "03:00", "02:00"]
     got = [(r.tone, r.text, r.detail) for r in out.collect()]
     assert got == [
         ("running", "Sealing film", "1 of 2 files · 0 B of 0 B"),
@@ -185,7 +188,12 @@ def test_activity_tones(spark):
         ("cancelled", "Cancelled: Seal film", ""),
         ("failed", "Could not add new files to film", ""),
     ]
-    past = reports.activity_log(work, reports.review_of_work(log), names, limit=9)
+    trace = work.where("id = 0").withColumns({
+        "kind": F.lit("retire"), "msg": F.lit("retired y/old film (history mirror deleted)"),
+        "error": F.lit(None).cast("string")})
+    gone = reports.activity_log(trace.withColumn("project_id", F.lit(None).cast("int")), seen).first()
+    assert (gone.text, gone.detail) == ("Forgot old film", trace.first().msg)
+    past = reports.activity_log(work, seen, "UTC", reviews, names, limit=9)
     done = {r.id: (r.tone, r.text, r.detail) for r in past.where("section = 2").collect()}
     assert done[1] == ("review", "Verification found problems in film", "1 corrupt")
     assert done[0] == ("done", "Sealed film", "2 files · 0 B")
