@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from keepsake.config import WorkingHours
 from keepsake.functions import times
 from keepsake.operators import diff, planning, reports, verify
+from keepsake.operators.generations import references_stale
 from keepsake.plans import jobs
 from keepsake.plans.fixtures import NOW, Fixtures
-from keepsake.plans.history_queries import ARCHIVE, REFERENCED, _md5_rows, _referenced
+from keepsake.plans.history_queries import REFERENCED, _md5_rows, _referenced
 from keepsake.plans.registry import query
 from keepsake.plans.scan_queries import BOTH, CLASSIFIED, DIFF, REASONS, THREE, _projects, now
-from keepsake.operators.generations import references_stale
 
 ZONE = "Europe/Madrid"
 DAYS = 90

@@ -59,9 +59,9 @@ def read_inventory(
     prune = _prunes(depth, prefixes, patterns)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for batch in batches:
             for folder in batch["path"]:
-                out = []
                 try:
                     for name, kind, size, mtime, error in entries(f"{root}/{folder}"):
                         path = f"{folder}/{name}" if folder else name
@@ -72,7 +72,7 @@ def read_inventory(
                             out = []
                 except OSError as exc:
                     out.append((folder, "folder", 0, 0, exc.strerror or str(exc)))
-                yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=columns)
 
     columns = ["path", "kind", "size", "mtime_ns", "error"]
     found: list[DataFrame] = []

@@ -32,3 +32,12 @@ def rows():
         return sorted(map(tuple, picked.collect()), key=repr)
 
     return of
+
+
+@pytest.fixture
+def many_segments(spark):
+    """Keep small test data in several partitions, so groups do cross partition borders."""
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    yield
+    spark.conf.set(conf, "true")

@@ -70,6 +70,7 @@ def test_a_file_that_keeps_changing(tmp_path, monkeypatch):
     assert digests.read_once(str(path), ["md5"])[0] == "changed"
 
 
+@pytest.mark.usefixtures("many_segments")
 def test_buckets_hold_about_the_bytes(spark, monkeypatch):
     monkeypatch.setattr(digests, "OPEN_BYTES", 0)
     files = spark.range(1000).select(
@@ -128,6 +129,7 @@ def folder_hashes(files, fmt, folder=""):
     return out
 
 
+@pytest.mark.usefixtures("many_segments")
 @pytest.mark.parametrize(("fmt", "small"), [("md5", 10_000), ("xxh128", 10_000), ("xxh128", 5),
                                             ("md5", 5)])
 def test_directory_hashes(spark, fmt, small):
@@ -227,6 +229,7 @@ def test_origin_problems(spark, rows):
     assert rows(kept, "rel_path", "fmt") == [("bad", "xxh128"), ("ok", "md5")]
 
 
+@pytest.mark.usefixtures("many_segments")
 def test_waves_resume_where_a_run_died(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(digests, "OPEN_BYTES", 0)
     from keepsake.sources.tables import append_rows

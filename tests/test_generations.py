@@ -92,6 +92,7 @@ def replay(gens, entries):
     return out, known
 
 
+@pytest.mark.usefixtures("many_segments")
 @pytest.mark.parametrize("seed", range(5))
 def test_history_diff_equals_a_replay(spark, rows, seed):
     pick = random.Random(seed)

@@ -92,6 +92,7 @@ def greedy(candidates, gone):
     return sorted(out)
 
 
+@pytest.mark.usefixtures("many_segments")
 @pytest.mark.parametrize("seed", range(4))
 def test_match_moved_equals_the_greedy_rule(spark, rows, seed):
     pick = random.Random(seed)

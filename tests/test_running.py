@@ -1,11 +1,15 @@
 """Running aggregates against plain windows, with a key that holds most rows."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake.operators.running import Running, first_rows, number_rows, running
 
 
+pytestmark = pytest.mark.usefixtures("many_segments")
+
+
 def _skewed(spark, n=4000):
     hot = F.when(F.col("id") % 3 != 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7))
     return spark.range(n).select(
@@ -44,13 +48,8 @@ def test_running_equals_window(spark, rows):
 
 def test_hot_key_is_spread(spark):
     df = _skewed(spark, 200_000)
-    conf = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(conf, "false")
-    try:
-        placed = df.repartitionByRange("key", "at")
-        sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        spark.conf.set(conf, "true")
+    placed = df.repartitionByRange("key", "at")
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
@@ -60,10 +59,10 @@ def test_numbers_over_everything(spark):
     assert got == [(999 - i, i + 1) for i in range(1000)]
 
 
-def test_carried_rows_are_few(spark):
-    """What is broadcast has at most one row per segment border."""
-    got = number_rows(_skewed(spark), ["key"], ["at"])
-    assert got.count() == 4000
+def test_null_keys_are_a_key(spark, rows):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "a").alias("key"), "id")
+    got = number_rows(df, ["key"], ["id"]).groupBy("key").agg(F.max("position"), F.count("*"))
+    assert rows(got) == [("a", 1000, 1000), (None, 2000, 2000)]
 
 
 def test_first_rows_cut_before_the_shuffle(spark):

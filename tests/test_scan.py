@@ -47,6 +47,7 @@ def scan(spark, listed, known, sealed=(), previous=(), items=(), chains=(), kept
     )
 
 
+@pytest.mark.usefixtures("many_segments")
 def test_every_event(spark, rows):
     listed = dict.fromkeys([
         "y/same/a", "y/more/a", "y/more/b", "y/less/b", "y/back/a", "y/fresh/a", "y/renamed/a",

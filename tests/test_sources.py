@@ -36,6 +36,7 @@ def exported(spark, root, inline=None, monkeypatch=None):
     return export.write_lines(lines, str(root)).collect()
 
 
+@pytest.mark.usefixtures("many_segments")
 @pytest.mark.parametrize("inline", [None, 100])
 def test_manifest_round_trip(spark, tmp_path, monkeypatch, rows, inline):
     """With a tiny inline limit the parts of the manifest travel as files."""
@@ -65,6 +66,7 @@ def test_manifest_round_trip(spark, tmp_path, monkeypatch, rows, inline):
     assert head.created_at == datetime(2024, 1, 1)
 
 
+@pytest.mark.usefixtures("many_segments")
 def test_chain_round_trip(spark, tmp_path, rows):
     chain = spark.createDataFrame(
         [("p", n, f"{n:04}_p.mhl", f"c4{n}") for n in (1, 2, 10)],

@@ -30,6 +30,7 @@ def read(spark, path):
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+@pytest.mark.usefixtures("many_segments")
 def test_state_changes_in_batches_equal_one_pass(spark, tmp_path, landed, rows):
     store = TableSet(spark, str(tmp_path / "store"))
     out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
@@ -41,6 +42,7 @@ def test_state_changes_in_batches_equal_one_pass(spark, tmp_path, landed, rows):
     assert rows(spark.read.parquet(out), *columns) == rows(whole, *columns)
 
 
+@pytest.mark.usefixtures("many_segments")
 def test_quiet_periods(spark, rows):
     minutes = [0, 1, 2, 63, 64, 200]
     df = spark.createDataFrame(
