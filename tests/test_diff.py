@@ -216,3 +216,48 @@ def test_diff_with_a_hot_project(spark):
     current = sealed.where("cast(rel_path as int) % 10 <> 1")
     counts = diff.diff_summary(current, sealed).agg(F.sum("deleted"), F.sum("unchanged")).first()
     assert tuple(counts) == (3000, 27_000)
+
+
+def exchanges(df):
+    """Keys of the hash shuffles in the plan."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+
+
+def test_file_rows_are_never_shuffled_by_project(spark, tmp_path):
+    """Every shuffle of file rows has the path in its key, whatever Spark broadcasts."""
+    from keepsake.operators import generations, verify
+
+    path = str(tmp_path / "files")
+    spark.range(100).select(
+        F.lit("p").alias("project"),
+        F.col("id").cast("string").alias("rel_path"),
+        F.col("id").alias("size"),
+        F.col("id").alias("mtime_ns"),
+        F.md5(F.col("id").cast("string")).alias("digest"),
+        F.lit(1).alias("generation_no"),
+        F.lit("md5").alias("fmt"),
+    ).write.parquet(path)
+    files = spark.read.parquet(path)
+    given = files.select("project", "rel_path", "fmt", "digest")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for df in (
+            diff.diff_against_sealed(files, files),
+            diff.unsealed_files(files, files),
+            verify.compare_for_verify(files, files),
+            generations.assign_actions(given, files),
+        ):
+            assert exchanges(df) and all("rel_path" in keys for keys in exchanges(df))
+        whole = files.select("project").distinct().select(
+            "project", F.lit(1).alias("generation_no"), F.lit(True).alias("is_full")
+        )
+        state = generations.current_from_history(whole, files)
+        first = state._jdf.queryExecution().executedPlan().toString().split("FileScan")[0]
+        assert "rel_path" in first.rsplit("Exchange hashpartitioning(", 1)[1].split(")")[0]
+    finally:
+        spark.conf.set(threshold, before)
