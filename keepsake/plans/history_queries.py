@@ -729,7 +729,9 @@ def append(fx: Fixtures) -> DataFrame:
     FILES,
     """select c.project, 'sealed' as state, cast(null as varchar) as review_reason,
               true as writes_generation, count(*) as files, cast(sum(c.size) as bigint) as bytes,
-              coalesce(b.n, 0) as overridden
+              coalesce(b.n, 0) as overridden,
+              case when c.project in (select project from fx_sealed) then 2 else 1 end as epoch,
+              1 as generation_no
        from fx_current c left join (select project, count(*) as n from blocking group by 1) b
          on b.project = c.project
        group by c.project, b.n""",
@@ -741,7 +743,13 @@ def accept_new_version(fx: Fixtures) -> DataFrame:
         fx["fx_sealed"]
         .select("project")
         .distinct()
-        .withColumns({"generation_no": F.lit(1), "superseded_at": F.lit(None).cast("timestamp")})
+        .withColumns(
+            {
+                "generation_no": F.lit(1),
+                "epoch": F.lit(1),
+                "superseded_at": F.lit(None).cast("timestamp"),
+            }
+        )
     )
     expected = _jobs_expected(fx)
     result, _ = jobs.accept_new_version(

@@ -215,8 +215,9 @@ def accept_new_version(
 ) -> tuple[Result, DataFrame]:
     """The folder as it is becomes generation 1 of a new history; the old one is set aside.
 
-    Origin problems only cost the files concerned their origin formats. Also gives the old
-    generations with ``superseded_at``.
+    Origin problems only cost the files concerned their origin formats. ``old_generations`` has
+    ``epoch`` and ``superseded_at``; they come back with the accepted ones stamped, and the
+    outcome says which epoch begins.
     """
     problems = stage(origin.origin_problems(expected, files, digests, by=by))
     kept = origin.accept_overrides(digests, problems, by)
@@ -226,8 +227,18 @@ def accept_new_version(
     ).drop("inherited", "problem")
     warnings = problems.groupBy(*by).agg(F.count(F.lit(1)).alias("overridden"))
     none = _review(files.limit(0).select(*by, F.lit("").alias("review_reason")))
-    outcome = _outcome(files, none, by).join(warnings, list(by), "left").withColumn(
-        "overridden", F.coalesce("overridden", F.lit(0))
+    epochs = old_generations.groupBy(*by).agg(F.max("epoch").alias("epoch"))
+    outcome = (
+        _outcome(files, none, by)
+        .join(warnings, list(by), "left")
+        .join(epochs, list(by), "left")
+        .withColumns(
+            {
+                "overridden": F.coalesce("overridden", F.lit(0)),
+                "epoch": F.coalesce("epoch", F.lit(0)) + 1,
+                "generation_no": F.lit(1),
+            }
+        )
     )
     aside = generations.supersede_history(old_generations, files.select(*by), stamp, by)
     result = Result(entries, _sealed_rows(files, digests, primary, by), problems, outcome)

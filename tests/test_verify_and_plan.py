@@ -99,11 +99,12 @@ def test_seal_splits_off_problem_projects(spark, rows):
     assert rows(out.sealed, "project", "digest") == [("p", "1")]
     kept, aside = jobs.accept_new_version(
         now, given, expected,
-        spark.createDataFrame([("q", 1, None)], "project string, g int, superseded_at timestamp"),
+        spark.createDataFrame([("q", 3, None)], "project string, epoch int, superseded_at timestamp"),
         F.lit(NOW),
     )
     assert rows(kept.entries, "project", "fmt") == [("p", "md5"), ("p", "xxh128"), ("q", "xxh128")]
     assert aside.first().superseded_at == NOW
+    assert rows(kept.outcome, "project", "epoch", "generation_no") == [("p", 1, 1), ("q", 4, 1)]
 
 
 def test_seal_against_a_foreign_history(spark, rows):
