@@ -93,8 +93,8 @@ def add_columns(
     return kept.mapInArrow(task, StructType([*kept.schema, *more]))
 
 
-def sum_arrays(parts: DataFrame, at_once: int = 64) -> DataFrame:
-    """Add up ``values`` (64-bit whole numbers, little-endian, as binary) per ``key``.
+def sum_arrays(parts: DataFrame, at_once: int = 64, dtype: str = "<i8") -> DataFrame:
+    """Add up ``values`` (whole numbers of ``dtype``, as binary) per ``key``.
 
     ``parts`` has part (from 0), key, values. Each round adds up to ``at_once`` neighbouring parts
     of a key, so no task ever holds more than one array and a batch of them.
@@ -107,7 +107,7 @@ def sum_arrays(parts: DataFrame, at_once: int = 64) -> DataFrame:
         total = None
         for batch in batches:
             for data in batch.column("values"):
-                own = np.frombuffer(data.as_buffer(), "<i8")
+                own = np.frombuffer(data.as_buffer(), dtype)
                 total = own.copy() if total is None else np.add(total, own, out=total)
         yield pa.RecordBatch.from_arrays(
             [

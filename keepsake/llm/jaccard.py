@@ -43,8 +43,10 @@ from keepsake.llm.common import (
 )
 from keepsake.session import stage_table
 
-BINS = 1 << 18  # in which the documents that hold an n-gram are counted
-CHUNKS = 8  # pieces in which the counts travel
+BINS = 1 << 21  # in which the documents that hold an n-gram are counted
+_TO_BIN = np.uint64(43)
+CHUNKS = 32  # pieces in which the counts travel
+PROFILE = 128  # ranges of hashes that are counted per set
 MOST_BITS = 1 << 27  # of a Bloom filter, whatever the number of its members
 _SMALL = np.uint64(0x5851F42D4C957F2D)  # marks signatures among small sets
 
@@ -85,13 +87,19 @@ def node_of(own: np.ndarray) -> tuple[int, int]:
     return first, second
 
 
+def profile_of(own: np.ndarray) -> bytes:
+    """How many hashes of a set fall in each of so many ranges, 255 at most."""
+    counts = np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=PROFILE)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def signatures(
     own: np.ndarray, held_by: np.ndarray, documents: int, spec: Spec
 ) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set, and for single n-grams how many rarer ones the set has (else -1)."""
     n = len(own)
     spare = n - -(-spec.percent * n // 100)
-    counts = held_by[own >> np.uint64(46)]
+    counts = held_by[own >> _TO_BIN]
     order = np.lexsort((own, counts))
     own, counts = own[order], counts[order]
     borders = [share * documents for share, _ in spec.classes]
@@ -133,15 +141,19 @@ def _node(prefix: str = "") -> Column:
 
 
 def _read_sets(docs: DataFrame, spec: Spec) -> DataFrame:
-    """doc_id, k1, k2, n_shingles of every row, and rows with counts of n-grams by bin."""
+    """doc_id, k1, k2, n_shingles, profile of every row; rows with counts of n-grams by bin."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        counts = np.zeros(BINS, np.int64)
-        id_type = None
+        counts = np.zeros(BINS, np.uint32)
+        id_type, waiting, waits = None, [], 0
 
-        def row(ids: pa.Array, nodes: list, sizes: list, chunks: list, values: list):
+        def counted(sets: list[np.ndarray]) -> np.ndarray:
+            bins = (np.concatenate(sets or [np.empty(0, np.uint64)]) >> _TO_BIN).astype(np.int64)
+            return np.bincount(bins, minlength=BINS).astype(np.uint32)
+
+        def row(ids: pa.Array, nodes: list, sizes: list, chunks: list, values: list, marks: list):
             n = len(ids)
             return pa.RecordBatch.from_arrays(
                 [
@@ -152,8 +164,9 @@ def _read_sets(docs: DataFrame, spec: Spec) -> DataFrame:
                     pa.array([part] * n, pa.int64()),
                     pa.array(chunks, pa.int32()),
                     pa.array(values, pa.binary()),
+                    pa.array(marks, pa.binary()),
                 ],
-                names=["doc_id", "k1", "k2", "n_shingles", "part", "key", "values"],
+                names=["doc_id", "k1", "k2", "n_shingles", "part", "key", "values", "profile"],
             )
 
         for batch in slices(batches):
@@ -164,19 +177,24 @@ def _read_sets(docs: DataFrame, spec: Spec) -> DataFrame:
                 nodes.append(node_of(own))
                 sizes.append(len(own))
                 tokens.append(own)
-            counts += np.bincount(
-                (np.concatenate(tokens) >> np.uint64(46)).astype(np.int64), minlength=BINS
-            )
+            waiting += tokens
+            waits += sum(sizes)
+            if waits > BINS // 2:
+                counts += counted(waiting)
+                waiting, waits = [], 0
             none = [None] * len(sizes)
-            yield row(batch.column(0), nodes, sizes, none, none)
+            yield row(batch.column(0), nodes, sizes, none, none, list(map(profile_of, tokens)))
         if id_type is not None:
+            counts += counted(waiting)
             values = [x.tobytes() for x in np.split(counts, CHUNKS)]
             ids = pa.nulls(CHUNKS, id_type)
-            yield row(ids, [(None, None)] * CHUNKS, [None] * CHUNKS, list(range(CHUNKS)), values)
+            none = [None] * CHUNKS
+            yield row(ids, [(None, None)] * CHUNKS, none, list(range(CHUNKS)), values, none)
 
     return docs.mapInArrow(
         task,
-        f"doc_id {kind}, k1 long, k2 long, n_shingles long, part long, key int, values binary",
+        f"doc_id {kind}, k1 long, k2 long, n_shingles long, part long, key int, values binary,"
+        " profile binary",
     )
 
 
@@ -238,8 +256,7 @@ def _index(docs: DataFrame, counts, documents: int, spec: Spec, wanted=None) ->
                     names=["sig", "k1", "k2", "n", "place"],
                 )
 
-    flat = docs.mapInArrow(task, "sig long, k1 long, k2 long, n long, place long")
-    return flat.select("sig", _node().alias("node"), "n", "place")
+    return docs.mapInArrow(task, "sig long, k1 long, k2 long, n long, place long")
 
 
 def _may_link(spec: Spec, n: Column, place: Column, m: Column, other: Column) -> Column:
@@ -278,15 +295,48 @@ def _sets_of(docs: DataFrame, wanted, spec: Spec) -> DataFrame:
     return flat.groupBy(_node().alias("node")).agg(F.first("set").alias("set"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _likely(pairs: DataFrame, profiles: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs (a, b) whose profiles allow enough in common: of each range of hashes two sets
+    share no more than the smaller one has there."""
+    left = profiles.select(
+        F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("profile").alias("of_a")
+    )
+    right = profiles.select(
+        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("of_b")
+    )
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE)
+                for c in (4, 5)
+            )
+            low = np.minimum(x, y)
+            # A full count says only that there are 255 or more.
+            open_end = (low == 255).any(axis=1)
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            most = np.minimum(np.where(open_end, n, low.sum(axis=1, dtype=np.int64)), np.minimum(n, m))
+            keep = 100 * most >= spec.percent * (n + m - most)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    kind = "struct<k1:bigint,k2:bigint>"
+    return both.mapInArrow(task, f"a {kind}, b {kind}")
+
+
+def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Both joins are between tables as they were written, so Spark splits the rows of a hot node.
+    """
     context = docs.sparkSession.sparkContext
+    pairs = stage_table(_likely(pairs, profiles, spec), "likely-pairs")
     ends = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
     wanted = context.broadcast(bloom(F.col("a.k1"), ends))
     sets = stage_table(_sets_of(docs, wanted, spec), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    both = look_up(look_up(pairs, "a", F.col("b"), left), "b", F.col("a"), right)
+    both = pairs.join(left, "a").join(right, "b")
     kind = "struct<k1:bigint,k2:bigint>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,30 +414,48 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     documents = max(full.count(), 1)
     counts = np.zeros((CHUNKS, BINS // CHUNKS), np.int64)
     counted = read.filter(F.col("values").isNotNull()).select("part", "key", "values")
-    for row in sum_arrays(counted).collect():  # CHUNKS rows, 2 MB in all
-        counts[row["key"]] = np.frombuffer(bytes(row["values"]), "<i8")
+    for row in sum_arrays(counted, dtype="<u4").collect():  # CHUNKS rows, 8 MB in all
+        counts[row["key"]] = np.frombuffer(bytes(row["values"]), "<u4")
     # What a bin holds on average are n-grams that share it by chance.
-    shared = context.broadcast(np.maximum(counts.ravel() - int(counts.mean()), 0))
-
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    centre = F.struct("place", "node", "n")
+    shared = context.broadcast(np.maximum(counts.ravel() - int(counts.mean()), 0).astype(np.uint32))
+
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("first"))
+    profiles = stage_table(
+        read.filter(F.col("n_shingles") > 0)
+        .groupBy(_node().alias("node"))
+        .agg(F.first("n_shingles").alias("n"), F.first("profile").alias("profile")),
+        "profiles",
+    )
     met = stage_table(
         _index(docs, shared, documents, spec)
         .groupBy("sig")
-        .agg(
-            F.min("node").alias("low"), F.max("node").alias("high"), F.min(centre).alias("pivot")
-        )
+        # By half of the name: missing a signature takes two sets whose halves agree by chance.
+        .agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
         .filter(F.col("low") != F.col("high"))
-        .select("sig", "pivot"),
+        .select("sig"),
         "signatures",
     )
     wanted = context.broadcast(bloom(F.col("sig"), met))
     members = stage_table(
-        _index(docs, shared, documents, spec, wanted).distinct(), "members"
+        _index(docs, shared, documents, spec, wanted)
+        .distinct()
+        .select("sig", _node().alias("node"), "n", "place"),
+        "members",
+    )
+    pivots = stage_table(
+        members.groupBy("sig")
+        .agg(
+            F.min("node").alias("low"),
+            F.max("node").alias("high"),
+            F.min(F.struct("place", "node", "n")).alias("pivot"),
+        )
+        .filter(F.col("low") != F.col("high"))
+        .select("sig", "pivot"),
+        "pivots",
     )
-    joined = look_up(members, "sig", F.col("node"), met)
     first = stage_table(
-        joined.filter(
+        members.join(pivots, "sig")
+        .filter(
             (F.col("node") != F.col("pivot.node"))
             & _may_link(
                 spec, F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place")
@@ -400,18 +468,22 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .distinct(),
         "pairs",
     )
-    groups = components(_linked(first, docs, spec))
+    groups = components(_linked(first, profiles, docs, spec))
 
-    labelled = members.join(met.select("sig"), "sig").join(groups, "node", "left").select(
-        "sig", "node", "n", "place", F.coalesce("label", "node").alias("label")
+    labelled = stage_table(
+        members.join(groups, "node", "left").select(
+            "sig", "node", "n", "place", F.coalesce("label", "node").alias("label")
+        ),
+        "members",
     )
-    mixed_up = (
+    mixed_up = stage_table(
         labelled.groupBy("sig")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter(F.col("low") != F.col("high"))
-        .select("sig")
+        .select("sig"),
+        "signatures",
     )
-    rest = stage_table(look_up(labelled, "sig", F.col("node"), mixed_up), "members")
+    rest = stage_table(labelled.join(mixed_up, "sig"), "members")
     one, two = rest.alias("x"), rest.alias("y")
     second = stage_table(
         one.join(
@@ -431,12 +503,11 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     labels = groups
     if not second.isEmpty():
         edges = groups.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(edges.union(_linked(second, docs, spec)))
+        labels = components(edges.union(_linked(second, profiles, docs, spec)))
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    groups_of = look_up(named, "label", F.col("node"), least).select("node", "component_id", "rows")
-    found = groups_of.select("node", "component_id")
+    found = look_up(named, "label", F.col("node"), least).select("node", "component_id")
     return look_up(rows, "node", F.col("doc_id"), found, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
