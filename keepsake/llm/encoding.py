@@ -26,6 +26,19 @@ _LOWER_WORDS = re.compile(
     rf"[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)|[{_SIGNS}]+(?=[ \n]|\Z)|[^{_ODD_SPACE}]+|[^ \n]"
 )
 
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones of Latin-1 stand for themselves,
+    the others, in order, for the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
 
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
@@ -70,6 +83,21 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Plain words are one unit of the pattern, so the library's model takes them directly."""
+        split = self._tokenizer.model.tokenize
+        out: list[bytes | None] = []
+        for word in words:
+            if _WORD.fullmatch(word):
+                word = word.lower() if self._cut is _LOWER_WORDS else word
+                signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                out.append(array("I", [t.id for t in split(signs)]).tobytes())
+            else:
+                out.append(None)
+        rest = [w for w, ids in zip(words, out) if ids is None]
+        more = iter(self._new(rest) if rest else ())
+        return [next(more) if ids is None else ids for ids in out]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self._cut is None:
             return self._new(texts)
@@ -78,7 +106,7 @@ class Encoder:
         odd = {w for w in new if w.isspace() and w.strip(" \n") or w in "\x1c\x1d\x1e\x1f\x85"}
         extra: dict[str, bytes] = {}
         if new := list(new - odd):
-            ids = self._new(new)
+            ids = self._of_words(new)
             room = self._kept - len(self._ids)
             self._ids.update(zip(new[:room], ids[:room])) if room > 0 else None
             extra = dict(zip(new[max(room, 0) :], ids[max(room, 0) :]))
