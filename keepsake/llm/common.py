@@ -93,6 +93,12 @@ def add_columns(
     return kept.mapInArrow(task, StructType([*kept.schema, *more]))
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns of these names renamed, and the columns that bring them back."""
+    own = {c: f"__own_{c}" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(own), [F.col(f"`{own.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def sum_arrays(parts: DataFrame, at_once: int = 64, dtype: str = "<i8") -> DataFrame:
     """Add up ``values`` (whole numbers of ``dtype``, as binary) per ``key``.
 
@@ -111,7 +117,7 @@ def sum_arrays(parts: DataFrame, at_once: int = 64, dtype: str = "<i8") -> DataF
                 total = own.copy() if total is None else np.add(total, own, out=total)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([key[0].as_py()], pa.int64()),
+                pa.array([int(key[0].as_py())], pa.int64()),
                 pa.array([key[1].as_py()], key[1].type),
                 pa.array([total.tobytes()], pa.binary()),
             ],
@@ -121,7 +127,7 @@ def sum_arrays(parts: DataFrame, at_once: int = 64, dtype: str = "<i8") -> DataF
     while True:
         count = -(-count // at_once)
         parts = (
-            parts.withColumn("part", F.floor(F.col("part") / at_once))
+            parts.withColumn("part", F.floor(F.col("part") / at_once) if count > 1 else F.lit(0))
             .groupBy("part", "key")
             .applyInArrow(added, schema)
         )

@@ -17,9 +17,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import slices, texts_of
+from keepsake.llm.common import set_aside, slices, texts_of
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_ADDED = ["n_words", "n_hit", "items", "spans", "contaminated"]
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +111,7 @@ def scan(
     with one of these names are replaced. Each block of test text (``block_bytes`` at most, or one
     item) is broadcast on its own and the documents pass through one block after another.
     """
-    added = ["n_words", "n_hit", "items", "spans"]
-    kept = docs.drop(*added, "contaminated")
+    kept = docs.drop(*_ADDED)
     out = kept.withColumns(
         {
             "n_words": F.lit(0).cast("long"),
@@ -168,16 +168,19 @@ def _scanner(shared: Broadcast, text_at: int, at: int):
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    return scan(docs, benchmark, **how).filter(~F.col("contaminated")).select(docs.columns)
+    """``docs`` without the contaminated ones; columns of any name are kept as they are."""
+    own, back = set_aside(docs, _ADDED)
+    return scan(own, benchmark, **how).filter(~F.col("contaminated")).select(back)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **how: int) -> DataFrame:
     """``docs`` with the hit words cut out of ``text``, from the first word of a span to its last;
     what is left on both sides is kept as it is. Null stays null."""
-    scanned = scan(docs, benchmark, **how)
+    own, back = set_aside(docs, _ADDED)
+    scanned = scan(own, benchmark, **how)
     names, text_at = docs.columns, docs.columns.index("text")
-    wanted = scanned.select(*names, F.expr("flatten(transform(spans, s -> array(s.first, s.end)))"))
+    flat = F.expr("flatten(transform(spans, s -> array(s.first, s.end)))")
+    wanted = scanned.select(*back, flat.alias("__marks"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -56,13 +56,13 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "main", "shut", "group")
+    __slots__ = ("text", "tags", "linked", "main", "group")
 
-    def __init__(self, main: int, shut: bool, group: int) -> None:
+    def __init__(self, main: int, group: int) -> None:
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.main, self.shut, self.group = main, shut, group
+        self.main, self.group = main, group
 
 
 class _Lines(HTMLParser):
@@ -145,12 +145,10 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not data or self._shut and not data.strip():
+        if not data or self._shut:
             return
         if self._line is None:
-            self._line = _Line(
-                self._main, self._shut > 0, self._group[-1] if self._group else 0
-            )
+            self._line = _Line(self._main, self._group[-1] if self._group else 0)
             self.lines.append(self._line)
         line = self._line
         line.tags += self._tags
@@ -202,7 +200,7 @@ def extract(html: str | None, sigma: float = 1.0, joint: str = "\n\n") -> str:
     lines, texts = [], []
     for line in parser.lines:
         text = SPACE.sub(" ", "".join(line.text)).strip()
-        if text and not line.shut:
+        if text:
             lines.append(line)
             texts.append(text)
     if not lines:
