@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm import decontaminate, jaccard, languages, packing, quality
-from keepsake.llm.common import crc_rest, table
+from keepsake.llm.common import crc_rest, set_aside, table
 from keepsake.llm.queries import tokenizer
 from keepsake.session import stage_table
 
@@ -20,16 +20,18 @@ def rejects_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     rows that are not held out; without any label every document scores 0.5 and stays."""
     rest = crc_rest(F.col("doc_id"), 3)
     network = quality.train(docs, table(spark, sf_dir, "labels"), rest.isin(0, 2))
-    return quality.score(docs, network).filter(F.col("predicted") == 1).select(docs.columns)
+    own, back = set_aside(docs, ["score", "predicted"])
+    return quality.score(own, network).filter(F.col("predicted") == 1).select(back)
 
 
 def rejects_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one language makes up at least half; what has no letters goes."""
     model = languages.train(docs, crc_rest(F.col("doc_id"), 5) > 0)
-    found = languages.predict(docs, model)
+    own, back = set_aside(docs, ["score", "lang_pred"])
+    found = languages.predict(own, model)
     return found.filter(
         (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.5)
-    ).select(docs.columns)
+    ).select(back)
 
 
 def drops_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
