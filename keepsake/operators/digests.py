@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.config import ORIGIN_FORMATS, PRIMARY_FORMAT, READER_FORMATS
 from keepsake.functions.hashing import HASHERS, check_formats
 from keepsake.operators.running import Running, running
-from keepsake.session import stage
+from keepsake.session import stage_table
 from keepsake.sources.storage import open_read, stat_of
 
 BLOCK = 8 * 1024 * 1024
@@ -62,16 +62,28 @@ def balance_by_bytes(
 ) -> DataFrame:
     """Files in path order cut into buckets of about ``bucket_bytes``; one task per bucket.
 
-    The running total is computed without a single-task window, and a file larger than a bucket
-    gets one of its own.
+    The running total is computed without a single-task window. Buckets are numbered without gaps
+    and a task gets exactly one of them, so it never reads more than a bucket and one file.
     """
+    placed, count = _buckets(files, by, bucket_bytes)
+    return placed.repartitionById(max(1, count), "bucket")
+
+
+def _buckets(
+    files: DataFrame, by: Sequence[str], bucket_bytes: int
+) -> tuple[DataFrame, int]:
+    """``files`` with ``bucket`` from 0 on, and the number of buckets."""
     order = [*by, "rel_path"]
     weight = F.col("size") + OPEN_BYTES
     summed = running(files, [], order, __before=Running("sum", weight, "before"))
-    bucket = F.floor(F.coalesce("__before", F.lit(0)) / F.lit(bucket_bytes)).cast("bigint")
-    placed = summed.withColumn("bucket", bucket).drop("__before")
-    last, rows = placed.agg(F.max("bucket"), F.count(F.lit(1))).first()
-    return placed.repartitionByRange(max(1, min((last or 0) + 1, rows)), "bucket")
+    cut = F.floor(F.coalesce("__before", F.lit(0)) / F.lit(bucket_bytes)).cast("bigint")
+    placed = stage_table(summed.withColumn("__cut", cut).drop("__before"), "buckets")
+    # One row per bucket: the archive's bytes over those of a bucket.
+    numbers = placed.select("__cut").distinct().withColumn(
+        "bucket", F.row_number().over(Window.orderBy("__cut")) - 1
+    )
+    numbered = placed.join(numbers, "__cut").drop("__cut")
+    return numbered, numbers.count()
 
 
 def read_once(path: str, formats: Sequence[str]) -> tuple[str, str | None, int, int, dict]:
@@ -169,12 +181,13 @@ def read_in_waves(
         todo = fresh_read(wanted, by)
     else:
         todo = to_compute(reuse_digests(wanted, stored, by), by)
-    placed = stage(balance_by_bytes(todo, by, bucket_bytes))
-    last = placed.agg(F.max("bucket")).first()[0]
-    starts = range(0, last + 1, wave_buckets) if last is not None else ()
+    placed, count = _buckets(todo, by, bucket_bytes)
+    placed = stage_table(placed, "buckets")
+    starts = range(0, count, wave_buckets)
     for start in starts:
         part = placed.where(F.col("bucket").between(start, start + wave_buckets - 1))
-        append(_read(part.repartitionByRange(wave_buckets, "bucket"), root, keys))
+        width = min(wave_buckets, count - start)
+        append(_read(part.repartitionById(width, F.col("bucket") - start), root, keys))
     return len(starts)
 
 

@@ -142,7 +142,7 @@ def _hash_large(items: DataFrame, fmt: str, by: list[str]) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for group, rows in batch.groupby(key, sort=False):
+            for group, rows in batch.groupby(key, sort=False, dropna=False):
                 first, held = None, []
                 for item, times in zip(rows["item"], rows["times"], strict=True):
                     if times > RUN:

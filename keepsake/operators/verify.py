@@ -21,7 +21,8 @@ def compare_for_verify(
 ) -> DataFrame:
     """``status`` per path of either side; both sides have ``size, mtime_ns, digest``.
 
-    Different bytes under the same size and mtime are ``corrupt``: nobody wrote the file.
+    Different bytes under the same size and mtime are ``corrupt``: nobody wrote the file. A file
+    that is there but gave no digest is ``unread``, which says nothing about its bytes.
     """
     old = sealed.select(
         *by,
@@ -43,6 +44,7 @@ def compare_for_verify(
     status = (
         F.when(F.col("new_mtime_ns").isNull(), "missing")
         .when(F.col("old_mtime_ns").isNull(), "added")
+        .when(F.col("actual").isNull(), "unread")
         .when(F.col("expected").isNull() | F.col("expected").eqNullSafe(F.col("actual")), "ok")
         .when(same_stat, "corrupt")
         .otherwise("modified")
@@ -83,21 +85,24 @@ def verify_review_items(results: DataFrame, by: Sequence[str] = BY) -> DataFrame
 def verify_outcome(results: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Per project: the resulting state, whether a full generation follows, and the counts.
 
-    A clean verification stamps ``last_verified_at`` only; a problem writes nothing.
+    A clean verification stamps ``last_verified_at`` only; a problem writes nothing. With an unread
+    file the project is in error, whatever the others are.
     """
     counts = results.groupBy(*by).agg(
         F.count_if(F.col("status").isin(*VERIFY_PROBLEMS)).alias("problems"),
         F.count_if(F.col("status") == "ok").alias("verified"),
         F.count_if(F.col("status") == "added").alias("added"),
+        F.count_if(F.col("status") == "unread").alias("__unread"),
     )
-    clean = F.col("problems") == 0
+    whole = F.col("__unread") == 0
+    clean = whole & (F.col("problems") == 0)
     return counts.withColumns(
         {
-            "state": F.when(clean, "sealed").otherwise("needs_review"),
+            "state": F.when(~whole, "error").when(clean, "sealed").otherwise("needs_review"),
             "writes_generation": clean,
             "stamps_verified": clean,
         }
-    )
+    ).drop("__unread")
 
 
 def verify_eligible(projects: DataFrame, requested: DataFrame) -> DataFrame:

@@ -701,7 +701,7 @@ def _kept_record(fx: Fixtures) -> DataFrame:
     """Projects below 12 were sealed without the files that differ now."""
     sealed, current = fx["fx_sealed"], fx["fx_current"]
     rows = diff.diff_against_sealed(current, sealed).where("change = 'unchanged'")
-    early = F.substring("project", 4, 9).cast("int") < 12
+    early = F.expr("substring(project, 4)").cast("int") < 12
     return (
         sealed.where(early)
         .join(rows.select("project", "rel_path"), ["project", "rel_path"], "left_semi")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keepsake.config import ORIGIN_FORMATS, PRIMARY_FORMAT
 from keepsake.functions.text import path_lists
 from keepsake.operators import diff, generations, origin, verify
-from keepsake.session import stage
+from keepsake.session import stage_table
 
 BY = ("project",)
 
@@ -30,6 +30,44 @@ class Result:
     outcome: DataFrame  # (project, state, review_reason, writes_generation, files, bytes)
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Written as a table, so that what several results need is computed once."""
+    return stage_table(df, "job")
+
+
+def _good(digests: DataFrame) -> DataFrame:
+    """Digests of files that were read whole; the reader's ``status``, if given, says which."""
+    good = F.col("digest").isNotNull()
+    if "status" in digests.columns:
+        good = good & (F.col("status") == "ok")
+    return digests.where(good)
+
+
+def _unread(files: DataFrame, good: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Projects with a file that has no digest: their job has failed and records nothing."""
+    lacking = files.join(good.select(*by, "rel_path").distinct(), [*by, "rel_path"], "left_anti")
+    text = F.concat(F.col("n_paths").cast("string"), F.lit(" files without a digest: "), "listed")
+    return path_lists(lacking, by).select(
+        *by, text.alias("review_reason"), F.lit("error").alias("blocked")
+    )
+
+
+def _whole(
+    files: DataFrame, digests: DataFrame, primary: str, by: Sequence[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files and digests of the projects that were read whole, and why the others were not.
+
+    The reader's rows are taken once, however many results are derived from them; digests of paths
+    that are no present file are left out.
+    """
+    read = _once(digests)
+    good = _good(read)
+    unread = _once(_unread(files, good.where(F.col("fmt") == primary), by))
+    present = files.join(unread.select(*by), list(by), "left_anti")
+    kept = good.join(present.select(*by, "rel_path").distinct(), [*by, "rel_path"], "left_semi")
+    return present, kept.select(*by, "rel_path", "fmt", "digest"), unread
+
+
 def _inherited(expected: DataFrame, by: Sequence[str]) -> DataFrame:
     """The origin formats of each project (three at most)."""
     kinds = expected.where(F.col("fmt").isin(*ORIGIN_FORMATS))
@@ -115,11 +153,14 @@ def seal(
 
     ``files`` are the present files, ``digests`` ``(project, rel_path, fmt, digest)`` of them,
     ``expected`` the merged origin digests, ``history`` earlier entries with ``generation_no``.
+    A project with a file whose primary digest is absent, null or not ``ok`` ends in ``error``.
     """
-    problems = stage(origin.origin_problems(expected, files, digests, by=by))
-    origin_reasons = stage(_origin_reasons(problems, by))
+    all_files = files
+    files, digests, unread = _whole(files, digests, primary, by)
+    problems = _once(origin.origin_problems(expected, files, digests, by=by))
+    origin_reasons = _once(_origin_reasons(problems, by))
     clean = digests.join(origin_reasons.select(*by), list(by), "left_anti")
-    actions = stage(
+    actions = _once(
         generations.assign_actions(
             _with_inherited(clean, expected, by), history, F.col("inherited"), by
         ).drop("inherited")
@@ -133,15 +174,15 @@ def seal(
     )
     gone = gone.withColumn("problem", F.lit("missing"))
     failed = actions.where(F.col("problem").isNotNull()).select(*by, "rel_path", "problem")
-    history_reasons = stage(_history_reasons(failed.unionByName(gone), by))
-    reasons = origin_reasons.unionByName(history_reasons)
+    history_reasons = _once(_history_reasons(failed.unionByName(gone), by))
+    reasons = origin_reasons.unionByName(history_reasons).unionByName(unread)
     entries = actions.join(history_reasons.select(*by), list(by), "left_anti").drop("problem")
     written = clean_files.join(history_reasons.select(*by), list(by), "left_anti")
     return Result(
         entries,
         _sealed_rows(written, digests, primary, by),
         problems,
-        _outcome(files, reasons, by),
+        _outcome(all_files, reasons, by),
     )
 
 
@@ -155,28 +196,30 @@ def append(
     by: Sequence[str] = BY,
 ) -> Result:
     """A partial generation with the added files; anything modified or deleted goes to review."""
-    rows = stage(diff.diff_against_sealed(files, sealed, by).where("change <> 'unchanged'"))
-    diff_reasons = stage(_review(diff.review_reason(rows, by)))
+    rows = _once(diff.diff_against_sealed(files, sealed, by).where("change <> 'unchanged'"))
+    diff_reasons = _once(_review(diff.review_reason(rows, by)))
     added = (
         rows.where(F.col("change") == "added")
         .join(diff_reasons.select(*by), list(by), "left_anti")
         .select(*by, "rel_path", F.col("new_size").alias("size"),
                 F.col("new_mtime_ns").alias("mtime_ns"))
     )
+    added, digests, unread = _whole(added, digests, primary, by)
     scoped = origin.append_scope(expected, added.withColumn("change", F.lit("added")), by)
     new_digests = digests.join(added.select(*by, "rel_path"), [*by, "rel_path"], "left_semi")
-    problems = stage(origin.origin_problems(scoped, added, new_digests, by=by))
-    origin_reasons = stage(_origin_reasons(problems, by))
+    problems = _once(origin.origin_problems(scoped, added, new_digests, by=by))
+    origin_reasons = _once(_origin_reasons(problems, by))
     kept = added.join(origin_reasons.select(*by), list(by), "left_anti")
-    actions = stage(
+    actions = _once(
         generations.partial_generation(
             _with_inherited(new_digests, scoped, by), kept, history, F.col("inherited"), by
         ).drop("inherited", "is_full")
     )
-    history_reasons = stage(_history_reasons(actions.where(F.col("problem").isNotNull()), by))
+    history_reasons = _once(_history_reasons(actions.where(F.col("problem").isNotNull()), by))
     kept = kept.join(history_reasons.select(*by), list(by), "left_anti")
     entries = actions.join(history_reasons.select(*by), list(by), "left_anti").drop("problem")
     reasons = diff_reasons.unionByName(origin_reasons).unionByName(history_reasons)
+    reasons = reasons.unionByName(unread)
     new_rows = _sealed_rows(kept, digests, primary, by)
     old_rows = sealed.select(*by, "rel_path", "size", "mtime_ns", "digest")
     # Counted before the project is a join key, so the count is combined before its shuffle.
@@ -217,32 +260,34 @@ def accept_new_version(
 
     Origin problems only cost the files concerned their origin formats. ``old_generations`` has
     ``epoch`` and ``superseded_at``; they come back with the accepted ones stamped, and the
-    outcome says which epoch begins.
+    outcome says which epoch begins. A project that was not read whole ends in ``error`` and keeps
+    its history; accepting clears the review, so no review items are left.
     """
-    problems = stage(origin.origin_problems(expected, files, digests, by=by))
+    all_files = files
+    files, digests, unread = _whole(files, digests, primary, by)
+    problems = _once(origin.origin_problems(expected, files, digests, by=by))
     kept = origin.accept_overrides(digests, problems, by)
     nothing = digests.limit(0).withColumn("generation_no", F.lit(0))
     entries = generations.assign_actions(
         _with_inherited(kept, expected, by), nothing, F.col("inherited"), by
     ).drop("inherited", "problem")
     warnings = problems.groupBy(*by).agg(F.count(F.lit(1)).alias("overridden"))
-    none = _review(files.limit(0).select(*by, F.lit("").alias("review_reason")))
     epochs = old_generations.groupBy(*by).agg(F.max("epoch").alias("epoch"))
     outcome = (
-        _outcome(files, none, by)
+        _outcome(all_files, unread, by)
         .join(warnings, list(by), "left")
         .join(epochs, list(by), "left")
         .withColumns(
             {
                 "overridden": F.coalesce("overridden", F.lit(0)),
-                "epoch": F.coalesce("epoch", F.lit(0)) + 1,
-                "generation_no": F.lit(1),
+                "epoch": F.coalesce("epoch", F.lit(0)) + F.col("writes_generation").cast("int"),
+                "generation_no": F.when(F.col("writes_generation"), 1),
             }
         )
     )
     aside = generations.supersede_history(old_generations, files.select(*by), stamp, by)
-    result = Result(entries, _sealed_rows(files, digests, primary, by), problems, outcome)
-    return result, aside
+    sealed = _sealed_rows(files, digests, primary, by)
+    return Result(entries, sealed, problems.limit(0), outcome), aside
 
 
 def verify_projects(
@@ -254,15 +299,22 @@ def verify_projects(
 ) -> tuple[Result, DataFrame]:
     """Compare a fresh read (``current`` with ``digest``) with the record.
 
-    A clean project gets a full generation and ``last_verified_at``; a problem writes nothing.
-    Also gives the result row of every file.
+    A clean project gets a full generation and ``last_verified_at``; a problem writes nothing. A
+    project with a file that could not be read (null digest, or ``status`` not ok) is not judged:
+    it ends in ``error``. Also gives the result row of every file.
     """
-    results = stage(verify.compare_for_verify(sealed, current, by))
-    reasons = stage(_review(verify.verify_reason(results, by)))
+    current = _once(current)
+    good = _good(current)
+    unread = _once(_unread(current, good, by))
+    read = good.select(*by, "rel_path", F.col("digest").alias("__read"))
+    seen = current.join(read, [*by, "rel_path"], "left").withColumn("digest", F.col("__read"))
+    results = _once(verify.compare_for_verify(sealed, seen, by))
+    judged = results.join(unread.select(*by), list(by), "left_anti")
+    reasons = _once(_review(verify.verify_reason(judged, by)).unionByName(unread))
     clean = current.join(reasons.select(*by), list(by), "left_anti")
     given = clean.select(*by, "rel_path", F.lit(fmt).alias("fmt"), "digest")
-    actions = stage(generations.assign_actions(given, history, (), by))
-    disagreeing = stage(
+    actions = _once(generations.assign_actions(given, history, (), by))
+    disagreeing = _once(
         _history_reasons(actions.where(F.col("problem").isNotNull()), by).withColumn(
             "review_reason", F.concat(F.lit("verification: "), "review_reason")
         )
@@ -274,4 +326,4 @@ def verify_projects(
         current, reasons.unionByName(disagreeing), by, stamps_verified=stamps
     )
     rows = written.select(*by, "rel_path", "size", "mtime_ns", "digest")
-    return Result(entries, rows, verify.verify_review_items(results, by), outcome), results
+    return Result(entries, rows, verify.verify_review_items(judged, by), outcome), results

@@ -450,7 +450,7 @@ checked as (
 )
 def archive_totals(fx: Fixtures) -> DataFrame:
     sealed = fx["fx_sealed"]
-    number = F.substring("project", 4, 9).cast("int")
+    number = F.expr("substring(project, 4)").cast("int")
     projects = sealed.select("project").distinct().select(
         "project",
         (F.expr("timestamp '1998-01-01 23:30:00'") + F.make_dt_interval(number * 3))
@@ -490,10 +490,8 @@ counters as (
 
 @query(
     PLANNED,
-    """select *, projects || ' project folders watched in the archive. ' || to_decide
-              || ' need a decision, ' || unsealed || ' are not sealed yet, ' || in_queue
-              || ' are in the queue, ' || sealed || ' are sealed, ' || ignored || ' are ignored.'
-              as sentence
+    """select *, 'projects ' || projects || ', to_decide ' || to_decide || ', unsealed ' || unsealed
+              || ', in_queue ' || in_queue || ', sealed ' || sealed || ', ignored ' || ignored as sentence
        from counters""",
     ctes=COUNTS,
 )
@@ -624,11 +622,11 @@ def project_list(fx: Fixtures) -> DataFrame:
                    || case when verified_on <> '' then ' · verified ' || verified_on else '' end
                  when 'needs_review' then 'review: something changed since the last seal'
                  when 'unsealed' then case when preexisting
-                   then 'no manifest yet · press Seal to create it'
-                   else 'no manifest yet · seals itself after 168 h without changes' end
+                   then 'no generation · sealed on request only'
+                   else 'no generation · due after 168 h without changes' end
                  when 'changed' then
-                   'new files since the last seal · added to the manifest after 168 h without changes'
-                 when 'queued' then 'queued · runs after working hours'
+                   'added files · appended after 168 h without changes'
+                 when 'queued' then 'queued · outside working hours'
                  when 'hashing' then 'reading files'
                  when 'ignored' then 'ignored'
                  else 'missing: not on disk since '
@@ -639,27 +637,16 @@ def project_list(fx: Fixtures) -> DataFrame:
                  case when state = 'missing' and verified_on <> '' then 'verified OK ' || verified_on end)
                  as meta,
                case state
-                 when 'sealed' then 'Sealed on ' || sealed_on || '. Nothing has changed since.'
-                   || case when verified_on <> '' then ' Last verified on ' || verified_on || '.' else '' end
-                 when 'needs_review' then
-                   case when starts_with(review_reason, 'verification:')
-                        then 'The periodic verification found problems: '
-                             || 'something changed since the last seal. Decide what to do.'
-                        else 'Files changed since the last seal (something changed).'
-                             || ' Is this the new final version?' end
-                 when 'unsealed' then
-                   'No manifest yet. Press Seal when the archiving of this project is finished.'
-                   || case when preexisting then ''
-                           else ' If nobody does, it seals itself after 168 h without changes.' end
-                 when 'changed' then 'New files were added since the last seal, which is fine.'
-                   || ' They join the manifest after 168 h without changes.'
-                 when 'queued' then 'Queued. The app works on it after working hours.'
-                 when 'hashing' then 'Reading every file to write the manifest.'
-                 when 'ignored' then 'Ignored. The app leaves this folder alone.'
-                 else 'This project''s files have not been on disk since '
-                   || strftime({at_home('missing_since')}, '%Y-%m-%d %H:%M')
-                   || '. Retry looks for them again. Forget permanently deletes the app''s record and the'
-                   || ' saved MHL history of this project; the archive itself is not touched.' end as detail
+                 when 'sealed' then concat_ws('; ', 'generation of ' || sealed_on,
+                   case when verified_on <> '' then 'proved on ' || verified_on end)
+                 when 'needs_review' then 'held for review: changed'
+                 when 'unsealed' then case when preexisting then 'first generation on request'
+                   else 'first generation after 168 quiet hours' end
+                 when 'changed' then 'partial generation after 168 quiet hours'
+                 when 'queued' then 'work item waits for its hours'
+                 when 'hashing' then 'files are being read'
+                 when 'ignored' then 'not scanned'
+                 else 'absent since ' || strftime({at_home('missing_since')}, '%Y-%m-%d %H:%M') end as detail
         from (select *, coalesce(strftime({at_home('last_sealed_at')}, '%Y-%m-%d'), '') as sealed_on,
                      coalesce(strftime({at_home('last_verified_at')}, '%Y-%m-%d'), '') as verified_on
               from fx_known)""",
@@ -674,20 +661,12 @@ named as (
   from fx_jobs j left join fx_projects p on p.id = j.project_id),
 labelled as (
   select *,
-    case kind when 'seal' then 'Sealing' when 'append' then 'Adding new files to'
-      when 'accept_new_version' then 'Sealing a new version of'
-      when 'verify' then case when trigger_kind = 'manual' then 'Verify now' else 'Verifying' end
-      else 'Updating the archive manifest' end as running_label,
-    case kind when 'seal' then 'Seal' when 'append' then 'Add new files to'
-      when 'accept_new_version' then 'Seal a new version of'
-      when 'verify' then case when trigger_kind = 'manual' then 'Verify now' else 'Verify' end
-      else 'Update the archive manifest' end as queued_label,
-    case kind when 'seal' then 'Sealed' when 'append' then 'Added new files to'
-      when 'accept_new_version' then 'Sealed a new version of' when 'verify' then 'Verified'
-      else 'Updated the archive manifest' end as done_label,
-    case kind when 'seal' then 'Could not seal' when 'append' then 'Could not add new files to'
-      when 'accept_new_version' then 'Could not seal a new version of' when 'verify' then 'Could not verify'
-      else 'Could not update the archive manifest' end as failed_label
+    case kind when 'accept_new_version' then 'new version' when 'root_manifest' then 'archive manifest'
+      else kind end as work,
+    kind = 'verify' and trigger_kind = 'manual' as by_hand,
+    case when by_hand then 'Verify now' else work || ' running:' end as running_label,
+    case when by_hand then 'Verify now' else work || ' queued:' end as queued_label,
+    work || ' done:' as done_label, work || ' failed:' as failed_label
   from named)"""
 
 
@@ -720,10 +699,10 @@ def review_of_work(fx: Fixtures) -> DataFrame:
 @query(
     PLANNED,
     f"""select section, cast(rank as int) as rank, "when", id, tone, text, detail, percent from (
-         select 0 as section, 1 as rank, 'now' as "when", id, 'running' as tone, concat_ws(' ', running_label, name) as text,
+         select 0 as section, row_number() over (order by id desc) as rank, 'now' as "when", id, 'running' as tone, concat_ws(' ', running_label, name) as text,
                 files_done || ' of ' || files_total || ' files · 0 B of 0 B' as detail,
                 least(100, cast(floor(files_done * 100 / files_total) as bigint)) as percent
-         from labelled where state = 'running' qualify row_number() over (order by id desc) = 1
+         from labelled where state = 'running'
          union all
          select 1, row_number() over (order by priority desc, id) as rank, 'next', id, 'queued',
                 concat_ws(' ', queued_label, name), '', null
@@ -736,15 +715,18 @@ def review_of_work(fx: Fixtures) -> DataFrame:
                 strftime({at_home('finished_at')}, '%Y-%m-%d %H:%M'), id,
                 case when state = 'done' and review is not null then 'review' else state end,
                 case when state = 'failed' then concat_ws(' ', failed_label, name)
-                     when state = 'cancelled' then 'Cancelled: ' || concat_ws(' ', queued_label, name)
+                     when state = 'cancelled' then 'cancelled, ' || concat_ws(' ', queued_label, name)
                      when review is not null and kind = 'verify'
-                       then concat_ws(' ', 'Verification found problems in', name)
-                     when review is not null then coalesce(name, 'A project') || ' needs your decision'
+                       then concat_ws(' ', 'verify found problems:', name)
+                     when review is not null then concat_ws(' ', 'held for review:', name)
                      else concat_ws(' ', done_label, name) end,
                 case when state = 'done' and review is not null and kind = 'verify' then review
-                     when state = 'done' and review is not null then 'nothing was written: ' || review
+                     when state = 'done' and review is not null then 'nothing recorded: ' || review
                      when state = 'done' then files_total || ' files · 0 B' else '' end, null
-         from labelled where state not in ('running', 'queued') qualify rank <= 8)""",
+         from labelled where state not in ('running', 'queued') qualify rank <= 8
+         union all
+         select 2, 9, 'before', null, 'older', 'and ' || (count(*) - 8) || ' more', '', null
+         from labelled where state not in ('running', 'queued') having count(*) > 8)""",
     ctes=WORK_NAMES,
 )
 def activity_log(fx: Fixtures) -> DataFrame:

@@ -287,7 +287,7 @@ projects as (
 
 
 def _projects(fx: Fixtures) -> DataFrame:
-    number = F.substring("project", 4, 9).cast("int")
+    number = F.expr("substring(project, 4)").cast("int")
     kind = number % 6
     return (
         fx["fx_current"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +31,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, as a full URI.
 
-    Without one a local session (tests) gets a temporary folder; a cluster session is refused,
-    because a folder of one machine is lost with that machine.
+    A path without a scheme lies in the cluster's default file system, which only Spark knows; the
+    URI means the same to Spark and to the tasks that open files themselves. Unset, a local session
+    takes a folder below its warehouse; a cluster session is refused.
     """
     context = spark.sparkContext
     configured = (
@@ -46,10 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="keepsake-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/__staged"
+    path = context._jvm.org.apache.hadoop.fs.Path(configured)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        context.setCheckpointDir(full)
+    return full
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -136,11 +136,9 @@ def test_sentences(spark):
         df = spark.createDataFrame([(s,) for s in states], "state string")
         return reports.context_sentence(reports.state_counters(df)).first().sentence
 
-    assert sentence() == "No projects found yet. The first round lists them."
-    assert sentence("ignored").startswith("Every project is ignored: 1 in all.")
-    assert sentence("error", "sealed", "sealed", "changed") == (
-        "4 project folders watched in the archive. 1 needs a decision, 1 is in the queue,"
-        " 2 are sealed."
+    assert sentence() == "projects 0, to_decide 0, unsealed 0, in_queue 0, sealed 0, ignored 0"
+    assert sentence("error", "sealed", "sealed", "changed", "ignored") == (
+        "projects 4, to_decide 1, unsealed 0, in_queue 1, sealed 2, ignored 1"
     )
 
 
@@ -178,22 +176,24 @@ def test_activity_tones(spark):
     seen = F.lit(day)
     reviews = reports.review_of_work(log)
     out = reports.activity_log(work, seen, "UTC", reviews, names, limit=2)
-    assert [r.when for r in out.collect()] == ["now", "next", "next", "next", "03:00", "02:00"]
+    assert [r.when for r in out.collect()] == [
+        "now", "next", "next", "next", "03:00", "02:00", "before"]
     got = [(r.tone, r.text, r.detail) for r in out.collect()]
     assert got == [
-        ("running", "Sealing film", "1 of 2 files · 0 B of 0 B"),
-        ("queued", "Verify film", ""),
-        ("queued", "Seal film", ""),
+        ("running", "seal running: film", "1 of 2 files · 0 B of 0 B"),
+        ("queued", "verify queued: film", ""),
+        ("queued", "seal queued: film", ""),
         ("queued", "and 1 more", ""),
-        ("cancelled", "Cancelled: Seal film", ""),
-        ("failed", "Could not add new files to film", ""),
+        ("cancelled", "cancelled, seal queued: film", ""),
+        ("failed", "append failed: film", ""),
+        ("older", "and 2 more", ""),
     ]
     trace = work.where("id = 0").withColumns({
         "kind": F.lit("retire"), "msg": F.lit("retired y/old film (history mirror deleted)"),
         "error": F.lit(None).cast("string")})
     gone = reports.activity_log(trace.withColumn("project_id", F.lit(None).cast("int")), seen).first()
-    assert (gone.text, gone.detail) == ("Forgot old film", trace.first().msg)
+    assert (gone.text, gone.detail) == ("removal done: old film", trace.first().msg)
     past = reports.activity_log(work, seen, "UTC", reviews, names, limit=9)
     done = {r.id: (r.tone, r.text, r.detail) for r in past.where("section = 2").collect()}
-    assert done[1] == ("review", "Verification found problems in film", "1 corrupt")
-    assert done[0] == ("done", "Sealed film", "2 files · 0 B")
+    assert done[1] == ("review", "verify found problems: film", "1 corrupt")
+    assert done[0] == ("done", "seal done: film", "2 files · 0 B")

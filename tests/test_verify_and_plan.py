@@ -53,14 +53,14 @@ def test_statuses(sides, rows):
         "gone": "missing",
         "new": "added",
         "unknown": "ok",
-        "unread": "corrupt",
+        "unread": "unread",
     }
 
 
 def test_reason_omits_zero_counts(sides):
     results = verify.compare_for_verify(*sides)
     assert verify.verify_reason(results).first().review_reason == (
-        "verification: 3 corrupt, 1 modified, 1 missing; files: gone, rot, rot_jitter, saved, unread"
+        "verification: 2 corrupt, 1 modified, 1 missing; files: gone, rot, rot_jitter, saved"
     )
     gone = verify.verify_reason(results.where("status = 'missing'")).first().review_reason
     assert gone == "verification: 1 missing; files: gone"
