@@ -25,12 +25,13 @@ def rejects_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def rejects_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one language makes up at least half; what has no letters goes."""
+    """Documents of which one language makes up at least a third; what has no letters goes. A text
+    with passages in other languages stays, as long as one of them stands out."""
     model = languages.train(docs, crc_rest(F.col("doc_id"), 5) > 0)
     own, back = set_aside(docs, ["score", "lang_pred"])
     found = languages.predict(own, model)
     return found.filter(
-        (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.5)
+        (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 1 / 3)
     ).select(back)
 
 
