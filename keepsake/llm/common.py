@@ -136,15 +136,22 @@ def sum_arrays(parts: DataFrame, at_once: int = 64, dtype: str = "<i8") -> DataF
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.empty(0, np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_BLOCK = 1 << 16  # bytes of a text that are hashed at once, to the end of the run there
+_powers = _inverses = np.empty(0, np.uint64)
 
 
-def _powers_up_to(n: int) -> np.ndarray:
-    global _powers
+def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** (i + 1) and base ** -i of each i below ``n``, or more of them, modulo 2 ** 64."""
+    global _powers, _inverses
     if len(_powers) < n:
+        some = max(_BLOCK, 2 * n)
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.full(max(64, 2 * n), np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)
-    return _powers
+            _powers = np.cumprod(np.full(some, np.uint64(_BASE)), dtype=np.uint64)
+            _inverses = np.full(some, np.uint64(pow(_BASE, -1, 1 << 64)))
+            _inverses[0] = 1
+            _inverses = np.cumprod(_inverses, dtype=np.uint64)
+    return _powers, _inverses
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -160,16 +167,24 @@ def run_hashes(text: bytes, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text, np.uint8)
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.uint8)
-    kind = kinds[data]
-    starts = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1))
-    lengths = np.diff(starts, append=len(data))
-    place = np.arange(len(data)) - np.repeat(starts, lengths)
-    powers = _powers_up_to(int(lengths.max()) + 1)
-    with np.errstate(over="ignore"):
-        values = (data.astype(np.uint64) + np.uint64(1)) * powers[place]
-        sums = np.add.reduceat(values, starts) + lengths.astype(np.uint64) * _FACTOR
-    keep = kind[starts] > 0
-    return mixed(sums[keep]), kind[starts][keep]
+    kind = np.frombuffer(text.translate(kinds.tobytes()), np.uint8)
+    borders = np.concatenate(([0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(data)]))
+    kept = np.flatnonzero(kind[borders[:-1]])
+    starts, ends = borders[kept], borders[kept + 1]
+    sums = (ends - starts).astype(np.uint64) * _FACTOR
+    first = 0
+    while first < len(starts):
+        begin = starts[first]
+        last = max(int(np.searchsorted(starts, begin + _BLOCK)), first + 1)
+        end = ends[last - 1]
+        powers, inverses = _powers_up_to(int(end - begin))
+        total = np.zeros(end - begin + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((data[begin:end] + np.uint64(1)) * powers[: end - begin], out=total[1:])
+            own = starts[first:last] - begin
+            sums[first:last] += (total[ends[first:last] - begin] - total[own]) * inverses[own]
+        first = last
+    return mixed(sums), kind[starts]
 
 
 #: For run_hashes: words are what stands between white space.

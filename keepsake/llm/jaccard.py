@@ -77,7 +77,9 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(n):
             total = total * np.uint64(0x9E3779B97F4A7C15) + own[k : k + count]
-    return np.unique(mixed(total))
+    total = mixed(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def node_of(own: np.ndarray) -> tuple[int, int]:
@@ -100,9 +102,11 @@ def signatures(
     n = len(own)
     spare = n - -(-spec.percent * n // 100)
     counts = held_by[own >> _TO_BIN]
-    order = np.lexsort((own, counts))
-    own, counts = own[order], counts[order]
     borders = [share * documents for share, _ in spec.classes]
+    if spare < n and (most := np.partition(counts, spare)[spare]) < borders[0]:
+        own, counts = own[counts <= most], counts[counts <= most]  # rare ones are enough
+    order = np.argsort(counts, kind="stable")
+    own, counts = own[order], counts[order]
     rank = np.searchsorted(borders, counts, "right")  # 0 is rare
     rare = int(np.count_nonzero(rank == 0))
     single = own[: min(rare, spare + 1)]

@@ -25,7 +25,7 @@ from keepsake.llm import (
     warc,
     wavelet,
 )
-from keepsake.llm.common import look_up, sum_arrays
+from keepsake.llm.common import BETWEEN_SPACE, look_up, run_hashes, sum_arrays
 from tools.check_oracle import oracle, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -330,3 +330,13 @@ def test_look_up_and_sums(spark, many_segments):
         F.col("id").alias("part"), F.lit("k").alias("key"), F.lit(struct.pack("<2q", 1, 2)).alias("values"))
     row = sum_arrays(parts, at_once=4).collect()
     assert len(row) == 1 and struct.unpack("<2q", row[0]["values"]) == (300, 600)
+
+
+def test_a_run_has_one_hash_wherever_it_stands():
+    """Texts of several blocks, and one run longer than a block."""
+    words = [b"w%d" % (i % 50) for i in range(60_000)] + [b"x" * 200_000, b"w3"]
+    hashes, kinds = run_hashes(b"  " + b" \t".join(words), BETWEEN_SPACE)
+    assert len(hashes) == len(words) and set(kinds.tolist()) == {1}
+    alone = {w: int(run_hashes(w, BETWEEN_SPACE)[0][0]) for w in set(words)}
+    assert hashes.tolist() == [alone[w] for w in words]
+    assert len(set(alone.values())) == len(alone)
