@@ -255,8 +255,8 @@ def append_scope(fx: Fixtures) -> DataFrame:
 
 BY_ID = ("project_id",)
 NEWEST = """
-newest as (select project_id, max(generation_no) as g from fx_gen_files group by project_id),
-given as (
+newest as materialized (select project_id, max(generation_no) as g from fx_gen_files group by project_id),
+given as materialized (
   select f.project_id, f.rel_path, 'md5' as fmt, f.digest from fx_gen_files f
   join newest n on n.project_id = f.project_id and n.g = f.generation_no
   union all
@@ -267,11 +267,11 @@ given as (
   select f.project_id, f.rel_path, 'xxh64', md5(f.digest) from fx_gen_files f
   join newest n on n.project_id = f.project_id and n.g = f.generation_no
   where starts_with(f.rel_path, 'd2/')),
-firsts as (
+firsts as materialized (
   select f.project_id, f.rel_path, min_by(f.digest, f.generation_no) as digest from fx_gen_files f
   join newest n on n.project_id = f.project_id and f.generation_no < n.g
   group by f.project_id, f.rel_path),
-acted as (
+acted as materialized (
   select g.*, case when f.digest is null then case when g.fmt = 'sha1' then 'verified' else 'original' end
                    when g.fmt = 'md5' then case when g.digest = f.digest then 'verified' else 'failed' end
                    when m.digest = f.digest then 'verified' else 'failed' end as action
