@@ -1,13 +1,17 @@
 """Licence scan: notices by TF-IDF cosine to templates, then inheritance from licence files.
 
 DataFrame operations only. A notice is a line with a licence word in it; of a file named like a
-licence, its whole text is one too. Its words are weighted by TF-IDF and compared with every
-template. What a licence file states holds for its directory, and a file without a notice of its
-own takes the licence of the nearest directory above it that has one.
+licence, its whole text is one too. Words are
+weighted by TF-IDF and compared with every template: short notices, standard headers and whole
+licence texts. What a licence file states holds for its directory, and a file without a notice of
+its own takes the licence of the nearest directory above it that has one.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files as package_files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from keepsake.llm.common import look_up
 from keepsake.session import stage_table
 
 # Identifiers and the wording of public licence notices.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -29,11 +33,7 @@ TEMPLATES = (
         " software and associated documentation files, to deal in the software without"
         " restriction.",
     ),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are"
-        " permitted provided that the following conditions are met.",
-    ),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
@@ -43,6 +43,7 @@ TEMPLATES = (
         " version 3 of the License, or any later version.",
     ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     (
@@ -60,6 +61,100 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
+#: Licence, "program" or "library", its family's name, version.
+_GNU = (
+    ("GPL-2.0", "program", "GNU General Public License", "2"),
+    ("GPL-3.0", "program", "GNU General Public License", "3"),
+    ("LGPL-2.1", "library", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-2.1", "program", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "library", "GNU Lesser General Public License", "3"),
+    ("LGPL-3.0", "program", "GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "program", "GNU Affero General Public License", "3"),
+)
+_ENDS = (
+    " along with this {0}. If not, see <https://www.gnu.org/licenses/>.",
+    " along with this {0}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street,"
+    " Fifth Floor, Boston, MA 02110-1301 USA.",
+)
+_CC = (
+    ("CC-BY-4.0", "Attribution", "by"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike", "by-sa"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial", "by-nc"),
+)
+#: Licences whose whole text lies in ``license_texts``.
+TEXTS = (
+    "AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0"
+    " MIT MPL-2.0 Unlicense".split()
+)
+
+
+def _headers() -> list[tuple[str, str]]:
+    found = [
+        (
+            "Apache-2.0",
+            "Licensed under the Apache License, Version 2.0 (the License); you may not use this"
+            " file except in compliance with the License. You may obtain a copy of the License at"
+            " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or"
+            " agreed to in writing, software distributed under the License is distributed on an AS"
+            " IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+            " See the License for the specific language governing permissions and limitations"
+            " under the License.",
+        ),
+        (
+            "MPL-2.0",
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+            " If a copy of the MPL was not distributed with this file, You can obtain one at"
+            " https://mozilla.org/MPL/2.0/.",
+        ),
+        (
+            "CC0-1.0",
+            "To the extent possible under law, the author has dedicated all copyright and related"
+            " and neighboring rights to this work to the public domain worldwide under CC0 1.0."
+            " This work is distributed without any warranty.",
+        ),
+    ]
+    for license, thing, name, version in _GNU:
+        may = (
+            f"This {thing} is free software: you can redistribute it and/or modify it under the"
+            f" terms of the {name} as published by the Free Software Foundation;"
+        )
+        later = f" either version {version} of the License, or (at your option) any later version."
+        hope = (
+            f" This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY"
+            " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+            f" PARTICULAR PURPOSE. See the {name} for more details. You should have received a"
+            f" copy of the {name}"
+        )
+        for which in (later, f" version {version} of the License."):
+            found.append((license, may + which))
+            found += [(license, may + which + hope + end.format(thing)) for end in _ENDS]
+    for license, name, short in _CC:
+        found.append(
+            (
+                license,
+                f"This work is licensed under a Creative Commons {name} 4.0 International License.",
+            )
+        )
+        found.append(
+            (
+                license,
+                f"This work is licensed under the Creative Commons {name} 4.0 International"
+                " License. To view a copy of this license, visit"
+                f" http://creativecommons.org/licenses/{short}/4.0/ or send a letter to Creative"
+                " Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+            )
+        )
+    return found
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The whole texts as their words, all that is compared."""
+    folder = package_files("keepsake.llm").joinpath("license_texts")
+    texts = [(x, folder.joinpath(f"{x}.txt").read_text("utf-8")) for x in TEXTS]
+    return [(x, " ".join(re.findall("[a-z0-9]+", text.lower()))) for x, text in texts]
+
+
+TEMPLATES = (*NOTICES, *_headers(), *_texts())
 NOTICE_WORDS = "licen[cs]e|copyright|permission|redistribut|public domain|spdx"
 LICENCE_NAMES = "(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
