@@ -1,7 +1,7 @@
 """Licence scan: notices by TF-IDF cosine to templates, then inheritance from licence files.
 
 DataFrame operations only. A notice is a line with a licence word in it; of a file named like a
-licence, its whole text is one too. Words are
+licence, its whole text is one too. A header is a run of lines with a licence word in it. Words are
 weighted by TF-IDF and compared with every template: short notices, standard headers and whole
 licence texts. What a licence file states holds for its directory, and a file without a notice of
 its own takes the licence of the nearest directory above it that has one.
@@ -156,6 +156,11 @@ def _texts() -> list[tuple[str, str]]:
 
 TEMPLATES = (*NOTICES, *_headers(), *_texts())
 NOTICE_WORDS = "licen[cs]e|copyright|permission|redistribut|public domain|spdx"
+_BLANK = "[ \\t\\r]*+"
+_BARE = "[ \\t\\r/*#;%!<>\"'.-]*+"  # no more than a comment's marks
+_COMMENTS = (
+    "(?im)(?:^[ \\t]*+(?://|#|\\*|/\\*|--|;|%|<!--|dnl\\b|rem\\b|\\.\\\\\")[^\\n]*+(?:\\n|\\z))++"
+)
 LICENCE_NAMES = "(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
 
@@ -168,8 +173,24 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     return spark.createDataFrame(rows, "template int, license string, notice string")
 
 
+def headers(files: DataFrame) -> DataFrame:
+    """path, notice: runs of lines up to a blank line, up to a blank or bare comment line, and of
+    comment lines alone."""
+    runs = F.concat(
+        F.split("text", f"\\n(?:{_BLANK}\\n)++"),
+        F.split("text", f"\\n(?:{_BARE}\\n)++"),
+        F.regexp_extract_all("text", F.lit(_COMMENTS), F.lit(0)),
+    )
+    return (
+        files.filter(F.lower("text").rlike(NOTICE_WORDS))
+        .select("path", F.explode(F.array_distinct(runs)).alias("notice"))
+        .filter(F.lower("notice").rlike(NOTICE_WORDS))
+    )
+
+
 def notices(files: DataFrame) -> DataFrame:
-    """path, unit (hash of the text), notice: the distinct notices of each path."""
+    """path, unit (hash of the text), notice, counted: the distinct notices and headers of each
+    path. Headers repeat what their lines say, so they aren't counted among the notices."""
     lines = files.select("path", F.explode(F.split("text", "\n")).alias("notice")).filter(
         F.lower("notice").rlike(NOTICE_WORDS)
     )
@@ -179,15 +200,18 @@ def notices(files: DataFrame) -> DataFrame:
     )
     return (
         lines.union(whole)
-        .withColumn("unit", F.md5(F.col("notice").cast("binary")))
-        .dropDuplicates(["path", "unit"])
+        .withColumn("counted", F.lit(True))
+        .union(headers(files).withColumn("counted", F.lit(False)))
+        .groupBy("path", F.md5(F.col("notice").cast("binary")).alias("unit"))
+        .agg(F.first("notice").alias("notice"), F.max("counted").alias("counted"))
     )
 
 
 def similarities(
     files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
 ) -> DataFrame:
-    """path, license, similarity (rounded to six places): the best template of every notice.
+    """path, license, similarity (rounded to six places): the best template of every notice or
+    header.
 
     The inverse document frequency of a template's word is counted over all notices; a word that
     no template has counts as unseen. The templates' words are few and fixed, so they are broadcast.
@@ -195,8 +219,8 @@ def similarities(
     spark = files.sparkSession
     found = stage_table(notices(files), "notices")
     terms = stage_table(
-        found.select("path", "unit", F.explode(words_of(F.col("notice"))).alias("word"))
-        .groupBy("path", "unit", "word")
+        found.select("path", "unit", "counted", F.explode(words_of(F.col("notice"))).alias("word"))
+        .groupBy("path", "unit", "counted", "word")
         .agg(F.count("*").alias("tf")),
         "notice-words",
     )
@@ -206,9 +230,14 @@ def similarities(
         .select("template", "license", F.explode(words_of(F.col("notice"))).alias("word"))
     )
     vocabulary = F.broadcast(known.select("word").distinct())
-    total = found.agg(F.count("*").alias("units"))  # one row
+    total = found.agg(F.count_if("counted").alias("units"))  # one row
     idf = F.log((F.lit(1.0) + F.col("units")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    held = terms.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("df"))
+    held = (
+        terms.filter("counted")
+        .join(vocabulary, "word")
+        .groupBy("word")
+        .agg(F.count("*").alias("df"))
+    )
     weights = stage_table(
         known.select("word").distinct()
         .join(held, "word", "left")
@@ -263,8 +292,8 @@ def scan(
 ) -> DataFrame:
     """Add own_license, similarity, license and inherited_from to every row of ``files``.
 
-    ``files`` has path and text. own_license is the licence of the path's best notice, if its
-    cosine is at least ``least`` (ties to the name that sorts first); else license is that of the
+    ``files`` has path and text. own_license is the licence of the path's best notice or header, if
+    its cosine is at least ``least`` (ties to the name that sorts first); else license is that of the
     nearest directory above with a licence file (path's own directory first, "" is the root) and
     inherited_from names this directory. Of several licence files of a directory the most similar
     notice counts. Null text has no notice; a null path is the empty path. Rows that repeat a path
