@@ -2,7 +2,8 @@
 
 The standard library's parser streams tags and text. Text is collected in lines, one per block
 element. Each line has a ratio of text to tags; the ratios are smoothed with a Gaussian and split
-in two clusters at a threshold, and runs of lines above it are the content regions.
+in two clusters at a threshold. The lines above it are the cores of content regions, which grow to
+the block around them, so that their short lines stay.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ UNSEEN = frozenset(
     "applet audio canvas embed head iframe math noembed noframes noscript object script style svg"
     " template title video".split()
 )
-BESIDE = frozenset(
-    "aside button datalist dialog fieldset footer form header input menu nav option search select"
-    " textarea".split()
-)
+CONTROLS = frozenset("button datalist input option select textarea".split())
+BESIDE = frozenset("aside dialog fieldset footer form header menu nav search".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that only part the text of the block around them.
+TEXT_BLOCKS = HEADINGS | frozenset(
+    "address blockquote caption dd details dl dt figcaption figure hgroup hr legend li ol p pre"
+    " summary table tbody td tfoot th thead tr ul".split()
+)
+HOLDERS = BLOCKS - TEXT_BLOCKS
 #: Words of class and id attributes, and roles, of what stands beside the text.
 BESIDE_WORDS = frozenset(
     "ad ads adsense advert advertisement advertising advertorial banner breadcrumb breadcrumbs"
@@ -56,35 +62,41 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "main", "group")
+    __slots__ = ("text", "tags", "linked", "node")
 
-    def __init__(self, main: int, group: int) -> None:
+    def __init__(self, node: int) -> None:
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.main, self.group = main, group
+        self.node = node
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page and the elements they stand in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self._open: list[tuple[str, bool, bool]] = []  # tag, shut, main
-        self._shut = self._main = self._links = self._mains = 0
-        self._group: list[int] = []
+        # Of every element: the one around it, tag, whether it is said to stand beside the text.
+        self.parents, self.names, self.beside = [-1], [""], [False]
+        # node, tag, unseen, line that goes on after it
+        self._open: list[tuple[int, str, bool, _Line | None]] = []
+        self._shut = self._main = self._links = 0
         self._line: _Line | None = None
         self._tags = 0
 
-    def _end_line(self) -> None:
-        self._line = None
+    def _unseen(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in UNSEEN or tag in CONTROLS:
+            return True
+        return tag not in ("html", "body", *MAIN) and any(
+            name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs
+        )
 
     def _beside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in UNSEEN or tag in BESIDE:
+        if tag in BESIDE:
             # The heading of an article stands in its own header element.
             return not (tag == "header" and self._main)
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", *MAIN):
             return False
         for name, value in attrs:
             if name in ("class", "id") and value:
@@ -92,29 +104,32 @@ class _Lines(HTMLParser):
                     return True
             elif name == "role" and value and value.strip().lower() in BESIDE_ROLES:
                 return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._tags += 1
+        if not self._shut:
+            self._tags += 1
         if tag in BLOCKS:
-            self._end_line()
+            self._line = None
         elif tag == "br" and self._line is not None:
             self._line.text.append(" ")
         if tag in VOID:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self._open:
-            if self._open[-1][0] == tag:  # its end tag was left out
+            if self._open[-1][1] == tag:  # its end tag was left out
                 self._pop()
-        shut, main = self._beside(tag, attrs), tag in MAIN
-        self._open.append((tag, shut, main))
-        self._shut += shut
+        unseen = self._unseen(tag, attrs)
+        beside = not unseen and self._beside(tag, attrs)
+        node = len(self.parents)
+        self.parents.append(self._open[-1][0] if self._open else 0)
+        self.names.append(tag)
+        self.beside.append(beside)
+        self._open.append((node, tag, unseen, self._line))
+        self._shut += unseen
         self._links += tag == "a"
-        if main:
-            self._mains += 1
-            self._group.append(self._mains)
-            self._main += 1
+        self._main += tag in MAIN
+        if beside:
+            self._line, self._tags = None, 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,33 +137,36 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _pop(self) -> None:
-        tag, shut, main = self._open.pop()
-        self._shut -= shut
+        node, tag, unseen, line = self._open.pop()
+        self._shut -= unseen
         self._links -= tag == "a"
-        if main:
-            self._main -= 1
-            self._group.pop()
+        self._main -= tag in MAIN
+        if self.beside[node]:  # its tags don't count for what follows
+            self._line, self._tags = None if tag in BLOCKS else line, 0
 
     def handle_endtag(self, tag: str) -> None:
-        self._tags += 1
+        if not self._shut:
+            self._tags += 1
         if tag in BLOCKS:
-            self._end_line()
+            self._line = None
         if tag in VOID:
             return
         for at in range(len(self._open) - 1, -1, -1):
-            if self._open[at][0] == tag:
+            if self._open[at][1] == tag:
                 while len(self._open) > at:
                     self._pop()
+                if tag in BLOCKS:
+                    self._line = None
                 return
             # An inline element doesn't end the block it stands in.
-            if self._open[at][0] in BLOCKS and tag not in BLOCKS:
+            if self._open[at][1] in BLOCKS and tag not in BLOCKS:
                 return
 
     def handle_data(self, data: str) -> None:
         if not data or self._shut:
             return
         if self._line is None:
-            self._line = _Line(self._main, self._group[-1] if self._group else 0)
+            self._line = _Line(self._open[-1][0] if self._open else 0)
             self.lines.append(self._line)
         line = self._line
         line.tags += self._tags
@@ -157,6 +175,40 @@ class _Lines(HTMLParser):
         if self._links:
             line.linked += len(data.strip())
 
+    def around(self, node: int) -> list[int]:
+        """The element and those around it, innermost first; 0 is the page."""
+        found = []
+        while node >= 0:
+            found.append(node)
+            node = self.parents[node]
+        return found
+
+
+def grown(
+    parser: _Lines, paths: list[list[int]], core: np.ndarray, linked: np.ndarray
+) -> np.ndarray:
+    """The lines of the regions around the core lines.
+
+    In an article or main element (the outermost) a region is the whole of it. Elsewhere it is the
+    block around the paragraphs, lists and tables, less its mostly linked lines and inner blocks
+    without a core line; headings right before a region belong to it.
+    """
+    names = parser.names
+
+    def place(path: list[int]) -> int:
+        at = [x for x in path if names[x] in MAIN]
+        if at:
+            return at[-1]
+        return next(x for x in path if names[x] in HOLDERS or x == 0)
+
+    places = [place(path) for path in paths]
+    regions = {p for p, c in zip(places, core) if c}
+    keep = np.array([p in regions and (names[p] in MAIN or not k) for p, k in zip(places, linked)])
+    for i in range(len(paths) - 2, -1, -1):
+        if keep[i + 1] and not linked[i] and any(names[x] in HEADINGS for x in paths[i]):
+            keep[i] = True
+    return keep
+
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; beyond the ends the outermost values go on."""
@@ -187,10 +239,10 @@ def threshold(values: np.ndarray) -> float:
 def extract(html: str | None, sigma: float = 1.0, joint: str = "\n\n") -> str:
     """The main text of a page; empty for null, empty and text-free input.
 
-    Lines inside menus, headers, footers, sidebars, notices, adverts, forms, comments and elements
-    that are not shown are out. If the page marks its text (``article``, ``main``), every other
-    line inside the marked element with a content region is text; else the lines of the content
-    regions are, mostly linked ones left out.
+    Lines inside menus, headers, footers, sidebars, adverts, forms, comments and elements that are
+    not shown are out. Of the others the clustering
+    chooses cores, outside marked elements (``article``, ``main``) only lines that are
+    not mostly linked, and the text is the regions around them (``grown``).
     """
     if not html:
         return ""
@@ -205,22 +257,20 @@ def extract(html: str | None, sigma: float = 1.0, joint: str = "\n\n") -> str:
             texts.append(text)
     if not lines:
         return ""
-    lengths = np.array([len(t) for t in texts], float)
-    linked = np.array([min(x.linked, n) for x, n in zip(lines, lengths)])
-    ratios = (lengths - linked) / np.array([max(x.tags, 1) for x in lines])
+    paths = [parser.around(x.node) for x in lines]
+    weights = np.array([max(len(t) - x.linked, 0) for x, t in zip(lines, texts)], float)
+    seen = [i for i, path in enumerate(paths) if not any(parser.beside[x] for x in path)]
+    if not seen:
+        return ""
+    paths = [paths[i] for i in seen]
+    lengths = np.array([len(texts[i]) for i in seen], float)
+    ratios = weights[seen] / np.array([max(lines[i].tags, 1) for i in seen])
     smooth = smoothed(np.log1p(ratios), sigma)
-    chosen = smooth >= threshold(smooth)
-    if any(x.main for x in lines):
-        # The regions say which marked elements hold text; their short lines belong to it.
-        groups = {x.group for x, c in zip(lines, chosen) if c and x.main}
-        weight: dict[int, float] = {}
-        for x, n in zip(lines, lengths):
-            weight[x.group] = weight.get(x.group, 0.0) + n * (x.main > 0)
-        groups = groups or {max(weight, key=lambda g: weight[g])}
-        chosen = np.array([x.main > 0 and x.group in groups for x in lines])
-    else:
-        chosen &= linked <= 0.5 * lengths
-    return joint.join(t for t, c in zip(texts, chosen) if c)
+    core = smooth >= threshold(smooth)
+    linked = weights[seen] < 0.5 * lengths
+    marked = np.array([any(parser.names[x] in MAIN for x in path) for path in paths])
+    keep = grown(parser, paths, core & (marked | ~linked), linked)
+    return joint.join(texts[i] for i, k in zip(seen, keep) if k)
 
 
 def extract_pages(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
