@@ -44,15 +44,24 @@ TEXT_BLOCKS = HEADINGS | frozenset(
     " summary table tbody td tfoot th thead tr ul".split()
 )
 HOLDERS = BLOCKS - TEXT_BLOCKS
-#: Words of class and id attributes, and roles, of what stands beside the text.
+#: Words of class and id attributes, and roles, of what stands beside the text. A compound counts
+#: if all its parts are such words, or one is and the others only say which or where.
 BESIDE_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising advertorial banner breadcrumb breadcrumbs"
-    " comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header"
-    " masthead menu menubar modal nav navbar navigation newsletter notice notices pagination popup"
-    " promo promoted promotion recommendations recommended related replies respond share sharing"
-    " sidebar sitemap skip social sponsor sponsored subscribe subscription toolbar widget"
+    "ad ads adsense advert advertisement advertising advertorial breadcrumb breadcrumbs comments"
+    " cookie cookies disqus footer gdpr masthead menu menubar nav navbar navigation newsletter"
+    " pagination popup promo promoted promotion recommendations recommended share sharing sidebar"
+    " sitemap social sponsor sponsored subscribe subscription toolbar".split()
+)
+#: Outside an article or main element only; inside they may name a part of the text.
+OUTSIDE_WORDS = frozenset(
+    "banner comment consent copyright disclaimer header modal related replies respond skip widget"
     " widgets".split()
 )
+WHICH_WORDS = frozenset(
+    "area banner bar block bottom box btn button buttons consent container form global group icons"
+    " item items left link links list main message notice notices overlay page panel placeholder"
+    " policy primary right secondary section site slot sticky top unit widget widgets".split()
+)
 BESIDE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation"
     " search".split()
@@ -61,6 +70,16 @@ SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def names_beside(value: str, inside: bool) -> bool:
+    """Whether a token of a class or id attribute names what stands beside the text."""
+    words = BESIDE_WORDS if inside else BESIDE_WORDS | OUTSIDE_WORDS
+    for token in value.split():
+        parts = [w.lower() for w in _PART.findall(token)]
+        if any(w in words for w in parts) and all(w in words or w in WHICH_WORDS for w in parts):
+            return True
+    return False
+
+
 class _Line:
     __slots__ = ("text", "tags", "linked", "node")
 
@@ -100,7 +119,7 @@ class _Lines(HTMLParser):
             return False
         for name, value in attrs:
             if name in ("class", "id") and value:
-                if any(w.lower() in BESIDE_WORDS for w in _PART.findall(value)):
+                if names_beside(value, self._main > 0):
                     return True
             elif name == "role" and value and value.strip().lower() in BESIDE_ROLES:
                 return True
@@ -184,6 +203,44 @@ class _Lines(HTMLParser):
         return found
 
 
+def shown(parser: _Lines, paths: list[list[int]], weights: np.ndarray) -> list[bool]:
+    """Which lines don't stand beside the text.
+
+    An element that is said to stand beside it is opened if it holds a main element; and, as long as
+    no article or main element is open, if it holds one or, in several lines, most of the text that
+    isn't linked. Heavy elements are asked first.
+    """
+    names = parser.names
+    held: dict[int, list[int]] = {}
+    blocked = [0] * len(paths)
+    marked = [any(names[x] in MAIN for x in path) for path in paths]
+    for i, path in enumerate(paths):
+        for x in path:
+            if parser.beside[x]:
+                held.setdefault(x, []).append(i)
+                blocked[i] += 1
+    if not held:
+        return [True] * len(paths)
+    open_marks = sum(m and not b for m, b in zip(marked, blocked))
+    total = float(weights.sum())
+    mass = {x: float(weights[lines].sum()) for x, lines in held.items()}
+    for x in sorted(held, key=lambda x: (-mass[x], x)):
+        lines = held[x]
+        inner = [{names[y] for y in paths[i][: paths[i].index(x)]} & MAIN for i in lines if marked[i]]
+        if any("main" in y for y in inner):
+            opens = True
+        elif open_marks:
+            opens = False
+        else:
+            heavy = sum(weights[i] > 0 for i in lines) > 1 and 2 * mass[x] > total
+            opens = any(inner) or heavy
+        if opens:
+            for i in lines:
+                blocked[i] -= 1
+                open_marks += marked[i] and not blocked[i]
+    return [not b for b in blocked]
+
+
 def grown(
     parser: _Lines, paths: list[list[int]], core: np.ndarray, linked: np.ndarray
 ) -> np.ndarray:
@@ -240,8 +297,8 @@ def extract(html: str | None, sigma: float = 1.0, joint: str = "\n\n") -> str:
     """The main text of a page; empty for null, empty and text-free input.
 
     Lines inside menus, headers, footers, sidebars, adverts, forms, comments and elements that are
-    not shown are out. Of the others the clustering
-    chooses cores, outside marked elements (``article``, ``main``) only lines that are
+    not shown are out, unless such an element is the page's frame (``shown``). Of the others the
+    clustering chooses cores, outside marked elements (``article``, ``main``) only lines that are
     not mostly linked, and the text is the regions around them (``grown``).
     """
     if not html:
@@ -259,7 +316,7 @@ def extract(html: str | None, sigma: float = 1.0, joint: str = "\n\n") -> str:
         return ""
     paths = [parser.around(x.node) for x in lines]
     weights = np.array([max(len(t) - x.linked, 0) for x, t in zip(lines, texts)], float)
-    seen = [i for i, path in enumerate(paths) if not any(parser.beside[x] for x in path)]
+    seen = [i for i, s in enumerate(shown(parser, paths, weights)) if s]
     if not seen:
         return ""
     paths = [paths[i] for i in seen]

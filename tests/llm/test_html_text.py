@@ -34,3 +34,20 @@ def test_short_lines_stay_with_their_region(page):
 
 def test_long_text_beside_a_marked_element_stays():
     assert html_text.extract(f"<article>{TEXT}</article><p>{LONG}</p>") == f"{WANT}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-comments", "sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_layout_wrappers(name, tag):
+    page = f"{MENU}<div class='{name}'><{tag}>{TEXT}</{tag}><div class='share'>Share this</div></div>"
+    assert html_text.extract(f"<html><body>{page}</body></html>") == WANT
+
+
+def test_parts_of_an_article_stay_and_what_stands_beside_it_goes():
+    page = f"""<article><div class="article-header"><h1>Its title</h1></div><section id="related-work">
+    <p>{LONG}</p></section><p class="notice">Short.</p><p>{LONG}</p></article>"""
+    assert html_text.extract(page) == WANT
+    other = f"""<section id="comments"><article><p>{LONG * 9}</article></section><div class="sidebar">
+    <p>{LONG * 9}<p>{LONG}</div><div class="ad-slot">{LONG}</div><aside><article>{LONG}</article></aside>"""
+    assert html_text.extract(f"<article>{TEXT}</article>{other}") == WANT
+    assert html_text.extract(f"<form>{TEXT}</form><div class='ad'>{LONG}</div>") == WANT
