@@ -6,6 +6,8 @@ rare n-grams first; two sets that are similar enough always have a signature in
 * N-grams fall in classes by the share of documents that hold them. A rare n-gram is a signature
   by itself. Of a frequent class, which is split further by hash, combinations of ``k`` n-grams
   are signatures, and the prefix is longer by ``k - 1`` n-grams for each part of a class in it.
+  Larger sets have more parts, so that signatures grow like the set: sizes fall in bands, each with
+  its number of parts, and a set that may be linked with one of the next band is indexed for both.
 * A prefix is long enough when leaving out any ``n - ceil(t * n)`` of its n-grams leaves ``k`` of
   one class. Sets too small for that are also indexed among each other by single n-grams.
 
@@ -47,6 +49,7 @@ BINS = 1 << 21  # in which the documents that hold an n-gram are counted
 _TO_BIN = np.uint64(43)
 CHUNKS = 32  # pieces in which the counts travel
 PROFILE = 128  # ranges of hashes that are counted per set
+AT_ONCE = 1 << 18  # signatures that leave a task in one batch
 MOST_BITS = 1 << 27  # of a Bloom filter, whatever the number of its members
 _SMALL = np.uint64(0x5851F42D4C957F2D)  # marks signatures among small sets
 
@@ -54,7 +57,7 @@ _SMALL = np.uint64(0x5851F42D4C957F2D)  # marks signatures among small sets
 @dataclass(frozen=True)
 class Spec:
     """``percent`` is the least similarity; ``classes`` the least share of documents and the
-    ``k`` of each frequent class; ``parts`` how many parts such a class has."""
+    ``k`` of each frequent class; ``parts`` how many parts such a class has at least."""
 
     words: int = 5
     percent: int = 80
@@ -95,6 +98,33 @@ def profile_of(own: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def _combined(tokens: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` of the sorted ``tokens``."""
+    groups = tokens[np.array(list(combinations(range(len(tokens)), k)), np.int64).reshape(-1, k)]
+    total = np.full(len(groups), np.uint64(k))
+    with np.errstate(over="ignore"):
+        for column in groups.T:
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + column)
+    return total
+
+
+def parts_of(n: int, spec: Spec) -> list[int]:
+    """Into how many parts a frequent class is split for sets that one of ``n`` may be linked with;
+    two sets whose sizes allow a link have a number in common."""
+    width = max(2, -(-100 // spec.percent))
+    low = 1
+    while low * width <= n:
+        low *= width
+    lows = [low, low * width] if 100 * n >= spec.percent * low * width else [low]
+    more = max(1, sum(k - 1 for _, k in spec.classes))
+    found = set()
+    for low in lows:
+        common = -(-spec.percent * low // 100)
+        # The prefix, longer by the parts, must fit in the set.
+        found.add(max(spec.parts, min((low - common) // 4, spec.percent * common // (200 * more))))
+    return sorted(found)
+
+
 def signatures(
     own: np.ndarray, held_by: np.ndarray, documents: int, spec: Spec
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -111,25 +141,26 @@ def signatures(
     rare = int(np.count_nonzero(rank == 0))
     single = own[: min(rare, spare + 1)]
     found, places = [mixed(single)], [np.arange(len(single))]
-    left = spare + 1 - len(single)
-    if left > 0:
-        parts: dict[tuple[int, int], list[int]] = {}
-        for token, kind in zip(own[rare:].tolist(), rank[rare:].tolist()):
-            part = parts.setdefault((kind, token % spec.parts), [])
-            part.append(token)
-            left -= len(part) >= spec.classes[kind - 1][1]
-            if not left:
-                break
-        for (kind, _), tokens in sorted(parts.items()):
-            k = spec.classes[kind - 1][1]
-            groups = np.array(list(combinations(sorted(tokens), k)), np.uint64).reshape(-1, k)
-            total = np.full(len(groups), np.uint64(k))
-            with np.errstate(over="ignore"):
-                for column in groups.T:
-                    total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + column)
-            found.append(total)
-            places.append(np.full(len(total), -1))
-        if left > 0:  # a small set
+    if len(single) <= spare:
+        small, groups = False, []
+        for n_parts in parts_of(n, spec):
+            left = spare + 1 - len(single)
+            parts: dict[tuple[int, int], list[int]] = {}
+            for token, kind in zip(own[rare:].tolist(), rank[rare:].tolist()):
+                part = parts.setdefault((kind, token % n_parts), [])
+                part.append(token)
+                left -= len(part) >= spec.classes[kind - 1][1]
+                if not left:
+                    break
+            for (kind, _), tokens in sorted(parts.items()):
+                k = spec.classes[kind - 1][1]
+                groups.append(_combined(np.sort(np.array(tokens, np.uint64)), k))
+            small |= left > 0
+        if groups:
+            combined = np.unique(np.concatenate(groups))
+            found.append(combined)
+            places.append(np.full(len(combined), -1))
+        if small:
             some = mixed(own[: spare + 1] ^ _SMALL)
             found.append(some)
             places.append(np.full(len(some), -1))
@@ -236,29 +267,44 @@ def in_bloom(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _index(docs: DataFrame, counts, documents: int, spec: Spec, wanted=None) -> DataFrame:
-    """sig, k1, k2, n, place of every signature (that may be in ``wanted``) of every row."""
+    """sig, k1, k2, n, place of every signature (that may be in ``wanted``) of every node; a task
+    indexes a node once, whatever the number of its rows there."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_by = None
+        seen: set[tuple[int, int]] = set()
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        waits = 0
+
+        def gathered() -> Iterator[pa.RecordBatch]:
+            whole = [np.concatenate(c) for c in columns]
+            for at in range(0, len(whole[0]), AT_ONCE):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[at : at + AT_ONCE], pa.int64()) for c in whole],
+                    names=["sig", "k1", "k2", "n", "place"],
+                )
+
         for batch in slices(batches, 64):
             held_by = counts.value if held_by is None else held_by
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             for text in texts_of(batch.column(1)):
                 own = shingles(text, spec.words)
-                if len(own):
-                    found, places = signatures(own, held_by, documents, spec)
-                    if wanted is not None:
-                        keep = in_bloom(wanted.value, found)
-                        found, places = found[keep], places[keep]
-                    k1, k2 = node_of(own)
-                    same = [np.full(len(found), x) for x in (k1, k2, len(own))]
-                    for have, more in zip(columns, [found.view(np.int64), *same, places]):
-                        have.append(more)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), pa.int64()) for c in columns],
-                    names=["sig", "k1", "k2", "n", "place"],
-                )
+                node = node_of(own)
+                if not len(own) or node in seen:
+                    continue
+                seen.add(node)
+                found, places = signatures(own, held_by, documents, spec)
+                if wanted is not None:
+                    keep = in_bloom(wanted.value, found)
+                    found, places = found[keep], places[keep]
+                same = [np.full(len(found), x) for x in (*node, len(own))]
+                for have, more in zip(columns, [found.view(np.int64), *same, places]):
+                    have.append(more)
+                waits += len(found)
+                if waits >= AT_ONCE:
+                    yield from gathered()
+                    columns, waits = [[] for _ in range(5)], 0
+        if waits:
+            yield from gathered()
 
     return docs.mapInArrow(task, "sig long, k1 long, k2 long, n long, place long")
 
