@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import set_aside, slices, texts_of
+from keepsake.session import stage, stage_table
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ADDED = ["n_words", "n_hit", "items", "spans", "contaminated"]
@@ -109,22 +111,50 @@ def scan(
     word is hit and hit words times ``report`` are at least the words. Null and empty texts have no
     words, a null item_id is the empty string, an empty benchmark hits nothing. Columns of ``docs``
     with one of these names are replaced. Each block of test text (``block_bytes`` at most, or one
-    item) is broadcast on its own and the documents pass through one block after another.
+    item) is broadcast on its own. Of several blocks each one's hits go to the shared folder, and its
+    broadcast is released, before a third or later block is read.
     """
     kept = docs.drop(*_ADDED)
-    out = kept.withColumns(
-        {
-            "n_words": F.lit(0).cast("long"),
-            "n_hit": F.lit(0).cast("long"),
-            "items": F.array().cast("array<string>"),
-            "spans": F.array().cast("array<int>"),
-        }
-    )
-    schema, text_at = out.schema, kept.columns.index("text")
+    empty = {
+        "n_words": F.lit(0).cast("long"),
+        "n_hit": F.lit(0).cast("long"),
+        "items": F.array().cast("array<string>"),
+        "spans": F.array().cast("array<int>"),
+    }
     context = docs.sparkSession.sparkContext
-    for block in [*blocks_of(benchmark, block_bytes)] or [[]]:
-        shared = context.broadcast((block, size))
-        out = out.mapInArrow(_scanner(shared, text_at, len(kept.columns)), schema)
+    blocks = blocks_of(benchmark, block_bytes)
+    only, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = kept.withColumns(empty)
+    else:
+        row = "__row"
+        while row in kept.columns:
+            row += "_"
+        numbered = stage(kept.withColumn(row, F.monotonically_increasing_id()))
+        bare = numbered.select(row, "text").withColumns(empty)
+        found = None
+        for block in chain([only, second], blocks):
+            shared = context.broadcast((block, size))
+            hits = bare.mapInArrow(_scanner(shared, 1, 2), bare.schema)
+            hits = hits.filter(F.size("spans") > 0).select(row, "items", "spans")
+            hits = stage_table(hits, "hits")
+            shared.destroy()
+            found = hits if found is None else found.union(hits)
+        merged = found.groupBy(row).agg(
+            F.flatten(F.collect_list("items")).alias("items"),
+            F.flatten(F.collect_list("spans")).alias("spans"),
+        )
+        out = numbered.join(merged, row, "left").select(
+            *[F.col(f"`{c}`") for c in kept.columns],
+            empty["n_words"].alias("n_words"),
+            empty["n_hit"].alias("n_hit"),
+            F.coalesce("items", empty["items"]).alias("items"),
+            F.coalesce("spans", empty["spans"]).alias("spans"),
+        )
+        only = []  # the last pass only joins the hits
+    shared = context.broadcast((only, size))
+    at, text_at = len(kept.columns), kept.columns.index("text")
+    out = out.mapInArrow(_scanner(shared, text_at, at), kept.withColumns(empty).schema)
     pairs = "transform(sequence(0, cast(size(spans) / 2 as int) - 1), i -> struct(spans[2*i] as first, spans[2*i+1] as end))"
     return out.withColumns(
         {
