@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a full URI; one with a scheme is one already."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return path
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, as a full URI.
 
@@ -47,8 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/__staged"
-    path = context._jvm.org.apache.hadoop.fs.Path(configured)
-    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    full = qualified(spark, configured)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(full)
     return full

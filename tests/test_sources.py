@@ -180,3 +180,10 @@ def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
     conf = SimpleNamespace(get=lambda *_: "hdfs://name/folder")
     assert shared_folder(SimpleNamespace(sparkContext=context, conf=conf)) == "hdfs://name/folder"
     assert named == ["hdfs://name/folder"]
+
+
+def test_a_path_without_a_scheme_is_qualified_by_spark(spark, tmp_path):
+    from keepsake.session import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
