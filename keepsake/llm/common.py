@@ -39,6 +39,14 @@ def per_batch(
     return df.mapInArrow(task, schema)
 
 
+def in_tasks(files: DataFrame, per_task: int = 1) -> DataFrame:
+    """``files`` (a written table, one short row per file) dealt to one task per ``per_task`` files.
+
+    The number is given to Spark, which would else see a few kilobytes and make one task of them.
+    """
+    return files.repartition(max(1, -(-files.count() // per_task)))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
+from functools import lru_cache
 
-#: A task keeps the ids of so many words; later new words are encoded each time they come.
+#: A worker keeps the ids of so many words (or of one batch's) and then starts anew.
 KEPT_WORDS = 400_000
 
 # Letters whose lower case and composed forms are letters too, and signs that no pattern of the
@@ -22,11 +24,11 @@ _BYTE_LEVEL = re.compile(
     rf" ?[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)| ?[{_SIGNS}]+(?=[ \n]|\Z)| ?[^{_ODD_SPACE}]+"
     r"|[ \n]+(?![^ \n])|[ \n]+|[\s\S]"
 )
-_LOWER_WORDS = re.compile(
-    rf"[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)|[{_SIGNS}]+(?=[ \n]|\Z)|[^{_ODD_SPACE}]+|[^ \n]"
-)
 
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
+_WORD_AND_SIGNS = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]*)")
+#: White space to Python, and none (or not surely so) to the tokenizers' patterns.
+_DOUBTFUL_SPACE = re.compile("[\x1c-\x1f\x85]")
 
 
 def _byte_signs() -> dict[int, str]:
@@ -45,7 +47,9 @@ class Encoder:
 
     The result is that of ``Tokenizer.encode(text, add_special_tokens=False)``. Where the
     tokenizer's file shows one of the two known patterns, texts are cut into words first and each
-    distinct word is encoded once; any other tokenizer encodes whole texts.
+    distinct word is encoded once; any other tokenizer encodes whole texts. The byte-level pattern
+    cuts before blanks and signs; the lower-case one drops white space, so there what stands between
+    white space is a word, signs included.
     """
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
@@ -57,6 +61,8 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._kept = kept_words
         self._ids: dict[str, bytes] = {}
+        self._stems: dict[str, bytes] = {}
+        self._signs: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.top_id = max([*self._tokenizer.get_vocab(with_added_tokens=True).values(), 0])
@@ -64,68 +70,92 @@ class Encoder:
         self._cut = self._pattern(parts)
 
     @staticmethod
-    def _pattern(parts: dict) -> re.Pattern | None:
+    def _pattern(parts: dict) -> Callable[[str], list[str]] | None:
         before, normal = parts.get("pre_tokenizer") or {}, parts.get("normalizer")
         plain = not parts.get("truncation") and not parts.get("padding")
         if plain and normal is None and before.get("type") == "ByteLevel":
             if before.get("use_regex") and not before.get("add_prefix_space"):
-                return _BYTE_LEVEL
+                return _BYTE_LEVEL.findall
         steps = [n.get("type") for n in (normal or {}).get("normalizers", ())]
         cuts = [p.get("type") for p in before.get("pretokenizers", ())]
         if plain and steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]:
             split = before["pretokenizers"][0]
             words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
             if split["pattern"] == {"Regex": words} and split["behavior"] == "Removed":
-                return _LOWER_WORDS
+                return str.split
         return None
 
     def _new(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _stem(self, word: str) -> bytes:
+        """The ids of letters that are one unit of the pattern: the library's model takes them."""
+        written = word
+        if " " in word or not word.isascii():
+            written = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self._tokenizer.model.tokenize(written)]).tobytes()
+
     def _of_words(self, words: list[str]) -> list[bytes]:
-        """Plain words are one unit of the pattern, so the library's model takes them directly."""
-        split = self._tokenizer.model.tokenize
         out: list[bytes | None] = []
-        for word in words:
-            if _WORD.fullmatch(word):
-                word = word.lower() if self._cut is _LOWER_WORDS else word
-                signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                out.append(array("I", [t.id for t in split(signs)]).tobytes())
-            else:
-                out.append(None)
+        if self._cut is str.split:
+            stems, of_signs = self._stems, self._signs
+            for word in words:
+                ids = None
+                if found := _WORD_AND_SIGNS.fullmatch(word):
+                    stem, signs = found.groups()
+                    stem = stem.lower()
+                    ids = stems.get(stem)
+                    if ids is None:
+                        ids = stems[stem] = self._stem(stem)
+                    if signs:
+                        more = of_signs.get(signs)
+                        if more is None:
+                            more = of_signs[signs] = self._new([signs])[0]
+                        ids += more
+                out.append(ids)
+            if len(stems) > self._kept:
+                self._stems = {}
+            if len(of_signs) > self._kept:
+                self._signs = {}
+        else:
+            out = [self._stem(w) if _WORD.fullmatch(w) else None for w in words]
         rest = [w for w, ids in zip(words, out) if ids is None]
         more = iter(self._new(rest) if rest else ())
         return [next(more) if ids is None else ids for ids in out]
 
+    def _odd(self, text: str, new_odd: set[str], words: list[str]) -> bool:
+        """Whether the whole text has to go to the library."""
+        if self._cut is str.split:
+            doubtful = _DOUBTFUL_SPACE.search(text) is not None
+        else:
+            doubtful = bool(new_odd) and not new_odd.isdisjoint(words)
+        return doubtful or any(a in text for a in self._added)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self._cut is None:
             return self._new(texts)
-        words = [self._cut.findall(t) for t in texts]
-        new = set().union(*words).difference(self._ids)
-        odd = {w for w in new if w.isspace() and w.strip(" \n") or w in "\x1c\x1d\x1e\x1f\x85"}
-        extra: dict[str, bytes] = {}
+        words = list(map(self._cut, texts))
+        every = set().union(*words)
+        new = every.difference(self._ids)
+        if len(self._ids) + len(new) > self._kept:
+            self._ids, new = {}, every
+        odd: set[str] = set()
+        if self._cut is not str.split:
+            odd = {w for w in new if w.isspace() and w.strip(" \n") or w in "\x1c\x1d\x1e\x1f\x85"}
         if new := list(new - odd):
-            ids = self._of_words(new)
-            room = self._kept - len(self._ids)
-            self._ids.update(zip(new[:room], ids[:room])) if room > 0 else None
-            extra = dict(zip(new[max(room, 0) :], ids[max(room, 0) :]))
-        known = self._ids if not extra else _Both(self._ids, extra)
+            self._ids.update(zip(new, self._of_words(new)))
+        known = self._ids
         out = []
         for text, own in zip(texts, words):
-            if odd and not odd.isdisjoint(own) or any(a in text for a in self._added):
+            if self._odd(text, odd, own):
                 out += self._new([text])
             else:
                 out.append(b"".join(map(known.__getitem__, own)))
         return out
 
 
-class _Both(dict):
-    """The words of one batch first, then the kept ones."""
-
-    def __init__(self, kept: dict[str, bytes], extra: dict[str, bytes]) -> None:
-        super().__init__(extra)
-        self._kept_ids = kept
-
-    def __missing__(self, word: str) -> bytes:
-        return self._kept_ids[word]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, kept with its words from task to task of a worker."""
+    return Encoder(path)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import slices
-from keepsake.llm.encoding import Encoder
+from keepsake.llm.encoding import encoder as encoder_of
 
 
 class BestFit:
@@ -106,7 +106,7 @@ def pack(
                 )
 
         for batch in slices(batches):
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or encoder_of(tokenizer)
             id_type = batch.column(0).type
             encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):

@@ -29,6 +29,7 @@ from keepsake.llm.common import (
 
 WORDS, DIMS, NONZERO, REACH = 1 << 14, 48, 4, 2
 CHUNKS = 16  # pieces in which word vectors travel
+COUNT_AT_ONCE = 1 << 17  # words whose neighbours a task counts at once
 #: Labelled rows that the network is fitted on at most: those whose id has the smallest hashes.
 TRAIN_ROWS = 12_000
 FEATURES = 2 * DIMS + 2
@@ -77,7 +78,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             for text in texts_of(batch.column(0)):
                 held += [words_of(text), gap]
                 size += len(held[-2])
-                if size > 1 << 21:
+                if size > COUNT_AT_ONCE:
                     count()
                     held, size = [], 0
         if held:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import look_up, slices
+from keepsake.llm.common import in_tasks, look_up, slices
 from keepsake.session import new_folder, stage_table
 from keepsake.sources.storage import open_read, replacing
 
@@ -276,7 +276,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _as_batch(rows)
 
-    return files.select("path").repartition(F.col("path")).mapInArrow(task, _READ)
+    return in_tasks(files.select("path")).mapInArrow(task, _READ)
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import slices
-from keepsake.llm.encoding import Encoder
+from keepsake.llm.common import in_tasks, slices
+from keepsake.llm.encoding import encoder as encoder_of
 from keepsake.session import new_folder, stage_table
 from keepsake.sources.storage import open_read, replacing
 
 MAGIC = b"KSWAVE01"
+FILES_PER_TASK = 4  # that a reading task opens one after the other
 _BLOCK = 512  # bits between two counts of ones
 
 
@@ -219,7 +220,7 @@ def write_shards(
             )
 
         for batch in slices(batches):
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or encoder_of(tokenizer)
             encoded = encoder.encode(batch.column(1).to_pylist())
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
                 doc_ids.append(doc_id)
@@ -287,8 +288,7 @@ def read_shards(files: DataFrame, id_type: str = "bigint") -> DataFrame:
 
     kind = "string" if id_type == "string" else "bigint"
     return (
-        files.select("path", "start")
-        .repartition(F.col("path"))
+        in_tasks(files.select("path", "start"), FILES_PER_TASK)
         .mapInArrow(typed, f"doc_id {kind}, start long, n_tokens long, ids binary")
         .withColumn("doc_id", F.col("doc_id").cast(id_type))
     )
