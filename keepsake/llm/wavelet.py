@@ -36,10 +36,13 @@ def planes_of(tokens: np.ndarray, levels: int) -> tuple[list[np.ndarray], list[i
     """Packed bit planes from the highest bit down, and the number of zeros of each."""
     planes, zeros = [], []
     for level in range(levels - 1, -1, -1):
-        bits = ((tokens >> level) & 1).astype(bool)
+        bits = (tokens & tokens.dtype.type(1 << level)) != 0
         planes.append(np.packbits(bits))
         zeros.append(int(len(bits) - np.count_nonzero(bits)))
-        tokens = np.concatenate((tokens[~bits], tokens[bits]))
+        moved = np.empty_like(tokens)
+        np.compress(~bits, tokens, out=moved[: zeros[-1]])
+        np.compress(bits, tokens, out=moved[zeros[-1] :])
+        tokens = moved
     return planes, zeros
 
 
