@@ -16,6 +16,7 @@ from keepsake.llm import (
     licenses,
     packing,
     quality,
+    token_counts,
     topk,
     warc,
     wavelet,
@@ -126,6 +127,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.prefix_tables(docs, tokenizer("piece_bpe_32k.model"))
+    return counted.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit")
+    )
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing,
@@ -138,6 +147,7 @@ def queries() -> dict[str, Query]:
         op8_token_files,
         op9_warc,
         op10_decontamination,
+        op11_token_counts,
     )
     return {f.__name__: f for f in found}
 
