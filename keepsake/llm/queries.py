@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm import (
     decontaminate,
+    hard_negatives,
     html_text,
     jaccard,
     languages,
@@ -135,6 +136,17 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").filter(topk.usable(F.col("embedding")))
+    label = F.col("label")
+    rows = given.select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        topk.quantised(F.col("embedding")).alias("vector"),
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing,
@@ -148,6 +160,7 @@ def queries() -> dict[str, Query]:
         op9_warc,
         op10_decontamination,
         op11_token_counts,
+        op12_hard_negatives,
     )
     return {f.__name__: f for f in found}
 
@@ -239,5 +252,35 @@ from p left join firsts on firsts.payload_digest = p.payload_digest and payload_
 """
 
 
+OP12_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256.0::double * x::double) as bigint)) as e
+  from embeddings
+  where embedding is not null and vec_id is not null and label is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as materialized (
+  select a.vec_id as anchor_id, c.vec_id, c.label = a.label as same,
+         cast(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v a join v c on c.vec_id <> a.vec_id and len(c.e) = len(a.e)
+  where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+from (
+  select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+  from positives join scored using (anchor_id)
+  where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op6_exact_top_k": OP6_SQL, "op9_warc": OP9_SQL}
+    return {
+        "op2_license_scan": _op2_sql(),
+        "op6_exact_top_k": OP6_SQL,
+        "op9_warc": OP9_SQL,
+        "op12_hard_negatives": OP12_SQL,
+    }
