@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm import (
     decontaminate,
+    filter_audit,
     hard_negatives,
     html_text,
     jaccard,
@@ -147,6 +148,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", labels)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing,
@@ -161,6 +167,7 @@ def queries() -> dict[str, Query]:
         op10_decontamination,
         op11_token_counts,
         op12_hard_negatives,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -277,10 +284,62 @@ where rank <= 10
 """
 
 
+OP13_SQL = r"""
+with t as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents),
+firsts as (select text, min(doc_id) as first from t group by text),
+known as (
+  select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels
+  where doc_id is not null group by doc_id),
+d as materialized (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         case when len(words) < 50 then 'A' else '' end
+         || case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end
+         || case when 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 5 * length(t.text)
+                 then 'C' else '' end
+         || case when regexp_matches(t.text, '[#$%&*|]') then 'D' else '' end
+         || case when t.doc_id > first then 'E' else '' end as fails,
+         count(*) as n
+  from t join firsts on firsts.text = t.text left join known on known.doc_id = t.doc_id
+  group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order
+  from letters a join letters b on b.x <> a.x join letters c on c.x not in (a.x, b.x)
+  join letters d on d.x not in (a.x, b.x, c.x) join letters e on e.x not in (a.x, b.x, c.x, d.x)),
+steps as (
+  select filter_order, step, substr(filter_order, step, 1) as own,
+         '[' || left(filter_order, step - 1) || '0]' as earlier
+  from orders, unnest([1, 2, 3, 4, 5]) as u(step)),
+placed as (
+  select part, filter_order, step, own, n, good, toxic, fails,
+         contains(fails, own) as hit, regexp_matches(fails, earlier) as gone
+  from d, steps),
+figures as (
+  select part, filter_order, step, own,
+         coalesce(sum(n) filter (not hit and not gone), 0) as kept,
+         coalesce(sum(n) filter (hit and not gone), 0) as removed,
+         coalesce(sum(n) filter (hit and gone), 0) as redundant,
+         coalesce(sum(n) filter (fails = own), 0) as unique_fails,
+         coalesce(sum(n) filter (hit and not gone and good), 0) as good_lost,
+         coalesce(sum(n) filter (hit and not gone and toxic), 0) as toxic_lost
+  from placed group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept,
+       cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from figures
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": _op2_sql(),
         "op6_exact_top_k": OP6_SQL,
         "op9_warc": OP9_SQL,
         "op12_hard_negatives": OP12_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
