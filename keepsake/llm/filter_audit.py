@@ -17,6 +17,7 @@ import hashlib
 import itertools
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -147,6 +148,30 @@ def _combined(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, schema)
 
 
+_ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+#: State of many small partitions: only what a batch changed is written, and no disk is reserved.
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    f"{_ROCKSDB}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKSDB}.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for a query that is started inside; it keeps them, the session does not."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 class SmallestIds(StatefulProcessor):
     """Per text: the smallest id so far and its rows. Gives changes of the counters."""
 
@@ -238,10 +263,7 @@ def count_stream(
         summed = batch.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") != 0)
         summed.write.mode("overwrite").parquet(f"{counters}/batch={number}")
 
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _settings(spark, _STATE_STORE):
         query = (
             changes.writeStream.outputMode("update")
             .foreachBatch(write)
@@ -249,11 +271,9 @@ def count_stream(
             .trigger(availableNow=True)
             .start()
         )
-        if not query.awaitTermination(seconds):
-            query.stop()
-            raise TimeoutError("the stream did not finish")
-    finally:
-        spark.conf.set(store, before)
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError("the stream did not finish")
     # Without a file there is no batch; the schema with the folders' number keeps that readable.
     if query.lastProgress is None and not query.recentProgress:
         return spark.createDataFrame([], schema)
