@@ -6,6 +6,7 @@ from keepsake.plans import (  # noqa: F401
     history_queries,
     report_queries,
     scan_queries,
+    seal_queries,
     source_queries,
     stream_queries,
 )

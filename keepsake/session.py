@@ -69,6 +69,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/keepsake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(context._jsc.hadoopConfiguration()), found
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file that says that something is done."""
+    system, found = _file_system(spark, path)
+    system.create(found, True).close()
+
+
+def marked(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.exists(found)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and fixes the row placement."""
     shared_folder(df.sparkSession)

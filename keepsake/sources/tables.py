@@ -123,19 +123,46 @@ class TableSet:
                 return None
             raise
 
-    def publish(self, tables: Mapping[str, DataFrame], partition_by: Sequence[str] = ()) -> None:
-        version = uuid.uuid4().hex
+    def publish(
+        self,
+        tables: Mapping[str, DataFrame],
+        partition_by: Sequence[str] = (),
+        run: str | None = None,
+    ) -> None:
+        """Publish the tables. With ``run``, the name of the run that made them, exactly once: a
+        run published before changes nothing, one that died while writing is written anew."""
+        if run is not None and self.published(run):
+            return
+        version = run or uuid.uuid4().hex
         for name, df in tables.items():
-            writer = df.write
+            writer = df.write.mode("overwrite")
             kept = [c for c in partition_by if c in df.columns]
             (writer.partitionBy(*kept) if kept else writer).parquet(f"{self.path}/{name}/{version}")
-        pointer = self._pointer()
-        last = pointer.agg(F.max("seq")).first()[0] if pointer is not None else None
-        rows = [(name, version, (last or 0) + 1) for name in tables]
+        rows = [(name, version, self.last_number() + 1) for name in tables]
         self.spark.createDataFrame(rows, self.POINTER).coalesce(1).write.mode("append").parquet(
             f"{self.path}/pointer"
         )
 
+    def last_number(self) -> int:
+        """The number of the last publish, 0 before the first."""
+        pointer = self._pointer()
+        return (pointer.agg(F.max("seq")).first()[0] or 0) if pointer is not None else 0
+
+    def published(self, run: str) -> bool:
+        pointer = self._pointer()
+        return pointer is not None and not pointer.where(F.col("version") == run).isEmpty()
+
+    def read_all(self, name: str) -> DataFrame | None:
+        """The rows of every publish of a table that grows by what each one adds."""
+        pointer = self._pointer()
+        if pointer is None:
+            return None
+        versions = [r["version"] for r in pointer.where(F.col("table") == name).collect()]
+        if not versions:
+            return None
+        # One path per publish; rows of a publish that nobody points at are not read.
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{v}" for v in versions])
+
     def read(self, name: str) -> DataFrame | None:
         """The published version of a table, or None before the first publish."""
         pointer = self._pointer()
