@@ -6,7 +6,8 @@ import json
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+
+from keepsake.llm.common import kept
 
 #: A worker keeps the ids of so many words (or of one batch's) and then starts anew.
 KEPT_WORDS = 400_000
@@ -155,7 +156,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of a tokenizer's file, kept with its words from task to task of a worker."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -384,6 +384,7 @@ def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, spec: Spec)
     ends = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
     wanted = context.broadcast(bloom(F.col("a.k1"), ends))
     sets = stage_table(_sets_of(docs, wanted, spec), "sets")
+    wanted.destroy()
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -492,6 +493,9 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .select("sig", _node().alias("node"), "n", "place"),
         "members",
     )
+    # Both are written out, so executors need not keep them.
+    wanted.destroy()
+    shared.destroy()
     pivots = stage_table(
         members.groupBy("sig")
         .agg(

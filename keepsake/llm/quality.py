@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import (
     WORDS_AND_SIGNS,
     add_columns,
+    kept,
     mixed,
     run_hashes,
     slices,
@@ -56,7 +57,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        places, signs = _index_vectors()
+        places, signs = kept("index vectors", _index_vectors)
         total = np.zeros(WORDS * DIMS, np.int64)
         held: list[np.ndarray] = []
         gap = np.full(REACH, -1)
@@ -245,6 +246,7 @@ def train(
         .limit(2 * train_rows)
         .collect()
     )
+    shared.destroy()
     features = np.array(
         [np.frombuffer(bytes(r["__features"]), np.float32) for r in found], np.float64
     ).reshape(-1, FEATURES)

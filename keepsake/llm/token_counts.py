@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import add_columns, set_aside
+from keepsake.llm.common import add_columns, kept, set_aside
 
 #: A worker keeps the tables of so many words, and so many pairs of pieces, then starts anew.
 KEPT_WORDS = 400_000
@@ -150,10 +149,9 @@ class PrefixCounter:
         return int(counts_of(self.table(text))[-1])
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     """The counter of a model's file, kept with its words from task to task of a worker."""
-    return PrefixCounter(path)
+    return kept(("counter", path), lambda: PrefixCounter(path))
 
 
 def counts_of(table: bytes) -> np.ndarray:
