@@ -149,13 +149,17 @@ def _combined(rows: DataFrame) -> DataFrame:
 
 
 _ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
-#: State of many small partitions: only what a batch changed is written, and no disk is reserved.
+#: State of many small partitions: only what a batch changed is written, no disk is reserved, and
+#: all partitions of an executor share one bound of memory (MB).
 _STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     f"{_ROCKSDB}.changelogCheckpointing.enabled": "true",
     f"{_ROCKSDB}.allowFAllocate": "false",
+    f"{_ROCKSDB}.boundedMemoryUsage": "true",
+    f"{_ROCKSDB}.maxMemoryUsageMB": "256",
+    f"{_ROCKSDB}.writeBufferSizeMB": "1",
 }
 
 
