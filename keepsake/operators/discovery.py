@@ -162,6 +162,7 @@ def project_contents(
     prefixes: str = IGNORE_PREFIXES,
     patterns: Sequence[str] = DEFAULT_PATTERNS,
     globs: Sequence[str] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Per project: files left after filtering, unreadable entries, and whether it is empty.
 
@@ -176,7 +177,7 @@ def project_contents(
         & ~excluded(F.col("rel_path"), globs)
     )
     return (
-        inside.groupBy("project")
+        inside.groupBy(*by, "project")
         .agg(
             F.count_if(counted & error.isNull()).alias("files"),
             F.count_if(error.isNotNull()).alias("errors"),
@@ -185,12 +186,15 @@ def project_contents(
     )
 
 
-def drop_empty_projects(candidates: DataFrame, contents: DataFrame, known: DataFrame) -> DataFrame:
+def drop_empty_projects(
+    candidates: DataFrame, contents: DataFrame, known: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
     """A new or missing project without content is not there; a tracked one is left to its scan."""
-    tracked = known.where(F.col("state") != "missing").select("rel_path")
-    empty = contents.where("is_empty").select(F.col("project").alias("rel_path"))
-    absent = empty.join(tracked, "rel_path", "left_anti")
-    return candidates.join(absent, "rel_path", "left_anti")
+    key = [*by, "rel_path"]
+    tracked = known.where(F.col("state") != "missing").select(*key)
+    empty = contents.where("is_empty").select(*by, F.col("project").alias("rel_path"))
+    absent = empty.join(tracked, key, "left_anti")
+    return candidates.join(absent, key, "left_anti")
 
 
 def nested_histories(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,15 @@ def _settle_transient(state: Column) -> Column:
     ).otherwise(state)
 
 
-def unreachable_guard(discovered: DataFrame, known: DataFrame) -> DataFrame:
-    """One row: counts and whether the run must stop before it writes anything."""
-    listed = discovered.select(F.lit(True).alias("listed"))
-    expected = known.where(F.col("state") != "ignored").select(F.lit(False).alias("listed"))
+def unreachable_guard(
+    discovered: DataFrame, known: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per archive (or one row): counts and whether the run must stop before it writes anything."""
+    listed = discovered.select(*by, F.lit(True).alias("listed"))
+    expected = known.where(F.col("state") != "ignored").select(*by, F.lit(False).alias("listed"))
     return (
         listed.unionByName(expected)
+        .groupBy(*by)
         .agg(F.count_if("listed").alias("discovered"), F.count_if(~F.col("listed")).alias("known"))
         .withColumn("unreachable", (F.col("discovered") == 0) & (F.col("known") > 0))
     )
@@ -43,27 +47,35 @@ def require_reachable(discovered: DataFrame, known: DataFrame) -> None:
 
 
 def vanished(
-    known: DataFrame, discovered: DataFrame, listing_errors: DataFrame | None = None
+    known: DataFrame,
+    discovered: DataFrame,
+    listing_errors: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Known projects the listing lacks, with ``confirmed``.
 
     Below a folder that failed to list, absence is not confirmed (a project already missing needs
     no confirmation). ``listing_errors`` has ``path``.
     """
+    key = [*by, "rel_path"]
     gone = known.where(F.col("state") != "ignored").join(
-        discovered.select("rel_path"), "rel_path", "left_anti"
+        discovered.select(*key), key, "left_anti"
     )
     if listing_errors is None:
         return gone.withColumn("confirmed", F.lit(True))
     hidden = (
-        ancestor_rows(gone.select("rel_path"))
-        .join(listing_errors.select(F.col("path").alias("ancestor")), "ancestor", "left_semi")
-        .select("rel_path")
+        ancestor_rows(gone.select(*key))
+        .join(
+            listing_errors.select(*by, F.col("path").alias("ancestor")),
+            [*by, "ancestor"],
+            "left_semi",
+        )
+        .select(*key)
         .distinct()
         .withColumn("__hidden", F.lit(True))
     )
     return (
-        gone.join(hidden, "rel_path", "left")
+        gone.join(hidden, key, "left")
         .withColumn("confirmed", (F.col("state") == "missing") | F.col("__hidden").isNull())
         .drop("__hidden")
     )
@@ -117,7 +129,9 @@ def restore(known: DataFrame, discovered: DataFrame) -> DataFrame:
     )
 
 
-def match_moved(candidates: DataFrame, gone: DataFrame) -> DataFrame:
+def match_moved(
+    candidates: DataFrame, gone: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
     """``(id, old_path, new_path)``: new folders that are vanished projects under another path.
 
     ``candidates`` has ``rel_path, fingerprint``; ``gone`` has ``id, rel_path, fingerprint,
@@ -127,21 +141,23 @@ def match_moved(candidates: DataFrame, gone: DataFrame) -> DataFrame:
     are numbered without bringing a fingerprint together in one task.
     """
     left = number_rows(
-        candidates.where(F.col("fingerprint").isNotNull()).select("fingerprint", "rel_path"),
-        ["fingerprint"],
+        candidates.where(F.col("fingerprint").isNotNull()).select(*by, "fingerprint", "rel_path"),
+        [*by, "fingerprint"],
         ["rel_path"],
         "rank",
-    ).select("fingerprint", "rank", F.col("rel_path").alias("new_path"))
+    ).select(*by, "fingerprint", "rank", F.col("rel_path").alias("new_path"))
     ordered = gone.where(F.col("fingerprint").isNotNull()).withColumn(
         "__missed_now", F.col("missing_since").isNull()
     )
     right = number_rows(
-        ordered.select("fingerprint", "__missed_now", "missing_since", "rel_path", "id"),
-        ["fingerprint"],
+        ordered.select(*by, "fingerprint", "__missed_now", "missing_since", "rel_path", "id"),
+        [*by, "fingerprint"],
         ["-__missed_now", "-missing_since", "rel_path"],
         "rank",
-    ).select("fingerprint", "rank", "id", F.col("rel_path").alias("old_path"))
-    return left.join(right, ["fingerprint", "rank"]).select("id", "old_path", "new_path")
+    ).select(*by, "fingerprint", "rank", "id", F.col("rel_path").alias("old_path"))
+    return left.join(right, [*by, "fingerprint", "rank"]).select(
+        *by, "id", "old_path", "new_path"
+    )
 
 
 def rename_project(projects: DataFrame, moved: DataFrame) -> DataFrame:
@@ -197,16 +213,19 @@ def scan_summary(
     listing_errors: DataFrame | None = None,
     moved: DataFrame | None = None,
     enqueued: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts of one scan run, one row."""
-    sides = discovered.select("rel_path", F.lit(True).alias("listed")).join(
-        known.select("rel_path", "state"), "rel_path", "full_outer"
+    """Counts of one scan run, one row (per archive)."""
+    key = [*by, "rel_path"]
+    sides = discovered.select(*key, F.lit(True).alias("listed")).join(
+        known.select(*key, "state"), key, "full_outer"
     )
     listed, tracked = F.col("listed").isNotNull(), F.col("state").isNotNull()
     active = F.col("state") != "ignored"
-    lost = vanished(known, discovered, listing_errors)
+    lost = vanished(known, discovered, listing_errors, by)
     parts = [
         sides.select(
+            *by,
             F.explode(
                 F.array_compact(
                     F.array(
@@ -218,13 +237,13 @@ def scan_summary(
                 )
             ).alias("what")
         ),
-        lost.select(F.when(F.col("confirmed"), "missing").otherwise("errors").alias("what")),
+        lost.select(*by, F.when(F.col("confirmed"), "missing").otherwise("errors").alias("what")),
     ]
     for name, rows in (("moved", moved), ("enqueued", enqueued)):
         if rows is not None:
-            parts.append(rows.select(F.lit(name).alias("what")))
+            parts.append(rows.select(*by, F.lit(name).alias("what")))
     names = ("discovered", "new", "missing", "reappeared", "moved", "scanned", "enqueued", "errors")
-    total = reduce(DataFrame.unionByName, parts).agg(
+    total = reduce(DataFrame.unionByName, parts).groupBy(*by).agg(
         *[F.count_if(F.col("what") == n).alias(n) for n in names]
     )
     return total.withColumns(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,20 +39,24 @@ PROJECT_COLUMNS = (
 class ScanResult:
     projects: DataFrame
     files: DataFrame  # (id, rel_path, size, mtime_ns): the next scan's ``previous``
-    work: DataFrame  # (id, kind)
+    work: DataFrame  # (archive's key, id, kind)
     review_items: DataFrame
     summary: DataFrame
 
 
 def _reconciled(
     known: DataFrame, candidates: DataFrame, gone: DataFrame, moved: DataFrame, now: Column,
-    first_discovery: bool,
+    first_discovery: bool, by: Sequence[str] = (), first_id: int | None = None,
 ) -> DataFrame:
     """The project rows after moves, losses, returns and discoveries, with ``event``."""
     flags = (
         known.join(moved.select("id", "new_path"), "id", "left")
         .join(gone.select("id", F.lit(True).alias("__gone")), "id", "left")
-        .join(candidates.select("rel_path", F.lit(True).alias("__listed")), "rel_path", "left")
+        .join(
+            candidates.select(*by, "rel_path", F.lit(True).alias("__listed")),
+            [*by, "rel_path"],
+            "left",
+        )
     )
     resting = lifecycle.resting_state()
     was_missing = F.col("state") == "missing"
@@ -72,6 +77,7 @@ def _reconciled(
     returns = event.isin("moved", "back")
     nothing = F.lit(None)
     tracked = flags.select(
+        *by,
         "id",
         F.coalesce("new_path", "rel_path").alias("rel_path"),
         F.coalesce(F.element_at(F.split("new_path", "/"), -1), F.col("name")).alias("name"),
@@ -92,19 +98,27 @@ def _reconciled(
         .otherwise(F.col("state_before_missing")).alias("state_before_missing"),
         event.alias("event"),
     )
-    fresh = candidates.join(known.select("rel_path"), "rel_path", "left_anti").join(
-        moved.select(F.col("new_path").alias("rel_path")), "rel_path", "left_anti"
+    key = [*by, "rel_path"]
+    fresh = candidates.join(known.select(*key), key, "left_anti").join(
+        moved.select(*by, F.col("new_path").alias("rel_path")), key, "left_anti"
     )
-    last = known.agg(F.max("id")).first()[0] or 0
+    preexisting = F.lit(first_discovery)
+    if by:  # what the first scan of an archive finds was there before
+        seen = known.select(*by).distinct().withColumn("__seen", F.lit(True))
+        fresh = fresh.join(seen, list(by), "left")
+        preexisting = F.col("__seen").isNull()
+    last = (first_id - 1) if first_id is not None else known.agg(F.max("id")).first()[0] or 0
     types = dict(tracked.dtypes)
-    new = number_rows(fresh.select("rel_path", "name"), [], ["rel_path"], "n").select(
+    named = fresh.select(*key, "name", preexisting.alias("__preexisting"))
+    new = number_rows(named, [], key, "n").select(
         *[
             {
+                **{c: F.col(c) for c in by},
                 "id": (F.col("n") + last).cast(types["id"]),
                 "rel_path": F.col("rel_path"),
                 "name": F.col("name"),
                 "state": F.lit("unsealed"),
-                "preexisting": F.lit(first_discovery),
+                "preexisting": F.col("__preexisting"),
                 "first_seen": now,
                 "event": F.lit("new"),
             }
@@ -128,6 +142,8 @@ def scan_archive(
     now_ns: int,
     config: ArchiveConfig = ArchiveConfig(),
     first_discovery: bool = False,
+    by: Sequence[str] = (),
+    first_id: int | None = None,
 ) -> ScanResult:
     """Discover, reconcile, diff, classify and plan.
 
@@ -136,29 +152,48 @@ def scan_archive(
     ``fingerprint`` of each chain on disk by project ``rel_path``, ``kept_chains`` those recorded
     by ``id``. Raises before anything is computed further if the archive lists no project while
     some are known. Nothing is written here.
+
+    With ``by``, the archive's key, the tables hold the scans of many archives, whose projects'
+    ids are unique among all of them (new ones are numbered from ``first_id``). An archive that
+    lists no project while some are known is then left as it is, and has ``unreachable`` set in
+    the summary, while the others are scanned; what the first scan of an archive finds counts as
+    there before.
     """
     depth, prefixes = config.project_depth, config.ignore_prefixes
     inside = discovery.with_project(listing, depth, prefixes)
-    found = discovery.discover_projects(listing, depth, prefixes)
-    lifecycle.require_reachable(found, known)
+    key, columns = [*by, "rel_path"], [*by, *PROJECT_COLUMNS]
+    found = discovery.discover_projects(listing, depth, prefixes, by)
+    untouched = None
+    if by:
+        guard = stage(lifecycle.unreachable_guard(found, known, by))  # one row per archive
+        shut = guard.where("unreachable").select(*by)
+        untouched = known.join(shut, list(by), "left_semi")
+        known = known.join(shut, list(by), "left_anti")
+    else:
+        lifecycle.require_reachable(found, known)
     contents = discovery.project_contents(
-        listing, depth, prefixes, DEFAULT_PATTERNS, config.exclude_globs
+        listing, depth, prefixes, DEFAULT_PATTERNS, config.exclude_globs, by
+    )
+    candidates = stage(discovery.drop_empty_projects(found, contents, known, by))
+    errors = listing_errors(listing, by)
+    absent = stage(
+        lifecycle.vanished(known, candidates, errors, by).select(
+            *by, "id", "rel_path", "missing_since", "confirmed"
+        )
     )
-    candidates = stage(discovery.drop_empty_projects(found, contents, known))
-    errors = listing_errors(listing)
-    absent = stage(lifecycle.vanished(known, candidates, errors).select("id", "rel_path",
-                                                                        "missing_since", "confirmed"))
     gone = absent.where("confirmed")
-    new = candidates.join(known.select("rel_path"), "rel_path", "left_anti")
+    new = candidates.join(known.select(*key), key, "left_anti")
     moved = stage(
-        lifecycle.match_moved(new.join(chains, "rel_path"), gone.join(kept_chains, "id"))
+        lifecycle.match_moved(new.join(chains, key), gone.join(kept_chains, "id"), by)
     )
     really_gone = gone.join(moved.select("id"), "id", "left_anti")
-    projects = stage(_reconciled(known, candidates, really_gone, moved, now, first_discovery))
+    projects = stage(
+        _reconciled(known, candidates, really_gone, moved, now, first_discovery, by, first_id)
+    )
 
     scanned = projects.where(~F.col("event").isin("kept", "missing"))
-    keys = scanned.select("id", F.col("rel_path").alias("project"))
-    own = inside.join(keys, "project")
+    keys = scanned.select(*by, "id", F.col("rel_path").alias("project"))
+    own = inside.join(keys, [*by, "project"])
     entries = own.select("id", "rel_path", "size", "mtime_ns", "kind", "error")
     kept = discovery.apply_exclude_globs(
         discovery.apply_ignore_patterns(entries), config.exclude_globs
@@ -237,14 +272,16 @@ def scan_archive(
         "state", F.when(F.col("work").isNotNull(), "queued").otherwise(F.col("state"))
     )
     rest = projects.where(F.col("event").isin("kept", "missing"))
-    result = queued.select(*PROJECT_COLUMNS).unionByName(rest.select(*PROJECT_COLUMNS))
+    result = queued.select(*columns).unionByName(rest.select(*columns))
+    if untouched is not None:
+        result = result.unionByName(untouched.select(*columns))
     verify = projects.where(
         (F.col("event") == "back")
         & F.col("last_generation_no").isNotNull()
         & F.col("state").isin("sealed", "changed")
     )
-    work = current.where(F.col("work").isNotNull()).select("id", F.col("work").alias("kind"))
-    work = verify.select("id", F.lit("verify").alias("kind")).unionByName(work)
+    work = current.where(F.col("work").isNotNull()).select(*by, "id", F.col("work").alias("kind"))
+    work = verify.select(*by, "id", F.lit("verify").alias("kind")).unionByName(work)
     in_review = current.where(F.col("state") == "needs_review").select("id")
     held = current.where(F.col("state").isin("ignored", "queued", "hashing")).select("id")
     stays = stored_items.join(in_review.unionByName(held).unionByName(
@@ -255,5 +292,7 @@ def scan_archive(
     items = diff.review_items(
         changes.join(sealed_in_review, "id", "left_semi"), stays, BY
     )
-    counts = lifecycle.scan_summary(candidates, known, errors, moved, work)
+    counts = lifecycle.scan_summary(candidates, known, errors, moved, work, by)
+    if by:
+        counts = counts.join(guard.select(*by, "unreachable"), list(by), "full_outer")
     return ScanResult(result, files, work, items, counts)

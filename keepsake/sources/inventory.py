@@ -86,6 +86,7 @@ def read_inventory(
     return reduce(DataFrame.unionByName, found)
 
 
-def listing_errors(listing: DataFrame) -> DataFrame:
+def listing_errors(listing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Folders whose listing failed: nothing below them is known to be gone."""
-    return listing.where((F.col("kind") == "folder") & F.col("error").isNotNull()).select("path")
+    failed = (F.col("kind") == "folder") & F.col("error").isNotNull()
+    return listing.where(failed).select(*by, "path")
