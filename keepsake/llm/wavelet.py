@@ -7,7 +7,8 @@ place, and the place of its k-th occurrence each take a few steps per plane, wit
 rest.
 
 File: 8 bytes of magic, a little-endian 32-bit length, a JSON header of that length, then the
-sections it lists (doc ids, lengths, planes), each compressed on its own with Zstandard.
+sections it lists (doc ids, lengths, planes), each compressed on its own with Zstandard, or as it is
+where that would save next to nothing.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from keepsake.sources.storage import open_read, replacing
 
 MAGIC = b"KSWAVE01"
 FILES_PER_TASK = 4  # that a reading task opens one after the other
+_PROBE = 1 << 14  # bytes that tell whether a section shrinks
 _BLOCK = 512  # bits between two counts of ones
 
 
@@ -52,9 +54,20 @@ def to_bytes(doc_ids: list, lengths: list[int], tokens: np.ndarray, levels: int)
     squeeze = zstandard.ZstdCompressor(level=1).compress
     planes, zeros = planes_of(tokens, levels)
     sections = [json.dumps(doc_ids).encode(), np.asarray(lengths, "<i8").tobytes()]
-    packed = [squeeze(bytes(s)) for s in [*sections, *(p.tobytes() for p in planes)]]
+    packed, raw = [], []
+    for section in [*sections, *(p.tobytes() for p in planes)]:
+        # Planes of the low bits are as good as random; the first bytes tell.
+        some = section[:_PROBE]
+        raw.append(len(some) == _PROBE and len(squeeze(some)) > 0.95 * _PROBE)
+        packed.append(section if raw[-1] else squeeze(section))
     head = json.dumps(
-        {"tokens": len(tokens), "levels": levels, "zeros": zeros, "sizes": list(map(len, packed))}
+        {
+            "tokens": len(tokens),
+            "levels": levels,
+            "zeros": zeros,
+            "sizes": list(map(len, packed)),
+            "raw": raw,
+        }
     ).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *packed])
 
@@ -68,6 +81,7 @@ class Shard:
         (size,) = struct.unpack_from("<I", data, 8)
         head = json.loads(data[12 : 12 + size])
         self.tokens, self.levels, self.zeros = head["tokens"], head["levels"], head["zeros"]
+        self._raw = head["raw"]
         at, self._sections = 12 + size, []
         for n in head["sizes"]:
             self._sections.append(data[at : at + n])
@@ -79,6 +93,8 @@ class Shard:
     def _section(self, k: int) -> bytes:
         import zstandard
 
+        if self._raw[k]:
+            return self._sections[k]
         return zstandard.ZstdDecompressor().decompress(self._sections[k])
 
     def documents(self) -> tuple[list, np.ndarray]:
