@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.config import ArchiveConfig
+from keepsake.operators.running import number_rows
 from keepsake.plans.fixtures import Fixtures
 from keepsake.plans.registry import query
 from keepsake.plans.report_queries import RESULTS, _results
@@ -12,7 +14,7 @@ from keepsake.plans.scan_queries import BOTH, DIFF, SETTLE_NOW_NS, THREE, now
 from keepsake.schemas import TABLES
 from keepsake.session import new_folder
 from keepsake.sources.tables import TableSet
-from keepsake.streaming import streams
+from keepsake.streaming import archives, streams
 
 
 def _events(fx: Fixtures) -> DataFrame:
@@ -214,3 +216,105 @@ def scan_stream(fx: Fixtures) -> DataFrame:
         )
     )
     return store.read("projects").select("archive_id", "project", "state")
+
+
+ARCHIVES = f"""
+once as (
+  select project, bool_or(bad) as bad, bool_or(added) as added from (
+    select coalesce(p.project, s.project) as project,
+           s.rel_path is not null and (p.rel_path is null or p.size <> s.size
+             or abs(p.mtime_ns - s.mtime_ns) > 1000000000) as bad,
+           s.rel_path is null as added
+    from fx_previous p full join fx_sealed s on s.project = p.project and s.rel_path = p.rel_path)
+  group by project),
+twice as (
+  select project, case when not sealed then 'unsealed' when was_bad or bad then 'needs_review'
+                       when added and settled then 'queued' when added then 'changed'
+                       else 'sealed' end as state
+  from second_scan)"""
+LOST = "src3"
+
+
+@query(
+    THREE,
+    f"""select 'a' as archive_id, project, state from twice
+        union all
+        select 'b', project, case when project = '{LOST}' then 'missing' else state end from twice
+        union all
+        select 'c', project,
+               case when project not in (select project from fx_sealed) then 'unsealed'
+                    when bad then 'needs_review' when added then 'changed' else 'sealed' end
+        from once""",
+    ctes=DIFF + "," + SCANNED + "," + ARCHIVES,
+)
+def scan_stream_archives(fx: Fixtures) -> DataFrame:
+    """Three archives, two scans each: one as it is, one that lost a project, and one whose second
+    listing is empty and so is refused. The first scans come again, late."""
+    landed, announced = new_folder(fx.spark, "snapshots"), new_folder(fx.spark, "announced")
+    names = F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("archive_id")
+    for number, view in ((1, "fx_previous"), (2, "fx_current")):
+        rows = fx[view].select(
+            names, F.lit(number).cast("bigint").alias("scan_id"),
+            F.concat_ws("/", "project", "rel_path").alias("path"), F.lit("file").alias("kind"),
+            "size", "mtime_ns", F.lit(None).cast("string").alias("error"), "project",
+        )
+        if number == 2:
+            rows = rows.where(
+                (F.col("archive_id") != "c")
+                & ((F.col("archive_id") != "b") | (F.col("project") != LOST))
+            )
+        rows.drop("project").write.mode("append").partitionBy("archive_id", "scan_id").parquet(landed)
+    for number in (1, 2, 1):
+        fx.spark.createDataFrame(
+            [(a, number) for a in "abc"], "archive_id string, scan_id bigint"
+        ).coalesce(1).write.mode("append").parquet(announced)
+    sealed = fx["fx_sealed"].select(names, "project", "rel_path", "size", "mtime_ns")
+    paths = fx["fx_previous"].select("project", F.lit(False).alias("sealed")).unionByName(
+        fx["fx_sealed"].select("project", F.lit(True).alias("sealed"))
+    )
+    known = paths.groupBy("project").agg(F.max("sealed").alias("sealed")).select(
+        names, "project", "sealed"
+    )
+    store = TableSet(fx.spark, new_folder(fx.spark, "archives"))
+    numbered = number_rows(known, [], ["archive_id", "project"], "id")
+    columns = {
+        "id": F.col("id").cast("bigint"),
+        "rel_path": F.col("project"),
+        "name": F.col("project"),
+        "state": F.when(F.col("sealed"), "sealed").otherwise("unsealed"),
+        "preexisting": F.lit(True),
+        "last_generation_no": F.when(F.col("sealed"), 1),
+        "first_seen": now(),
+    }
+    shape = fx.spark.createDataFrame([], archives.SCHEMAS["projects"])
+    archives.seed(
+        store,
+        {
+            "projects": numbered.select(
+                *[
+                    columns.get(c, F.col(c) if c == "archive_id" else F.lit(None)).cast(t).alias(c)
+                    for c, t in shape.dtypes
+                ]
+            )
+        },
+        now(),
+    )
+    scans = (
+        fx.spark.readStream.schema("archive_id string, scan_id bigint")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(announced)
+    )
+    schema = (
+        "path string, kind string, size bigint, mtime_ns bigint, error string,"
+        " archive_id string, scan_id bigint"
+    )
+    streams.run_available(
+        archives.archive_scan_stream(
+            scans, lambda: fx.spark.read.schema(schema).parquet(landed), sealed, store,
+            new_folder(fx.spark, "offsets"), now(), SETTLE_NOW_NS,
+            ArchiveConfig(project_depth=0, settle_hours=0),
+        )
+    )
+    return archives.current(store, "projects").select(
+        "archive_id", F.col("rel_path").alias("project"), "state"
+    )

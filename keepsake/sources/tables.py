@@ -158,9 +158,10 @@ class TableSet:
         if pointer is None:
             return None
         versions = [r["version"] for r in pointer.where(F.col("table") == name).collect()]
-        if not versions:
-            return None
-        # One path per publish; rows of a publish that nobody points at are not read.
+        return self.read_versions(name, versions) if versions else None
+
+    def read_versions(self, name: str, versions: Sequence[str]) -> DataFrame:
+        """The rows of certain publishes of a table; each is a folder of its own."""
         return self.spark.read.parquet(*[f"{self.path}/{name}/{v}" for v in versions])
 
     def read(self, name: str) -> DataFrame | None:
