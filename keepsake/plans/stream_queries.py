@@ -58,6 +58,14 @@ def state_change_stream(fx: Fixtures) -> DataFrame:
     )
 
 
+def _clock(fx: Fixtures) -> DataFrame:
+    """A stream with one instant, two days after the last event."""
+    path = new_folder(fx.spark, "clock")
+    last = fx.table("events").agg((F.max("ts") + F.expr("interval 2 days")).alias("ts"))
+    last.write.parquet(path)
+    return fx.spark.readStream.schema("ts timestamp").parquet(path)
+
+
 GAP_HOURS = 6
 RUNS = f"""
 stepped as (
@@ -80,14 +88,15 @@ def quiet_periods(fx: Fixtures) -> DataFrame:
     (),
     f"""select user_id, started_at, last_change_at,
                last_change_at + interval {GAP_HOURS} hour as settled_at, changes
-        from runs where last_change_at + interval {GAP_HOURS} hour
-          <= (select max(ts) from events) - interval 1 hour""",
+        from runs""",
     ctes=RUNS,
 )
 def quiescence(fx: Fixtures) -> DataFrame:
-    """Only runs the watermark has closed come out; the open ones wait for more events."""
+    """Every run of changes, the last ones too: a clock goes on after the events."""
     out = new_folder(fx.spark, "quiet")
-    rows = streams.quiescence(_events(fx), ["user_id"], "ts", f"{GAP_HOURS} hours", "1 hour")
+    rows = streams.quiescence(
+        _events(fx), ["user_id"], "ts", f"{GAP_HOURS} hours", "1 hour", _clock(fx)
+    )
     streams.run_available(streams.append_stream(rows, out, new_folder(fx.spark, "offsets")))
     return fx.spark.read.schema(rows.schema).parquet(out)
 
@@ -99,9 +108,7 @@ def quiescence(fx: Fixtures) -> DataFrame:
                 row_number() over (partition by user_id, epoch_us(ts) // 500000,
                     case cast(floor(value) % 21 as bigint) when 0 then 0 when 20 then 2 else 1 end
                   order by ts desc, cast(floor(value) % 21 as bigint) desc) as n
-         from events
-         where epoch_us(ts) // 500000 * 500000 + 500000
-               <= (select epoch_us(max(ts)) // 1000 * 1000 from events) - 60000000)
+         from events)
        where n = 1""",
 )
 def progress_rollup(fx: Fixtures) -> DataFrame:
@@ -112,7 +119,7 @@ def progress_rollup(fx: Fixtures) -> DataFrame:
         (F.floor("value") % 21).cast("bigint").alias("files_done"),
         F.lit(20).alias("files_total"),
     )
-    rows = streams.progress_rollup(progress, ["user_id"], "ts", "1 minute")
+    rows = streams.progress_rollup(progress, ["user_id"], "ts", "1 minute", clock=_clock(fx))
     streams.run_available(streams.append_stream(rows, out, new_folder(fx.spark, "offsets")))
     return fx.spark.read.schema(rows.schema).parquet(out)
 

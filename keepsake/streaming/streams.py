@@ -273,15 +273,42 @@ def quiet_periods(
     )
 
 
-def quiescence(events: DataFrame, by: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
-    """The early signal: a project's run of changes once it has been quiet for ``gap`` (stream)."""
+def with_clock(events: DataFrame, clock: DataFrame | None, time: str) -> DataFrame:
+    """``events`` with the instants of ``clock`` (a stream with a ``time`` column) marked
+    ``__tick``; without a clock no row is marked.
+
+    The watermark follows the newest instant of either, so what waits for quiet comes out although
+    nothing more happens. A tick has to land after the events before it.
+    """
+    marked = events.withColumn("__tick", F.lit(False))
+    if clock is None:
+        return marked
+    ticks = clock.select(time, F.lit(True).alias("__tick"))
+    return marked.unionByName(ticks, allowMissingColumns=True)
+
+
+def quiescence(
+    events: DataFrame,
+    by: Sequence[str],
+    time: str,
+    gap: str,
+    delay: str,
+    clock: DataFrame | None = None,
+) -> DataFrame:
+    """The early signal: a project's run of changes once it has been quiet for ``gap`` (stream).
+
+    The last run of each project comes out when ``clock`` passes its end (see :func:`with_clock`).
+    """
     events.sparkSession.conf.set(
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
     )
+    real = ~F.col("__tick")
     return (
-        events.withWatermark(time, delay)
+        with_clock(events.select(*by, time), clock, time)
+        .withWatermark(time, delay)
         .groupBy(*by, F.session_window(time, gap).alias("run"))
-        .agg(F.count(F.lit(1)).alias("changes"), F.max(time).alias("last_change_at"))
+        .agg(F.count_if(real).alias("changes"), F.max(F.when(real, F.col(time))).alias("last_change_at"))
+        .where(F.col("changes") > 0)
         .select(*by, F.col("run.start").alias("started_at"), "last_change_at",
                 F.col("run.end").alias("settled_at"), "changes")
     )
@@ -291,18 +318,25 @@ def quiescence(events: DataFrame, by: Sequence[str], time: str, gap: str, delay:
 
 
 def progress_rollup(
-    progress: DataFrame, by: Sequence[str], time: str, delay: str, every: str = "500 milliseconds"
+    progress: DataFrame,
+    by: Sequence[str],
+    time: str,
+    delay: str,
+    every: str = "500 milliseconds",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
     """At most one progress row per item and interval, and always its first and last.
 
     ``progress`` has ``files_done, files_total``. Per window: the latest row in between, a row
-    with nothing done, and a row with all done.
+    with nothing done, and a row with all done. The last rows come out when ``clock`` passes them
+    (see :func:`with_clock`).
     """
     done, total = F.col("files_done"), F.col("files_total")
     kind = F.when(done == 0, "first").when(done == total, "last").otherwise("between")
     row = F.struct(F.col(time), done, total)
     windowed = (
-        progress.withColumn("__kind", kind)
+        with_clock(progress, clock, time)
+        .withColumn("__kind", F.when(~F.col("__tick"), kind))
         .withWatermark(time, delay)
         .groupBy(*by, F.window(time, every).alias("__window"))
         .agg(
@@ -344,13 +378,18 @@ def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def verify_count_stream(
     results: DataFrame, store: TableSet, checkpoint: str, by: Sequence[str] = ("run",)
 ) -> StreamingQuery:
-    """Counts by status of each verification, kept up to date in the published table."""
-    counts = results.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("files"))
+    """Counts by status of each verification, kept up to date in the published table.
 
-    def work(batch: DataFrame, _: int) -> None:
+    Each batch is counted by itself and added to what is published, once, so the stream holds no
+    state however many runs there have been.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        key = [*by, "status"]
+        new = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("files"))
         known = store.read("verify_counts")
-        new = batch.select(*by, "status", "files")
-        merged = new if known is None else upsert(known, new, [*by, "status"])
-        store.publish({"verify_counts": merged})
+        if known is not None:
+            new = known.unionByName(new).groupBy(*key).agg(F.sum("files").alias("files"))
+        store.publish({"verify_counts": new}, run=f"verify-counts-{number}")
 
-    return _per_batch(counts, work, checkpoint, "update")
+    return _per_batch(results, work, checkpoint)
