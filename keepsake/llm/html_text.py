@@ -47,20 +47,23 @@ HOLDERS = BLOCKS - TEXT_BLOCKS
 #: Words of class and id attributes, and roles, of what stands beside the text. A compound counts
 #: if all its parts are such words, or one is and the others only say which or where.
 BESIDE_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising advertorial breadcrumb breadcrumbs comments"
-    " cookie cookies disqus footer gdpr masthead menu menubar nav navbar navigation newsletter"
-    " pagination popup promo promoted promotion recommendations recommended share sharing sidebar"
-    " sitemap social sponsor sponsored subscribe subscription toolbar".split()
+    "ad ads adsense advert advertisement advertising advertorial breadcrumb breadcrumbs"
+    " comment commentlist comments cookie cookies disqus footer gdpr masthead menu menubar"
+    " nav navbar navigation newsletter pagination popup promo promoted promotion"
+    " recommendations recommended related replies share sharing sidebar sitemap social sponsor"
+    " sponsored subscribe subscription toolbar".split()
 )
 #: Outside an article or main element only; inside they may name a part of the text.
 OUTSIDE_WORDS = frozenset(
-    "banner comment consent copyright disclaimer header modal related replies respond skip widget"
-    " widgets".split()
+    "banner consent copyright header modal respond skip widget widgets".split()
 )
+#: As the last ones, but inside a main element of blocks only: a paragraph of that name is text.
+NOTICE_WORDS = frozenset("alert alerts disclaimer notice notices".split())
 WHICH_WORDS = frozenset(
-    "area banner bar block bottom box btn button buttons consent container form global group icons"
-    " item items left link links list main message notice notices overlay page panel placeholder"
-    " policy primary right secondary section site slot sticky top unit widget widgets".split()
+    "area articles banner bar block body bottom box btn button buttons consent container content"
+    " error form global group icons info item items left legal link links list main message overlay"
+    " page panel placeholder policy post posts primary reader right secondary section site slot"
+    " sticky stories success text thread top unit user warning widget widgets".split()
 )
 BESIDE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation"
@@ -70,9 +73,11 @@ SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def names_beside(value: str, inside: bool) -> bool:
+def names_beside(value: str, inside: bool, paragraph: bool = False) -> bool:
     """Whether a token of a class or id attribute names what stands beside the text."""
     words = BESIDE_WORDS if inside else BESIDE_WORDS | OUTSIDE_WORDS
+    if not (inside and paragraph):
+        words = words | NOTICE_WORDS
     for token in value.split():
         parts = [w.lower() for w in _PART.findall(token)]
         if any(w in words for w in parts) and all(w in words or w in WHICH_WORDS for w in parts):
@@ -100,6 +105,7 @@ class _Lines(HTMLParser):
         self.parents, self.names, self.beside = [-1], [""], [False]
         # node, tag, unseen, line that goes on after it
         self._open: list[tuple[int, str, bool, _Line | None]] = []
+        self._count: dict[str, int] = {}  # open elements by tag
         self._shut = self._main = self._links = 0
         self._line: _Line | None = None
         self._tags = 0
@@ -119,7 +125,7 @@ class _Lines(HTMLParser):
             return False
         for name, value in attrs:
             if name in ("class", "id") and value:
-                if names_beside(value, self._main > 0):
+                if names_beside(value, self._main > 0, tag not in HOLDERS):
                     return True
             elif name == "role" and value and value.strip().lower() in BESIDE_ROLES:
                 return True
@@ -144,6 +150,7 @@ class _Lines(HTMLParser):
         self.names.append(tag)
         self.beside.append(beside)
         self._open.append((node, tag, unseen, self._line))
+        self._count[tag] = self._count.get(tag, 0) + 1
         self._shut += unseen
         self._links += tag == "a"
         self._main += tag in MAIN
@@ -157,6 +164,7 @@ class _Lines(HTMLParser):
 
     def _pop(self) -> None:
         node, tag, unseen, line = self._open.pop()
+        self._count[tag] -= 1
         self._shut -= unseen
         self._links -= tag == "a"
         self._main -= tag in MAIN
@@ -168,7 +176,7 @@ class _Lines(HTMLParser):
             self._tags += 1
         if tag in BLOCKS:
             self._line = None
-        if tag in VOID:
+        if tag in VOID or not self._count.get(tag):
             return
         for at in range(len(self._open) - 1, -1, -1):
             if self._open[at][1] == tag:
@@ -194,75 +202,110 @@ class _Lines(HTMLParser):
         if self._links:
             line.linked += len(data.strip())
 
-    def around(self, node: int) -> list[int]:
-        """The element and those around it, innermost first; 0 is the page."""
-        found = []
-        while node >= 0:
-            found.append(node)
-            node = self.parents[node]
-        return found
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What the standard library does not know as a marked section is passed over."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self._passed_over(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self._passed_over(i)
+
+    def _passed_over(self, i: int) -> int:
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else -1
 
 
-def shown(parser: _Lines, paths: list[list[int]], weights: np.ndarray) -> list[bool]:
+class _Tree:
+    """What the lines' elements are to each other, in a few passes over the elements.
+
+    An element's number is greater than that of the one around it, and the lines within an element
+    follow one another, so the passes run along the numbers and no line keeps a list of ancestors.
+    """
+
+    def __init__(self, parser: _Lines, nodes: list[int], weights: np.ndarray) -> None:
+        names, parents = parser.names, parser.parents
+        count = len(names)
+        self.marked = [False] * count  # in an article or main element, or one
+        self.heading = [False] * count
+        self.place = [0] * count  # the outermost main element, else the nearest holder
+        self.beside = [x for x in range(count) if parser.beside[x]]
+        for x in range(count):
+            up = parents[x]
+            self.marked[x] = names[x] in MAIN or up >= 0 and self.marked[up]
+            self.heading[x] = names[x] in HEADINGS or up >= 0 and self.heading[up]
+            if up >= 0 and self.marked[up]:
+                self.place[x] = self.place[up]
+            elif names[x] in MAIN or names[x] in HOLDERS:
+                self.place[x] = x
+            else:
+                self.place[x] = self.place[up] if up >= 0 else 0
+        self.first, self.last = [len(nodes)] * count, [-1] * count  # lines within
+        self.mass, self.heavy = [0.0] * count, [0] * count
+        for i, x in enumerate(nodes):
+            self.first[x], self.last[x] = min(self.first[x], i), max(self.last[x], i)
+            self.mass[x] += float(weights[i])
+            self.heavy[x] += bool(weights[i] > 0)
+        # Main elements with lines that an element holds: 1 for an article, 2 for main.
+        self.holds = [0] * count
+        for x in range(count - 1, 0, -1):
+            up = parents[x]
+            if self.last[x] < 0:
+                continue
+            self.first[up] = min(self.first[up], self.first[x])
+            self.last[up] = max(self.last[up], self.last[x])
+            self.mass[up] += self.mass[x]
+            self.heavy[up] += self.heavy[x]
+            self.holds[up] |= self.holds[x] | (names[x] == "article") | 2 * (names[x] == "main")
+
+
+def shown(tree: _Tree, nodes: list[int], total: float) -> np.ndarray:
     """Which lines don't stand beside the text.
 
     An element that is said to stand beside it is opened if it holds a main element; and, as long as
     no article or main element is open, if it holds one or, in several lines, most of the text that
     isn't linked. Heavy elements are asked first.
     """
-    names = parser.names
-    held: dict[int, list[int]] = {}
-    blocked = [0] * len(paths)
-    marked = [any(names[x] in MAIN for x in path) for path in paths]
-    for i, path in enumerate(paths):
-        for x in path:
-            if parser.beside[x]:
-                held.setdefault(x, []).append(i)
-                blocked[i] += 1
-    if not held:
-        return [True] * len(paths)
-    open_marks = sum(m and not b for m, b in zip(marked, blocked))
-    total = float(weights.sum())
-    mass = {x: float(weights[lines].sum()) for x, lines in held.items()}
-    for x in sorted(held, key=lambda x: (-mass[x], x)):
-        lines = held[x]
-        inner = [{names[y] for y in paths[i][: paths[i].index(x)]} & MAIN for i in lines if marked[i]]
-        if any("main" in y for y in inner):
+    blocked = np.zeros(len(nodes) + 1, np.int64)
+    held = [x for x in tree.beside if tree.last[x] >= 0]
+    for x in held:
+        blocked[tree.first[x]] += 1
+        blocked[tree.last[x] + 1] -= 1
+    blocked = np.cumsum(blocked)[:-1]
+    marked = np.array([tree.marked[x] for x in nodes])
+    open_marks = int((marked & (blocked == 0)).sum())
+    for x in sorted(held, key=lambda x: (-tree.mass[x], x)):
+        if tree.holds[x] & 2:
             opens = True
         elif open_marks:
             opens = False
         else:
-            heavy = sum(weights[i] > 0 for i in lines) > 1 and 2 * mass[x] > total
-            opens = any(inner) or heavy
+            opens = tree.holds[x] > 0 or tree.heavy[x] > 1 and 2 * tree.mass[x] > total
         if opens:
-            for i in lines:
-                blocked[i] -= 1
-                open_marks += marked[i] and not blocked[i]
-    return [not b for b in blocked]
+            own = slice(tree.first[x], tree.last[x] + 1)
+            blocked[own] -= 1
+            open_marks += int((marked[own] & (blocked[own] == 0)).sum())
+    return blocked == 0
 
 
-def grown(
-    parser: _Lines, paths: list[list[int]], core: np.ndarray, linked: np.ndarray
-) -> np.ndarray:
+def grown(tree: _Tree, nodes: list[int], core: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """The lines of the regions around the core lines.
 
     In an article or main element (the outermost) a region is the whole of it. Elsewhere it is the
     block around the paragraphs, lists and tables, less its mostly linked lines and inner blocks
     without a core line; headings right before a region belong to it.
     """
-    names = parser.names
-
-    def place(path: list[int]) -> int:
-        at = [x for x in path if names[x] in MAIN]
-        if at:
-            return at[-1]
-        return next(x for x in path if names[x] in HOLDERS or x == 0)
-
-    places = [place(path) for path in paths]
+    places = [tree.place[x] for x in nodes]
     regions = {p for p, c in zip(places, core) if c}
-    keep = np.array([p in regions and (names[p] in MAIN or not k) for p, k in zip(places, linked)])
-    for i in range(len(paths) - 2, -1, -1):
-        if keep[i + 1] and not linked[i] and any(names[x] in HEADINGS for x in paths[i]):
+    keep = np.array(
+        [p in regions and (tree.marked[x] or not k) for p, x, k in zip(places, nodes, linked)]
+    )
+    for i in range(len(nodes) - 2, -1, -1):
+        if keep[i + 1] and not linked[i] and tree.heading[nodes[i]]:
             keep[i] = True
     return keep
 
@@ -314,19 +357,20 @@ def extract(html: str | None, sigma: float = 1.0, joint: str = "\n\n") -> str:
             texts.append(text)
     if not lines:
         return ""
-    paths = [parser.around(x.node) for x in lines]
+    nodes = [x.node for x in lines]
     weights = np.array([max(len(t) - x.linked, 0) for x, t in zip(lines, texts)], float)
-    seen = [i for i, s in enumerate(shown(parser, paths, weights)) if s]
+    tree = _Tree(parser, nodes, weights)
+    seen = np.flatnonzero(shown(tree, nodes, float(weights.sum()))).tolist()
     if not seen:
         return ""
-    paths = [paths[i] for i in seen]
+    nodes = [nodes[i] for i in seen]
     lengths = np.array([len(texts[i]) for i in seen], float)
     ratios = weights[seen] / np.array([max(lines[i].tags, 1) for i in seen])
     smooth = smoothed(np.log1p(ratios), sigma)
     core = smooth >= threshold(smooth)
     linked = weights[seen] < 0.5 * lengths
-    marked = np.array([any(parser.names[x] in MAIN for x in path) for path in paths])
-    keep = grown(parser, paths, core & (marked | ~linked), linked)
+    marked = np.array([tree.marked[x] for x in nodes])
+    keep = grown(tree, nodes, core & (marked | ~linked), linked)
     return joint.join(texts[i] for i, k in zip(seen, keep) if k)
 
 

@@ -51,3 +51,39 @@ def test_parts_of_an_article_stay_and_what_stands_beside_it_goes():
     <p>{LONG * 9}<p>{LONG}</div><div class="ad-slot">{LONG}</div><aside><article>{LONG}</article></aside>"""
     assert html_text.extract(f"<article>{TEXT}</article>{other}") == WANT
     assert html_text.extract(f"<form>{TEXT}</form><div class='ad'>{LONG}</div>") == WANT
+
+
+def test_odd_markup_never_stops_a_page():
+    import random
+
+    assert html_text.extract("<p>some text</p><![foo[x]]><p>more text</p>") == "some text\n\nmore text"
+    bits = ["<", "<!", "<![", "<!--", "-->", "]]>", ">", "<p>", "</p>", "<a href='", "'", '"', "&", "&#x",
+            "text", "<![CDATA[", "<?php", "<script>", "</script>", "</", "<svg/>", "<!DOCTYPE", "[", "<![if",
+            "<![endif]>", "\x00", "</div>", "<table>"]
+    some = random.Random(5)
+    for _ in range(5000):
+        html_text.extract("".join(some.choice(bits) for _ in range(some.randrange(14))))
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    start = time.process_time()
+    for page in ("<p><b>some words here " * 60_000, "<div><aside>" * 50_000 + "text",
+                 "<b>" * 50_000 + "</div>" * 50_000, "<p>word " * 200_000):
+        html_text.extract(page)
+    assert time.process_time() - start < 60
+
+
+def test_notices_and_reader_comments_are_no_text():
+    page = (
+        "<main><article><h1>Title of it</h1><p>The text itself, long enough to be one.</p>"
+        "<div class='notice'>Mind this notice of ours.</div><div class='legal-notice'>Terms.</div>"
+        "<section id='related-work'><p>Kept as a part of the text.</p></section>"
+        "<div class='related-posts'><p>Read this too.</p></div>"
+        "<article class='comment'><p>I disagree, says a reader.</p></article>"
+        "<ol class='comment-list'><li>Me too.</li></ol></article>"
+        "<div id='post-comments'><p>Third reader.</p></div></main>"
+    )
+    assert html_text.extract(page).split("\n\n") == [
+        "Title of it", "The text itself, long enough to be one.", "Kept as a part of the text."]
