@@ -121,7 +121,8 @@ class _Lines(HTMLParser):
         if tag in BESIDE:
             # The heading of an article stands in its own header element.
             return not (tag == "header" and self._main)
-        if tag in ("html", "body", *MAIN):
+        # An article within another may be a reader's comment.
+        if tag in ("html", "body", *MAIN) and not (tag == "article" and self._main):
             return False
         for name, value in attrs:
             if name in ("class", "id") and value:
