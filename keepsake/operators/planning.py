@@ -34,10 +34,13 @@ def due_for_verification(
     return sealed.where(F.col("ref_at") <= limit).join(planned, "id", "left_anti")
 
 
-def daily_cap(projects: DataFrame, interval_days: int) -> DataFrame:
-    """One row: sealed projects and how many verifications a day cover them once per interval."""
+def daily_cap(
+    projects: DataFrame, interval_days: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per archive (or one row): sealed projects and how many verifications a day cover them once
+    per interval."""
     sealed = (F.col("state") == "sealed") & F.col("last_generation_no").isNotNull()
-    return projects.agg(F.count_if(sealed).alias("sealed")).withColumn(
+    return projects.groupBy(*by).agg(F.count_if(sealed).alias("sealed")).withColumn(
         "cap", F.ceil(F.col("sealed") / F.lit(interval_days)).cast("bigint")
     )
 
@@ -49,26 +52,37 @@ def stagger(
     interval_days: int,
     zone: str = "UTC",
     hours: WorkingHours | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Verifications to plan now: the oldest due ones up to what is left of the local day's cap.
 
-    Positions come from :func:`number_rows`; the cap and the count of those planned today are two
-    numbers read before the filter.
+    Each archive (``by``, columns of ``projects``) has its own cap and positions; without ``by`` all
+    projects are one archive. Work counts for the archive of its project. Positions come from
+    :func:`number_rows` and are joined with one row of room per archive.
     """
-    cap = daily_cap(projects, interval_days).first()["cap"]
     today = local_date(now, zone)
-    used = work.where(
+    planned_today = work.where(
         (F.col("kind") == "verify")
         & (F.col("trigger_kind") == "auto")
         & (local_date(F.col("created_at"), zone) == today)
-    ).count()
+    )
+    one = "__archive"
+    key = [*by, one]
+    caps = daily_cap(projects, interval_days, by).withColumn(one, F.lit(0))
+    if by:
+        owners = projects.select(*by, F.col("id").alias("project_id"))
+        planned_today = planned_today.drop(*by).join(owners, "project_id")
+    used = planned_today.groupBy(*by).agg(F.count(F.lit(1)).alias("used")).withColumn(one, F.lit(0))
+    room = caps.join(used, key, "left").select(
+        *key, (F.col("cap") - F.coalesce("used", F.lit(0))).alias("room")
+    )
     due = number_rows(
-        due_for_verification(projects, work, now, interval_days), [], ["ref_at", "rel_path"]
+        due_for_verification(projects, work, now, interval_days), by, ["ref_at", "rel_path"]
     )
-    picked = due.where(F.col("position") <= max(0, cap - used))
+    picked = due.withColumn(one, F.lit(0)).join(room, key).where(F.col("position") <= F.col("room"))
     if hours is not None:
         picked = picked.where(~is_working(now, hours))
-    return picked.select("id", "rel_path", "ref_at", "position")
+    return picked.select(*by, "id", "rel_path", "ref_at", "position")
 
 
 def next_verification(

@@ -193,6 +193,30 @@ def stagger(fx: Fixtures) -> DataFrame:
     return planning.stagger(fx["fx_projects"], fx["fx_jobs"], now(), DAYS)
 
 
+def _by_archive(fx: Fixtures) -> DataFrame:
+    """Projects with the first folder of their path as archive."""
+    return fx["fx_projects"].withColumn("archive_id", F.split("rel_path", "/")[0])
+
+
+@query(
+    PLANNED,
+    f"""select archive_id, id, rel_path, ref_at, position from (
+          select d.*, split_part(d.rel_path, '/', 1) as archive_id,
+                 row_number() over (partition by split_part(d.rel_path, '/', 1)
+                                    order by ref_at, d.rel_path) as position
+          from due d)
+        join (select split_part(rel_path, '/', 1) as archive_id,
+                     cast(ceil(count(*) filter (state = 'sealed' and last_generation_no is not null)
+                               / {DAYS}) as bigint) as cap
+              from fx_projects group by 1) using (archive_id)
+        where position <= cap""",
+    ctes=DUE,
+)
+def stagger_archives(fx: Fixtures) -> DataFrame:
+    """Each archive has its own daily cap."""
+    return planning.stagger(_by_archive(fx), fx["fx_jobs"], now(), DAYS, by=("archive_id",))
+
+
 NEXT = f"""
 next as (
   select id, coalesce(last_verified_at, last_sealed_at) + interval {DAYS} day as due_at
@@ -499,6 +523,34 @@ def state_counters(fx: Fixtures) -> DataFrame:
     return reports.context_sentence(reports.state_counters(fx["fx_projects"], fx["fx_jobs"]))
 
 
+@query(
+    PLANNED,
+    """select case when grouping(archive_id) = 0 then archive_id end as archive_id,
+              cast(grouping(archive_id) as int) as level,
+              count(*) filter (state not in ('ignored', 'queued work')) as projects,
+              count(*) filter (state = 'queued work') as queued_work,
+              count(*) filter (state = 'needs_review') as needs_review,
+              count(*) filter (state = 'unsealed') as unsealed,
+              count(*) filter (state = 'error') as errors,
+              count(*) filter (state = 'missing') as missing,
+              count(*) filter (state = 'sealed') as sealed,
+              count(*) filter (state = 'ignored') as ignored,
+              count(*) filter (state in ('needs_review', 'error', 'missing')) as to_decide,
+              count(*) filter (state in ('queued', 'hashing', 'changed')) as in_queue
+       from (select split_part(rel_path, '/', 1) as archive_id, state from fx_projects
+             union all
+             select split_part(p.rel_path, '/', 1), 'queued work' from fx_jobs j
+             join fx_projects p on p.id = j.project_id where j.state = 'queued')
+       group by rollup (archive_id)""",
+)
+def archive_counters(fx: Fixtures) -> DataFrame:
+    """The counters of each archive and of all of them."""
+    projects = _by_archive(fx)
+    owners = projects.select("archive_id", F.col("id").alias("project_id"))
+    work = fx["fx_jobs"].join(owners, "project_id")
+    return reports.state_counters(projects, work, ("archive_id",), totals=True)
+
+
 @query(
     ("fx_projects",),
     """select id, bucket, light, row_number() over (partition by bucket order by
