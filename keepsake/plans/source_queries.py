@@ -11,8 +11,8 @@ from keepsake.plans.fixtures import Fixtures
 from keepsake.plans.history_queries import ROLLUP, ROLLUP_SQL, _referenced, ARCHIVE, REFERENCED
 from keepsake.plans.registry import query
 from keepsake.plans.scan_queries import now
-from keepsake.session import new_folder
-from keepsake.sources import export, inventory, manifests, tables
+from keepsake.session import new_folder, stage_table
+from keepsake.sources import export, histories, inventory, manifests, tables
 
 _WRITTEN: dict[tuple[str, str, str], object] = {}
 
@@ -164,6 +164,56 @@ def read_manifests(fx: Fixtures) -> DataFrame:
     )
 
 
+def _histories(fx: Fixtures) -> DataFrame:
+    """The exported history files, found by the inventory and parsed once."""
+
+    def parse() -> DataFrame:
+        root, _ = _exported(fx)
+        listing = inventory.read_inventory(fx.spark, root, depth=0)
+        found = histories.history_paths(listing)
+        return stage_table(histories.read_histories(found, root), "histories")
+
+    return _once(fx, "histories", parse)
+
+
+@query(
+    ("fx_current",),
+    """select project, 1 as generation_no, rel_path, size, 'md5' as fmt, digest, 'original' as action,
+              strftime(make_timestamp(cast(mtime_ns // 1000 as bigint)), '%Y-%m-%dT%H:%M:%S.%fZ')
+                as modified_at
+       from fx_current""",
+)
+def read_histories(fx: Fixtures) -> DataFrame:
+    """The files of every manifest, from the inventory's paths."""
+    return histories.section(_histories(fx), "file").select(
+        F.col("folder").alias("project"), "generation_no", "rel_path", "size", "fmt", "digest",
+        "action", "modified_at",
+    )
+
+
+@query(("fx_current",), ROLLUP_SQL, ctes=ROLLUP)
+def read_history_folders(fx: Fixtures) -> DataFrame:
+    return histories.section(_histories(fx), "folder").select(
+        F.col("folder").alias("project"), "rel_path", "content", "structure"
+    )
+
+
+@query(
+    ("fx_current",),
+    """select distinct project, 1 as generation_no,
+              '0001_' || project || '_1998-06-01_120000Z.mhl' as manifest, 'ok' as status
+       from fx_current""",
+)
+def chain_against_bytes(fx: Fixtures) -> DataFrame:
+    """Every chain entry's C4 against the bytes of its manifest."""
+    found = _histories(fx)
+    key = ("folder",)
+    out = generations.verify_chain(
+        histories.section(found, "chain"), histories.section(found, "bytes"), key
+    )
+    return out.select(F.col("folder").alias("project"), "generation_no", "manifest", "status")
+
+
 @query(("fx_current",), ROLLUP_SQL, ctes=ROLLUP)
 def read_manifest_folders(fx: Fixtures) -> DataFrame:
     root, _ = _exported(fx)
