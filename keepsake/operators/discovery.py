@@ -82,7 +82,20 @@ def stray_entries(
     if depth < 0:
         raise ValueError("project_depth must be >= 0")
     parts = components(F.col("path"))
-    return listing.where((F.size(parts) <= depth + 1) & _usable(parts, prefixes)).orderBy("path")
+    above = (F.size(parts) <= depth + 1) & (F.col("kind") != "empty")
+    return listing.where(above & _usable(parts, prefixes)).orderBy("path")
+
+
+def empty_folders(
+    listing: DataFrame,
+    depth: int = 1,
+    prefixes: str = IGNORE_PREFIXES,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``rel_path`` of the project folders that are listed with nothing in them."""
+    parts = components(F.col("path"))
+    here = (F.col("kind") == "empty") & (F.size(parts) == depth + 1) & _usable(parts, prefixes)
+    return listing.where(here).select(*by, F.col("path").alias("rel_path")).distinct()
 
 
 def regular_files(listing: DataFrame) -> DataFrame:

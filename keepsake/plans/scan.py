@@ -164,13 +164,15 @@ def scan_archive(
     key, columns = [*by, "rel_path"], [*by, *PROJECT_COLUMNS]
     found = discovery.discover_projects(listing, depth, prefixes, by)
     untouched = None
+    # An emptied project is listed: its archive is there, and it is the project that is gone.
+    listed = found.select(*key).unionByName(discovery.empty_folders(listing, depth, prefixes, by))
     if by:
-        guard = stage(lifecycle.unreachable_guard(found, known, by))  # one row per archive
+        guard = stage(lifecycle.unreachable_guard(listed, known, by))  # one row per archive
         shut = guard.where("unreachable").select(*by)
         untouched = known.join(shut, list(by), "left_semi")
         known = known.join(shut, list(by), "left_anti")
     else:
-        lifecycle.require_reachable(found, known)
+        lifecycle.require_reachable(listed, known)
     contents = discovery.project_contents(
         listing, depth, prefixes, DEFAULT_PATTERNS, config.exclude_globs, by
     )

@@ -54,7 +54,8 @@ def read_inventory(
     Folders that the ignore prefixes or patterns drop are not descended into. Each round lists the
     folders the round before found, spread over new tasks, so a huge project does not stay with
     the task that met it first. A folder that cannot be listed is a row with ``error``, kind
-    ``folder``; entries that cannot be read likewise.
+    ``folder``; entries that cannot be read likewise. A project's folder, or one below it, that has
+    no entry is a row of kind ``empty``: the project is there, with nothing in it.
     """
     prune = _prunes(depth, prefixes, patterns)
 
@@ -62,8 +63,10 @@ def read_inventory(
         out = []
         for batch in batches:
             for folder in batch["path"]:
+                entry = None
                 try:
-                    for name, kind, size, mtime, error in entries(f"{root}/{folder}"):
+                    for entry in entries(f"{root}/{folder}"):
+                        name, kind, size, mtime, error = entry
                         path = f"{folder}/{name}" if folder else name
                         if kind != "folder" or not prune(path):
                             out.append((path, kind, size, mtime, error))
@@ -72,6 +75,9 @@ def read_inventory(
                             out = []
                 except OSError as exc:
                     out.append((folder, "folder", 0, 0, exc.strerror or str(exc)))
+                else:
+                    if entry is None and folder and folder.count("/") >= depth:
+                        out.append((folder, "empty", 0, 0, None))
         yield pd.DataFrame(out, columns=columns)
 
     columns = ["path", "kind", "size", "mtime_ns", "error"]

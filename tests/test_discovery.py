@@ -185,3 +185,14 @@ def test_effective_patterns_only_grow(spark):
     assert got["q"] == [*DEFAULT_PATTERNS, "*.md", "old"]
     projects = spark.createDataFrame([(1,)], "last_generation_no int")
     assert discovery.removed_globs(["*.md", "*.txt"], ["*.txt"], projects).first()[1] == "*.md"
+
+
+def test_emptied_projects_are_listed(spark, tmp_path, rows):
+    for folder in ("2024/p", "2024/q/sub", "2024/r"):
+        (tmp_path / folder).mkdir(parents=True)
+    (tmp_path / "2024/r/a.mov").write_bytes(b"x")
+    listing = read_inventory(spark, str(tmp_path))
+    assert rows(listing, "path", "kind") == [
+        ("2024/p", "empty"), ("2024/q/sub", "empty"), ("2024/r/a.mov", "file")]
+    assert rows(discovery.empty_folders(listing)) == [("2024/p",)]
+    assert discovery.stray_entries(listing).count() == 0

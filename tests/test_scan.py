@@ -113,3 +113,10 @@ def test_scanning_twice_settles(spark, rows):
     previous = [(r.id, r.rel_path) for r in first.files.collect()]
     second = scan(spark, listed, known, previous=previous)
     assert rows(second.work, "kind") == [("seal",), ("seal",)]
+
+
+def test_an_emptied_archive_loses_its_projects(spark, rows):
+    known = [project(1, "y/a", "sealed"), project(2, "y/b", "unsealed", sealed=False)]
+    listed = {"y/a": ("empty", 0, 0, None), "y/b/sub": ("empty", 0, 0, None)}
+    out = scan(spark, listed, known)
+    assert rows(out.projects, "rel_path", "state") == [("y/a", "missing"), ("y/b", "missing")]
