@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         task, "part long, key int, values binary"
     )
     out = np.zeros((CHUNKS, WORDS * DIMS // CHUNKS))
-    for row in sum_arrays(counted).collect():  # CHUNKS rows, 6 MB in all
+    for row in sum_arrays(counted, at_once=16).collect():  # CHUNKS rows, 6 MB in all
         out[row["key"]] = np.frombuffer(bytes(row["values"]), "<i8")
     table = np.sign(out) * np.sqrt(np.abs(out))
     table = table.reshape(WORDS, DIMS)
