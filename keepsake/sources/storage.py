@@ -34,12 +34,20 @@ def open_read(path: str) -> BinaryIO:
     return system.open_input_stream(name)
 
 
+def _open_new(path: str) -> BinaryIO:
+    """Opened for writing; the folder is only looked after if it is not there."""
+    try:
+        return open(path, "wb")
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
+
+
 def open_write(path: str) -> BinaryIO:
     """A new file under a name nobody else uses."""
     local = local_path(path)
     if local is not None:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        return open(local, "wb")
+        return _open_new(local)
     system, name = _remote(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(name)
@@ -63,9 +71,8 @@ def replacing(path: str) -> Iterator[BinaryIO]:
     mark = f".{uuid.uuid4().hex}.tmp"
     if local is not None:
         folder, name = os.path.split(local)
-        os.makedirs(folder, exist_ok=True)
         beside = os.path.join(folder, f".{name}{mark}")
-        with open(beside, "wb") as out:
+        with _open_new(beside) as out:
             yield out
         os.replace(beside, local)
         return
@@ -76,6 +83,17 @@ def replacing(path: str) -> Iterator[BinaryIO]:
     system.move(name + mark, name)
 
 
+def touch(path: str) -> None:
+    """Give a file the mtime of now; its bytes stay as they are."""
+    local = local_path(path)
+    if local is not None:
+        os.utime(local)
+        return
+    with open_read(path) as source, replacing(path) as out:
+        while block := source.read(1 << 20):
+            out.write(block)
+
+
 def entries(folder: str) -> Iterator[tuple[str, str, int, int, str | None]]:
     """``(name, kind, size, mtime_ns, error)`` of a folder's entries; no content is read.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.hashing import c4_text
 from keepsake.operators import discovery, rollup
-from keepsake.plans import whole_seal
+from keepsake.plans import seal_queries, whole_seal
+from keepsake.plans.fixtures import Fixtures
 from keepsake.plans.whole_seal import Maker, latest, seal_archive
 from keepsake.sources import export, inventory
 from keepsake.sources.tables import TableSet
@@ -120,3 +121,39 @@ def test_origin_digests_that_differ_go_to_review(spark, tmp_path):
     expected = spark.createDataFrame(rows, "project string, rel_path string, fmt string, digest string")
     out = seal(spark, root, store, expected=expected, primary="xxh128")
     assert states(out) == {"a": ("sealed", 1), "b": ("needs_review", None)}
+
+
+def test_the_second_state_replaces_only_what_changed(spark, tmp_path):
+    """Every other file keeps its bytes in place and gets a new mtime, so it is read again."""
+    rows = [(i, f"text {i}", "en", f"src{i % 4}") for i in range(70)]
+    rows += [(98, None, "en", "src0"), (5, "text 5", "en", "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "data/documents.parquet"))
+    fx, root = Fixtures(spark, str(tmp_path / "data")), str(tmp_path / "archive")
+
+    def found():
+        out = {}
+        for at, _, names in os.walk(root):
+            for name in names:
+                path = os.path.join(at, name)
+                with open(path, "rb") as f:
+                    out[os.path.relpath(path, root)] = (os.stat(path), f.read())
+        return out
+
+    def wanted(number):
+        states = spark.sql(
+            f"with {seal_queries.STATES} select concat(project, '/', rel_path), text from states"
+            f" where run_no = {number}").collect()
+        return {path: text.encode() for path, text in states}
+
+    seal_queries._write(fx, root, 1)
+    first = found()
+    assert {p: data for p, (_, data) in first.items()} == wanted(1)
+    seal_queries._write(fx, root, 2)
+    second = found()
+    assert {p: data for p, (_, data) in second.items()} == wanted(2)
+    over = {p for p in first if first[p][1] != second[p][1]}
+    assert over == {"src0/en/36.mov", "src0/en/98.wav", "src3/en/5.EXR", "src3/en/67"}
+    for path in first.keys() - over:
+        assert first[path][0].st_ino == second[path][0].st_ino
+        assert first[path][0].st_mtime_ns < second[path][0].st_mtime_ns
