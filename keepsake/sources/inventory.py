@@ -83,8 +83,10 @@ def read_inventory(
     columns = ["path", "kind", "size", "mtime_ns", "error"]
     found: list[DataFrame] = []
     todo, waiting = spark.createDataFrame([("",)], "path string"), 1
+    at_least = 4 * spark.sparkContext.defaultParallelism
     while waiting:
-        tasks = max(1, -(-waiting // folders_per_task))
+        # Few folders may hold many files each: spread them over the cluster all the same.
+        tasks = max(-(-waiting // folders_per_task), min(waiting, at_least))
         level = stage(todo.repartition(tasks, "path").mapInPandas(visit, LISTING))
         found.append(level.where((F.col("kind") != "folder") | F.col("error").isNotNull()))
         todo = level.where((F.col("kind") == "folder") & F.col("error").isNull()).select("path")

@@ -157,3 +157,10 @@ def test_the_second_state_replaces_only_what_changed(spark, tmp_path):
     for path in first.keys() - over:
         assert first[path][0].st_ino == second[path][0].st_ino
         assert first[path][0].st_mtime_ns < second[path][0].st_mtime_ns
+
+
+def test_few_folders_are_listed_by_many_tasks(spark, tmp_path):
+    put(str(tmp_path), {f"p{i}/{n}.mov": "x" for i in range(9) for n in range(3)})
+    listing = inventory.read_inventory(spark, str(tmp_path), depth=0)
+    assert listing.where("kind = 'file'").count() == 27
+    assert listing.rdd.getNumPartitions() >= 9
