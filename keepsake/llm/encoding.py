@@ -7,9 +7,14 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from keepsake.llm.common import kept
 
-#: A worker keeps the ids of so many words (or of one batch's) and then starts anew.
+#: A worker keeps the ids of so many words (or of one batch's) and then starts anew; of twice as
+#: many where words are kept without the signs behind them.
 KEPT_WORDS = 400_000
 
 # Letters whose lower case and composed forms are letters too, and signs that no pattern of the
@@ -18,8 +23,8 @@ _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
 _SIGNS = r".,!?$%&*#|"
 _ODD_SPACE = r"\s\x1c-\x1f\x85"
 
-#: Cuts at places where the tokenizer's own pattern always cuts, given text whose only white
-#: space is blanks and line ends. Other white space comes out alone and is then handled by
+#: Cuts at places where the byte-level tokenizer's own pattern always cuts, given text whose only
+#: white space is blanks and line ends. Other white space comes out alone and is then handled by
 #: encoding the whole text.
 _BYTE_LEVEL = re.compile(
     rf" ?[{_LETTERS}]+(?=[ \n{_SIGNS}]|\Z)| ?[{_SIGNS}]+(?=[ \n]|\Z)| ?[^{_ODD_SPACE}]+"
@@ -27,9 +32,7 @@ _BYTE_LEVEL = re.compile(
 )
 
 _WORD = re.compile(rf" ?[{_LETTERS}]+")
-_WORD_AND_SIGNS = re.compile(rf"([{_LETTERS}]+)([{_SIGNS}]*)")
-#: White space to Python, and none (or not surely so) to the tokenizers' patterns.
-_DOUBTFUL_SPACE = re.compile("[\x1c-\x1f\x85]")
+_LETTERS_ONLY = re.compile(rf"[{_LETTERS}]+")
 
 
 def _byte_signs() -> dict[int, str]:
@@ -43,6 +46,18 @@ def _byte_signs() -> dict[int, str]:
 _BYTE_SIGNS = _byte_signs()
 
 
+class _Words(dict):
+    """Ids by word; those of a word that is not there are made by ``of`` and kept."""
+
+    def __init__(self, of: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._of = of
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._of(word)
+        return ids
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
@@ -63,7 +78,7 @@ class Encoder:
         self._kept = kept_words
         self._ids: dict[str, bytes] = {}
         self._stems: dict[str, bytes] = {}
-        self._signs: dict[str, bytes] = {}
+        self._others = _Words(lambda word: self._new([word])[0])
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.top_id = max([*self._tokenizer.get_vocab(with_added_tokens=True).values(), 0])
@@ -97,43 +112,66 @@ class Encoder:
             written = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
         return array("I", [t.id for t in self._tokenizer.model.tokenize(written)]).tobytes()
 
+    def _between_signs(self, words: list[str]) -> list[bytes]:
+        """The ids of words that stand between white space: most often letters, then signs."""
+        stems, others, out = self._stems, self._others, []
+        for word in words:
+            stem = word.rstrip(_SIGNS)
+            ids = stems.get(stem)
+            if ids is None:
+                if not _LETTERS_ONLY.fullmatch(stem):
+                    out.append(others[word])
+                    continue
+                low = stem.lower()
+                ids = stems[stem] = stems.get(low) or self._stem(low)
+            if len(stem) != len(word):
+                ids += others[word[len(stem) :]]
+            out.append(ids)
+        return out
+
     def _of_words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        if self._cut is str.split:
-            stems, of_signs = self._stems, self._signs
-            for word in words:
-                ids = None
-                if found := _WORD_AND_SIGNS.fullmatch(word):
-                    stem, signs = found.groups()
-                    stem = stem.lower()
-                    ids = stems.get(stem)
-                    if ids is None:
-                        ids = stems[stem] = self._stem(stem)
-                    if signs:
-                        more = of_signs.get(signs)
-                        if more is None:
-                            more = of_signs[signs] = self._new([signs])[0]
-                        ids += more
-                out.append(ids)
-            if len(stems) > self._kept:
-                self._stems = {}
-            if len(of_signs) > self._kept:
-                self._signs = {}
-        else:
-            out = [self._stem(w) if _WORD.fullmatch(w) else None for w in words]
+        out = [self._stem(w) if _WORD.fullmatch(w) else None for w in words]
         rest = [w for w, ids in zip(words, out) if ids is None]
         more = iter(self._new(rest) if rest else ())
         return [next(more) if ids is None else ids for ids in out]
 
-    def _odd(self, text: str, new_odd: set[str], words: list[str]) -> bool:
-        """Whether the whole text has to go to the library."""
-        if self._cut is str.split:
-            doubtful = _DOUBTFUL_SPACE.search(text) is not None
-        else:
-            doubtful = bool(new_odd) and not new_odd.isdisjoint(words)
-        return doubtful or any(a in text for a in self._added)
+    def _holds_added(self, text: str) -> bool:
+        return any(a in text for a in self._added)
+
+    def _between_space(self, texts: pa.Array) -> list[bytes]:
+        """Ids where white space is dropped: what stands between ASCII white space is a word.
+
+        Arrow cuts the texts and numbers the batch's distinct words; only these are looked up, and
+        their ids are laid out by number. Other white space stays inside a word, for the library.
+        """
+        if len(self._stems) + len(self._others) > 2 * self._kept:
+            self._stems.clear()
+            self._others.clear()
+        cut = pc.ascii_split_whitespace(texts)
+        words = cut.flatten().dictionary_encode()
+        found = self._between_signs(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        number = words.indices.to_numpy()
+        size = sizes[number]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(firsts[number] - ends[:-1], size)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        bounds = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))]
+        out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        for added in self._added:
+            for i in np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)):
+                out[i] = self._new([texts[i].as_py()])[0]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        if self._cut is str.split:
+            return self._between_space(
+                texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+            )
+        if isinstance(texts, pa.Array):
+            texts = texts.to_pylist()
         if self._cut is None:
             return self._new(texts)
         words = list(map(self._cut, texts))
@@ -141,15 +179,14 @@ class Encoder:
         new = every.difference(self._ids)
         if len(self._ids) + len(new) > self._kept:
             self._ids, new = {}, every
-        odd: set[str] = set()
-        if self._cut is not str.split:
-            odd = {w for w in new if w.isspace() and w.strip(" \n") or w in "\x1c\x1d\x1e\x1f\x85"}
+        # White space that the pattern may not cut as it is cut here: the whole text is encoded.
+        odd = {w for w in new if w.isspace() and w.strip(" \n") or w in "\x1c\x1d\x1e\x1f\x85"}
         if new := list(new - odd):
             self._ids.update(zip(new, self._of_words(new)))
         known = self._ids
         out = []
         for text, own in zip(texts, words):
-            if self._odd(text, odd, own):
+            if odd and not odd.isdisjoint(own) or self._holds_added(text):
                 out += self._new([text])
             else:
                 out.append(b"".join(map(known.__getitem__, own)))

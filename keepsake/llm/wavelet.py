@@ -240,7 +240,7 @@ def write_shards(
 
         for batch in slices(batches):
             encoder = encoder or encoder_of(tokenizer)
-            encoded = encoder.encode(batch.column(1).to_pylist())
+            encoded = encoder.encode(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)

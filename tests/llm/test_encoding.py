@@ -3,6 +3,7 @@
 import random
 from array import array
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -28,3 +29,17 @@ def test_ids_are_the_library_s(name, kept):
             batch, own.encode(batch), library.encode_batch(batch, add_special_tokens=False)
         ):
             assert ids == array("I", want.ids).tobytes(), text[:80]
+
+
+def test_a_batch_s_words_are_looked_up_once(monkeypatch):
+    path = queries.tokenizer("word_bpe_49k.json")
+    own, library = Encoder(path, 20), Tokenizer.from_file(path)
+    texts = ["left out", "", " \n\t", "the Cat, the cat,\u00a0the\u3000CAT", "<|endoftext|>the\x1c(916) x."] * 9
+    texts += [" the cat " * 500, "\u212ba \u1e9e \u0130x ??? ,a 12.", "last\x0bone\x85"]
+    seen, inner = [], own._between_signs
+    monkeypatch.setattr(own, "_between_signs", lambda words: seen.append(words) or inner(words))
+    for at in (1, 11):
+        found = own.encode(pa.array(texts)[at:])
+        wanted = library.encode_batch(texts[at:], add_special_tokens=False)
+        assert found == [array("I", w.ids).tobytes() for w in wanted]
+    assert len(seen) == 2 and all(len(words) == len(set(words)) < 30 for words in seen)
