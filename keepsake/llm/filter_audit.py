@@ -7,6 +7,9 @@ as a duplicate; the stream's state holds, for each text, the smallest id so far
 have it, and those rows' counts are moved to "no duplicate". When a smaller id arrives, the earlier
 ones are moved back: the counters get what was stated before with a minus.
 
+The state is keyed by buckets of texts, not by the text: a call to the state store costs as much as
+many texts, so a batch reads and writes each bucket once.
+
 Counters are kept per part (the row's source), set of failed filters and labels. There are few of
 them, and all figures of all orders are sums of them.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -23,7 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    DataType,
+    IntegerType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from keepsake.llm.common import slices, texts_of
 from keepsake.session import new_folder
@@ -36,6 +48,9 @@ _CONTINUED = bytes(range(0x80, 0xC0))  # bytes of a character that do not begin
 #: Texts, or counters, that a task combines before it hands them on.
 _COMBINED = 100_000
 _NO_ID_SALTS = 4096
+#: Keys of the state; a task holds the texts of one of them at a time.
+_BUCKETS = 4096
+_KEY_BYTES = 32  # of a text's SHA-256
 
 _COUNTER = "part string, mask int, good int, toxic int, n long"
 
@@ -92,11 +107,12 @@ def _read(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(task, StructType([id_field, *rest.schema]))
 
 
-def _combined(rows: DataFrame) -> DataFrame:
+def _combined(rows: DataFrame, buckets: int) -> DataFrame:
     """Counters of each task's rows, and of each text its rows with the smallest id.
 
     A counter has no id and a short key of its own; rows without an id are only counted. What is
-    handed on of a text does not grow with its copies but with the tasks that met it.
+    handed on of a text does not grow with its copies but with the tasks that met it. A key's
+    first bytes say which of the ``buckets`` it is in.
     """
     id_type = rows.schema["doc_id"].dataType
 
@@ -114,9 +130,11 @@ def _combined(rows: DataFrame) -> DataFrame:
                 found += [(key, doc_id, part, mask, good, toxic, n)
                           for (part, good, toxic), n in own.items()]
             kinds = [pa.binary(), arrow_type, pa.string(), *[pa.int32()] * 3, pa.int64()]
+            bucket = [int.from_bytes(key[:8], "big") % buckets for key, *_ in found]
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*found), kinds)],
-                names=["key", "doc_id", "part", "mask", "good", "toxic", "n"],
+                [pa.array(bucket, pa.int32()),
+                 *(pa.array(c, k) for c, k in zip(zip(*found), kinds))],
+                names=["bucket", "key", "doc_id", "part", "mask", "good", "toxic", "n"],
             )
 
         for batch in batches:
@@ -140,6 +158,7 @@ def _combined(rows: DataFrame) -> DataFrame:
 
     schema = StructType(
         [
+            StructField("bucket", IntegerType()),
             StructField("key", rows.schema["key"].dataType),
             StructField("doc_id", id_type),
             *rows.sparkSession.createDataFrame([], _COUNTER).schema,
@@ -177,61 +196,97 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 
 
 class SmallestIds(StatefulProcessor):
-    """Per text: the smallest id so far and its rows. Gives changes of the counters."""
+    """Per text: the smallest id so far and its rows. Gives changes of the counters.
+
+    A key is a bucket of texts. Its state is a list with one entry for each batch that changed
+    something: the keys of the changed texts, their smallest ids and those ids' rows. Of a text in
+    several entries the last one holds.
+    """
 
-    def __init__(self, state: StructType) -> None:
-        self._schema = state
+    def __init__(self, id_type: DataType) -> None:
+        self._schema = StructType(
+            [
+                StructField("keys", BinaryType()),
+                StructField("ids", ArrayType(id_type)),
+                StructField("rows", StringType()),
+            ]
+        )
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._least = handle.getValueState("least", self._schema)
+        self._least = handle.getListState("least", self._schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
-        least, mask, own = None, 0, {}
+        changes: Counter = Counter()
+        texts: dict[bytes, list] = {}
         for row in rows:
+            kind = row.part, row.good, row.toxic
             if row.doc_id is None:
-                yield Row(part=row.part, mask=row.mask, good=row.good, toxic=row.toxic, n=row.n)
+                changes[row.part, row.mask, row.good, row.toxic] += row.n
                 continue
-            if least is None or row.doc_id < least:
-                least, mask, own = row.doc_id, row.mask, {}
-            if row.doc_id == least:
-                kind = row.part, row.good, row.toxic
-                own[kind] = own.get(kind, 0) + row.n
-        if least is None:
-            return
-        # A value that was never set comes as None.
-        before = self._least.get()
-        if before is not None and before[0] < least:
-            return
-        yield from self._moved(own, mask | _E, mask)
-        if before is not None:
-            earlier = {(p, g, t): n for p, g, t, n in json.loads(before[1])}
-            if before[0] == least:
-                for kind, n in earlier.items():
-                    own[kind] = own.get(kind, 0) + n
-            else:
-                yield from self._moved(earlier, mask, mask | _E)
-        self._least.update((least, json.dumps([[*kind, n] for kind, n in own.items()])))
+            least = texts.get(row.key)
+            if least is None or row.doc_id < least[0]:
+                texts[row.key] = [row.doc_id, row.mask, {kind: row.n}]
+            elif row.doc_id == least[0]:
+                least[2][kind] = least[2].get(kind, 0) + row.n
+        if texts:
+            before = self._before(texts)
+            changed = []
+            for text, (least, mask, own) in texts.items():
+                earlier_id, earlier = before.get(text, (None, {}))
+                if earlier_id is not None and earlier_id < least:
+                    continue
+                self._move(changes, own, mask | _E, mask)
+                if earlier_id == least:
+                    for kind, n in earlier.items():
+                        own[kind] = own.get(kind, 0) + n
+                else:
+                    self._move(changes, earlier, mask, mask | _E)
+                changed.append((text, least, [[*kind, n] for kind, n in own.items()]))
+            if changed:
+                keys, ids, own_rows = zip(*changed)
+                self._least.appendValue((b"".join(keys), list(ids), json.dumps(own_rows)))
+        for (part, mask, good, toxic), n in changes.items():
+            if n:
+                yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
+
+    def _before(self, texts: dict[bytes, list]) -> dict[bytes, tuple]:
+        """Smallest id and its rows of those of ``texts`` that came in earlier batches."""
+        found = {}
+        for keys, ids, rows in self._least.get():
+            keys = bytes(keys)
+            own_rows = json.loads(rows)
+            for i, doc_id in enumerate(ids):
+                text = keys[i * _KEY_BYTES : (i + 1) * _KEY_BYTES]
+                if text in texts:
+                    found[text] = doc_id, {(p, g, t): n for p, g, t, n in own_rows[i]}
+        return found
 
     @staticmethod
-    def _moved(own: dict, source: int, target: int) -> Iterator[Row]:
+    def _move(changes: Counter, own: dict, source: int, target: int) -> None:
         for (part, good, toxic), n in own.items():
-            yield Row(part=part, mask=source, good=good, toxic=toxic, n=-n)
-            yield Row(part=part, mask=target, good=good, toxic=toxic, n=n)
+            changes[part, source, good, toxic] -= n
+            changes[part, target, good, toxic] += n
 
     def close(self) -> None:
         pass
 
 
 def count_stream(
-    docs: DataFrame, labels: DataFrame, counters: str, checkpoint: str, seconds: int = 24 * 3600
+    docs: DataFrame,
+    labels: DataFrame,
+    counters: str,
+    checkpoint: str,
+    seconds: int = 24 * 3600,
+    buckets: int = _BUCKETS,
 ) -> DataFrame:
     """Run the stream ``docs`` (doc_id, text, source) to the end of what is there.
 
     ``labels`` (doc_id, quality, toxic) is a table; a row is good, or toxic, if any label of its
     id says so with 1. Each micro-batch writes the changes it makes to ``counters`` under its own
-    number, so a repeated one replaces them. Started again with the same folders, the stream takes
-    only files that are new. Returns part, mask (bits of the failed filters, A lowest), good,
-    toxic, n.
+    number, so a repeated one replaces them. Started again with the same folders and ``buckets``,
+    the stream takes only files that are new. A micro-batch reads the state of every bucket that it
+    has a text of, so a few large ones are cheaper than many small ones. Returns part, mask (bits
+    of the failed filters, A lowest), good, toxic, n.
     """
     spark = docs.sparkSession
     known = (
@@ -252,11 +307,10 @@ def count_stream(
             F.coalesce("good", none).alias("good"), F.coalesce("toxic", none).alias("toxic"),
         )
     )
-    combined = _combined(labelled)
-    state = StructType([combined.schema["doc_id"], StructField("rows", StringType())])
+    combined = _combined(labelled, buckets)
     schema = spark.createDataFrame([], _COUNTER).schema
-    changes = combined.groupBy("key").transformWithState(
-        statefulProcessor=SmallestIds(state),
+    changes = combined.groupBy("bucket").transformWithState(
+        statefulProcessor=SmallestIds(combined.schema["doc_id"].dataType),
         outputStructType=schema,
         outputMode="Update",
         timeMode="None",

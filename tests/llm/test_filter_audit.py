@@ -3,8 +3,11 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql.types import LongType
 
 from keepsake.llm import filter_audit, queries
 from tools.check_oracle import oracle, rows_of
@@ -95,6 +98,66 @@ def test_later_files_are_taken_up_where_the_stream_stood(spark, tmp_path):
     assert counted() == [("p", 17, 0, 0, 2), ("q", 17, 0, 0, 1), ("r", 1, 1, 0, 1)]
 
 
+def test_texts_that_share_a_bucket_are_kept_apart(spark, tmp_path):
+    some = random.Random(7)
+    texts = [f"text {i}" for i in range(40)] + [None, ""]
+    # Ids fall and rise from file to file; some are met again with the same text, some with another.
+    files = [[(some.randrange(base, base + 60), some.choice(texts), some.choice("ab")) for _ in range(50)]
+             for base in (200, 120, 160, 90)]
+    files[2] += files[0][:10]
+    files[3] += [(None, "text 1", "a"), (10, "text 2", "b")]
+    docs = str(tmp_path / "docs")
+    write(spark, docs, files)
+    stream = spark.readStream.schema("doc_id long, text string, source string").option("maxFilesPerTrigger", 1)
+    labels = spark.createDataFrame([(10, 1, 1)], "doc_id long, quality int, toxic int")
+    got = filter_audit.count_stream(
+        stream.parquet(docs), labels, str(tmp_path / "counters"), str(tmp_path / "offsets"), buckets=3)
+    want = Counter((part, sum(1 << "ABCDE".index(x) for x in fails), int(i == 10), int(i == 10))
+                   for i, part, fails in plain_fails([r for f in files for r in f]))
+    assert {tuple(r)[:4]: r.n for r in got.collect()} == want
+
+
+class _Store:
+    """A list state that counts its calls, and the handle that gives it."""
+
+    def __init__(self):
+        self.entries, self.calls = [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.entries))
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls.append("append")
+        self.entries.append(value)
+
+
+def test_a_bucket_calls_the_state_once_however_many_texts_it_has():
+    store, seen = _Store(), Counter()
+    processor = filter_audit.SmallestIds(LongType())
+    processor.init(store)
+
+    def batch(ids):
+        store.calls.clear()
+        rows = [Row(bucket=0, key=k.to_bytes(32, "big"), doc_id=i, part="p", mask=1, good=0, toxic=0, n=1)
+                for k, i in enumerate(ids)]
+        found = list(processor.handleInputRows((0,), iter(rows), None))
+        for r in found:
+            seen[r.mask] += r.n
+        return len(found), store.calls
+
+    # Each row was counted as a duplicate (17) where it was read; its text's first is none (1).
+    assert batch(range(1000, 2000)) == (2, ["get", "append"]) and seen == {1: 1000, 17: -1000}
+    # Half the texts come with smaller ids, which takes the place of the earlier ones.
+    assert batch([*range(500), *range(2000, 2500)]) == (0, ["get", "append"])
+    assert store.entries[1][1] == list(range(500)) and seen == {1: 1000, 17: -1000}
+    # Larger ids change nothing, and the last entry of a text holds.
+    assert batch([*range(1, 501), *range(1501, 2001)]) == (0, ["get"])
+
+
 def test_an_empty_table_gives_no_rows(spark, tmp_path):
     write(spark, str(tmp_path / "docs"), [[]])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
