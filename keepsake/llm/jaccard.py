@@ -51,6 +51,8 @@ CHUNKS = 32  # pieces in which the counts travel
 PROFILE = 128  # ranges of hashes that are counted per set
 AT_ONCE = 1 << 18  # signatures that leave a task in one batch
 MOST_BITS = 1 << 27  # of a Bloom filter, whatever the number of its members
+# A staged table gets a file for so many documents or n-grams of theirs, whichever gives more.
+DOCUMENTS_A_FILE, NGRAMS_A_FILE = 1 << 14, 1 << 23
 _SMALL = np.uint64(0x5851F42D4C957F2D)  # marks signatures among small sets
 
 
@@ -374,16 +376,19 @@ def _likely(pairs: DataFrame, profiles: DataFrame, spec: Spec) -> DataFrame:
     return both.mapInArrow(task, f"a {kind}, b {kind}")
 
 
-def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
+def _linked(
+    pairs: DataFrame, profiles: DataFrame, docs: DataFrame, spec: Spec, files: int
+) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough.
 
     Both joins are between tables as they were written, so Spark splits the rows of a hot node.
+    What it has split is dealt out anew, not joined together, for the ``files`` of a table.
     """
     context = docs.sparkSession.sparkContext
-    pairs = stage_table(_likely(pairs, profiles, spec), "likely-pairs")
+    pairs = stage_table(_likely(pairs, profiles, spec).repartition(files), "likely-pairs")
     ends = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
     wanted = context.broadcast(bloom(F.col("a.k1"), ends))
-    sets = stage_table(_sets_of(docs, wanted, spec), "sets")
+    sets = stage_table(_sets_of(docs, wanted, spec), "sets", files=files)
     wanted.destroy()
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
@@ -402,11 +407,11 @@ def _linked(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, spec: Spec)
     return both.select("a", "b", "set_a", "set_b").mapInArrow(task, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node and the least node that its edges (a, b) lead to.
 
     Every round each node takes the least label of its neighbours and then the label of its label;
-    rounds go on until nothing changes, each written to the shared folder.
+    rounds go on until nothing changes, each written to the shared folder, in ``files`` at most.
     """
     pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("next"))
     both = stage_table(
@@ -414,12 +419,14 @@ def components(edges: DataFrame) -> DataFrame:
         .filter(~F.col("node").eqNullSafe(F.col("next")))
         .distinct(),
         "edges",
+        files=files,
     )
     labels = stage_table(
         both.groupBy("node").agg(F.min("next").alias("least")).select(
             "node", F.least("node", "least").alias("label")
         ),
         "labels",
+        files=files,
     )
     while True:
         theirs = labels.select(F.col("node").alias("next"), F.col("label").alias("theirs"))
@@ -433,6 +440,7 @@ def components(edges: DataFrame) -> DataFrame:
                 "node", F.col("label").alias("was"), F.least("label", "near").alias("label")
             ),
             "labels",
+            files=files,
         )
         onward = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = stage_table(
@@ -440,6 +448,7 @@ def components(edges: DataFrame) -> DataFrame:
                 "node", "was", F.coalesce("further", "label").alias("label")
             ),
             "labels",
+            files=files,
         )
         labels = after.select("node", "label")
         if after.filter(~F.col("was").eqNullSafe(F.col("label"))).isEmpty():
@@ -462,7 +471,9 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         "doc_id", _node().alias("node"), "n_shingles"
     )
     full = rows.filter(F.col("n_shingles") > 0)
-    documents = max(full.count(), 1)
+    documents, ngrams = full.agg(F.count("*"), F.sum("n_shingles")).first()
+    documents, ngrams = max(documents, 1), ngrams or 0
+    files = max(-(-documents // DOCUMENTS_A_FILE), -(-ngrams // NGRAMS_A_FILE))
     counts = np.zeros((CHUNKS, BINS // CHUNKS), np.int64)
     counted = read.filter(F.col("values").isNotNull()).select("part", "key", "values")
     for row in sum_arrays(counted, dtype="<u4").collect():  # CHUNKS rows, 8 MB in all
@@ -476,6 +487,7 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .groupBy(_node().alias("node"))
         .agg(F.first("n_shingles").alias("n"), F.first("profile").alias("profile")),
         "profiles",
+        files=files,
     )
     met = stage_table(
         _index(docs, shared, documents, spec)
@@ -485,6 +497,7 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .filter(F.col("low") != F.col("high"))
         .select("sig"),
         "signatures",
+        files=files,
     )
     wanted = context.broadcast(bloom(F.col("sig"), met))
     members = stage_table(
@@ -492,6 +505,7 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .distinct()
         .select("sig", _node().alias("node"), "n", "place"),
         "members",
+        files=files,
     )
     # Both are written out, so executors need not keep them.
     wanted.destroy()
@@ -506,6 +520,7 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .filter(F.col("low") != F.col("high"))
         .select("sig", "pivot"),
         "pivots",
+        files=files,
     )
     first = stage_table(
         members.join(pivots, "sig")
@@ -521,14 +536,16 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         )
         .distinct(),
         "pairs",
+        files=files,
     )
-    groups = components(_linked(first, profiles, docs, spec))
+    groups = components(_linked(first, profiles, docs, spec, files), files)
 
     labelled = stage_table(
         members.join(groups, "node", "left").select(
             "sig", "node", "n", "place", F.coalesce("label", "node").alias("label")
         ),
         "members",
+        files=files,
     )
     mixed_up = stage_table(
         labelled.groupBy("sig")
@@ -536,8 +553,9 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .filter(F.col("low") != F.col("high"))
         .select("sig"),
         "signatures",
+        files=files,
     )
-    rest = stage_table(labelled.join(mixed_up, "sig"), "members")
+    rest = stage_table(labelled.join(mixed_up, "sig").repartition(files), "members")
     one, two = rest.alias("x"), rest.alias("y")
     second = stage_table(
         one.join(
@@ -553,11 +571,12 @@ def join_groups(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
         "pairs",
+        files=files,
     )
     labels = groups
     if not second.isEmpty():
         edges = groups.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(edges.union(_linked(second, profiles, docs, spec)))
+        labels = components(edges.union(_linked(second, profiles, docs, spec, files)), files)
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))

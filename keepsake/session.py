@@ -92,11 +92,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (keeps column pruning)."""
+def stage_table(
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), files: int | None = None
+) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back (keeps column pruning).
+
+    ``files`` is how many tasks write at most: else few rows make as many files as there are shuffle
+    partitions, and for each file Hadoop's local file system starts processes of its own.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    writer = df.write.mode("overwrite")
+    writer = (df.coalesce(files) if files else df).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

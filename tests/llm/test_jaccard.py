@@ -1,9 +1,14 @@
 """Long texts in the Jaccard join."""
 
+import os
+from collections import Counter
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 
 from keepsake.llm import jaccard
+from keepsake.session import new_folder
 
 
 @pytest.mark.parametrize("percent", [50, 60, 80, 90])
@@ -50,3 +55,23 @@ def test_a_group_of_long_copies_in_some_hundred_rows(spark):
     rows += [(i, long_text(i, 12_000, 0.004 * (i % 4))) for i in range(90)]
     got = groups(spark, rows, jaccard.Spec(5, 80))
     assert got == {i: 0 if i < 90 else i for i, _ in rows}
+
+
+def test_staged_tables_have_files_for_their_rows_not_for_the_partitions(
+    spark, many_segments, monkeypatch
+):
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    monkeypatch.setattr(jaccard, "DOCUMENTS_A_FILE", 64, raising=False)
+    top = os.path.dirname(urlparse(new_folder(spark, "any")).path)
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    rows = [(i, f"one text of group {i % 40} a{i % 40} b{i % 40} c{i % 40}") for i in range(120)]
+    try:
+        got = groups(spark, rows + [(i, f"a{i} text b{i}") for i in range(200, 208)], jaccard.Spec(2, 90))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == {i: i % 40 if i < 200 else i for i in got} and len(got) == 128
+    files = Counter()
+    for table in set(os.listdir(top)) - before:
+        if not table.startswith("shingle-counts"):  # as many as the texts were read in
+            files[table] = sum(f.startswith("part-") for f in os.listdir(f"{top}/{table}"))
+    assert len(files) > 5 and max(files.values()) <= 2
