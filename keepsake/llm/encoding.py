@@ -13,9 +13,8 @@ import pyarrow.compute as pc
 
 from keepsake.llm.common import kept
 
-#: A worker keeps the ids of so many words (or of one batch's) and then starts anew; of twice as
-#: many where words are kept without the signs behind them.
-KEPT_WORDS = 400_000
+#: A worker keeps the ids of so many words (or of one batch's) and then starts anew.
+KEPT_WORDS = 800_000
 
 # Letters whose lower case and composed forms are letters too, and signs that no pattern of the
 # two known tokenizers joins with a letter before them.
@@ -31,8 +30,16 @@ _BYTE_LEVEL = re.compile(
     r"|[ \n]+(?![^ \n])|[ \n]+|[\s\S]"
 )
 
-_WORD = re.compile(rf" ?[{_LETTERS}]+")
 _LETTERS_ONLY = re.compile(rf"[{_LETTERS}]+")
+_WORD = re.compile(rf" ?[{_LETTERS}]+")
+
+#: Where the byte-level pattern does not cut before each blank and around each line end: in longer
+#: white space, at the end of a text, and at other white space (the zero byte marks cuts).
+_UNEVEN = (
+    r"[ \n]{3}|[ \n]{2}\z|[\x00\t\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
 def _byte_signs() -> dict[int, str]:
@@ -44,6 +51,7 @@ def _byte_signs() -> dict[int, str]:
 
 
 _BYTE_SIGNS = _byte_signs()
+_BLANK = _BYTE_SIGNS[0x20]
 
 
 class _Words(dict):
@@ -58,14 +66,21 @@ class _Words(dict):
         return ids
 
 
+def _before_blanks(texts: pa.Array) -> pa.Array:
+    """What the byte-level pattern parts in even texts: words with the blank before them, and line
+    ends."""
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+    return pc.split_pattern(marked, "\0")
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
     The result is that of ``Tokenizer.encode(text, add_special_tokens=False)``. Where the
     tokenizer's file shows one of the two known patterns, texts are cut into words first and each
     distinct word is encoded once; any other tokenizer encodes whole texts. The byte-level pattern
-    cuts before blanks and signs; the lower-case one drops white space, so there what stands between
-    white space is a word, signs included.
+    cuts before blanks and around line ends; the lower-case one drops white space, so there what
+    stands between white space is a word. Signs behind a word are looked up apart from it.
     """
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
@@ -76,7 +91,6 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._kept = kept_words
-        self._ids: dict[str, bytes] = {}
         self._stems: dict[str, bytes] = {}
         self._others = _Words(lambda word: self._new([word])[0])
         with open(path, encoding="utf-8") as f:
@@ -84,21 +98,23 @@ class Encoder:
         self.top_id = max([*self._tokenizer.get_vocab(with_added_tokens=True).values(), 0])
         self._added = [t["content"] for t in parts.get("added_tokens") or ()]
         self._cut = self._pattern(parts)
+        self._lower = self._cut is pc.ascii_split_whitespace
+        self._letters = _LETTERS_ONLY if self._lower else _WORD
 
     @staticmethod
-    def _pattern(parts: dict) -> Callable[[str], list[str]] | None:
+    def _pattern(parts: dict) -> Callable[[pa.Array], pa.Array] | None:
         before, normal = parts.get("pre_tokenizer") or {}, parts.get("normalizer")
         plain = not parts.get("truncation") and not parts.get("padding")
         if plain and normal is None and before.get("type") == "ByteLevel":
             if before.get("use_regex") and not before.get("add_prefix_space"):
-                return _BYTE_LEVEL.findall
+                return _before_blanks
         steps = [n.get("type") for n in (normal or {}).get("normalizers", ())]
         cuts = [p.get("type") for p in before.get("pretokenizers", ())]
         if plain and steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]:
             split = before["pretokenizers"][0]
             words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
             if split["pattern"] == {"Regex": words} and split["behavior"] == "Removed":
-                return str.split
+                return pc.ascii_split_whitespace
         return None
 
     def _new(self, texts: list[str]) -> list[bytes]:
@@ -107,47 +123,55 @@ class Encoder:
 
     def _stem(self, word: str) -> bytes:
         """The ids of letters that are one unit of the pattern: the library's model takes them."""
-        written = word
-        if " " in word or not word.isascii():
+        if not word.isascii():
             written = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        else:
+            written = word if word[0] != " " else _BLANK + word[1:]
         return array("I", [t.id for t in self._tokenizer.model.tokenize(written)]).tobytes()
 
     def _between_signs(self, words: list[str]) -> list[bytes]:
-        """The ids of words that stand between white space: most often letters, then signs."""
+        """The ids of words that the pattern parts from their neighbours: most often letters, then
+        signs."""
         stems, others, out = self._stems, self._others, []
         for word in words:
             stem = word.rstrip(_SIGNS)
             ids = stems.get(stem)
             if ids is None:
-                if not _LETTERS_ONLY.fullmatch(stem):
+                if not self._letters.fullmatch(stem):
                     out.append(others[word])
                     continue
-                low = stem.lower()
-                ids = stems[stem] = stems.get(low) or self._stem(low)
+                if self._lower:
+                    low = stem.lower()
+                    ids = stems.get(low) or self._stem(low)
+                else:
+                    ids = self._stem(stem)
+                stems[stem] = ids
             if len(stem) != len(word):
                 ids += others[word[len(stem) :]]
             out.append(ids)
         return out
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        out = [self._stem(w) if _WORD.fullmatch(w) else None for w in words]
-        rest = [w for w, ids in zip(words, out) if ids is None]
-        more = iter(self._new(rest) if rest else ())
-        return [next(more) if ids is None else ids for ids in out]
+    def _uneven(self, text: str) -> bytes:
+        """The ids of a text with white space that the pattern may cut in other places."""
+        if _ODD.search(text):
+            return self._new([text])[0]
+        return b"".join(self._between_signs(_BYTE_LEVEL.findall(text)))
 
-    def _holds_added(self, text: str) -> bool:
-        return any(a in text for a in self._added)
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that Arrow cuts into words.
 
-    def _between_space(self, texts: pa.Array) -> list[bytes]:
-        """Ids where white space is dropped: what stands between ASCII white space is a word.
-
-        Arrow cuts the texts and numbers the batch's distinct words; only these are looked up, and
-        their ids are laid out by number. Other white space stays inside a word, for the library.
+        Arrow also numbers the batch's distinct words; only these are looked up, and their ids are
+        laid out by number.
         """
-        if len(self._stems) + len(self._others) > 2 * self._kept:
+        if len(self._stems) + len(self._others) > self._kept:
             self._stems.clear()
             self._others.clear()
-        cut = pc.ascii_split_whitespace(texts)
+        whole = texts
+        if not self._lower:
+            uneven = pc.match_substring_regex(texts, _UNEVEN)
+            if uneven.true_count:
+                texts = pc.if_else(uneven, "", texts)
+        cut = self._cut(texts)
         words = cut.flatten().dictionary_encode()
         found = self._between_signs(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -160,37 +184,20 @@ class Encoder:
         ids = np.frombuffer(b"".join(found), "<u4")[at]
         bounds = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))]
         out = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        if not self._lower:
+            for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
+                out[i] = self._uneven(whole[i].as_py())
         for added in self._added:
-            for i in np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)):
-                out[i] = self._new([texts[i].as_py()])[0]
+            for i in np.flatnonzero(pc.match_substring(whole, added).to_numpy(zero_copy_only=False)):
+                out[i] = self._new([whole[i].as_py()])[0]
         return out
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
-        if self._cut is str.split:
-            return self._between_space(
-                texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-            )
-        if isinstance(texts, pa.Array):
-            texts = texts.to_pylist()
         if self._cut is None:
-            return self._new(texts)
-        words = list(map(self._cut, texts))
-        every = set().union(*words)
-        new = every.difference(self._ids)
-        if len(self._ids) + len(new) > self._kept:
-            self._ids, new = {}, every
-        # White space that the pattern may not cut as it is cut here: the whole text is encoded.
-        odd = {w for w in new if w.isspace() and w.strip(" \n") or w in "\x1c\x1d\x1e\x1f\x85"}
-        if new := list(new - odd):
-            self._ids.update(zip(new, self._of_words(new)))
-        known = self._ids
-        out = []
-        for text, own in zip(texts, words):
-            if odd and not odd.isdisjoint(own) or self._holds_added(text):
-                out += self._new([text])
-            else:
-                out.append(b"".join(map(known.__getitem__, own)))
-        return out
+            return self._new(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+        return self._by_words(
+            texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        )
 
 
 def encoder(path: str) -> Encoder:

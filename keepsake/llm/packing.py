@@ -108,7 +108,7 @@ def pack(
         for batch in slices(batches):
             encoder = encoder or encoder_of(tokenizer)
             id_type = batch.column(0).type
-            encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            encoded = encoder.encode(batch.column(1).fill_null(""))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
                 ids += end
                 n = len(ids) // 4

@@ -43,3 +43,20 @@ def test_a_batch_s_words_are_looked_up_once(monkeypatch):
         wanted = library.encode_batch(texts[at:], add_special_tokens=False)
         assert found == [array("I", w.ids).tobytes() for w in wanted]
     assert len(seen) == 2 and all(len(words) == len(set(words)) < 30 for words in seen)
+
+
+def test_byte_level_words_are_looked_up_once(monkeypatch):
+    path = queries.tokenizer("byte_bpe_50k.json")
+    own, library = Encoder(path, 20), Tokenizer.from_file(path)
+    texts = ["left out", "", " ", "\n", "the Cat, the cat,\n\nthe  Cat\n The CAT.", "a \nb\n", "don't?!"] * 9
+    texts += [" the cat " * 500, "caña Épée ß", "<|endoftext|>the cat"]
+    uneven = ["a   b", "a\n\n\nb", "a \n b", "end  ", "end \n", "\n\n", "    in\n        in", "a\tb", "a\0 b"]
+    uneven += ["a\x1cb", "a\x85 b", "a  　b", "\r\na   ", "  a\x0b\x0cb"]
+    seen, inner = [], own._between_signs
+    monkeypatch.setattr(own, "_between_signs", lambda words: seen.append(words) or inner(words))
+    for some, calls in ((texts[1:], 1), (uneven + texts, None)):
+        seen.clear()
+        found = own.encode(pa.array(["left out", *some])[1:])
+        wanted = library.encode_batch(some, add_special_tokens=False)
+        assert found == [array("I", w.ids).tobytes() for w in wanted]
+        assert calls is None or len(seen) == calls and len(seen[0]) == len(set(seen[0])) < 30
