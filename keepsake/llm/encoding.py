@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 
 from keepsake.llm.common import kept
 
-#: A worker keeps the ids of so many words (or of one batch's) and then starts anew.
+#: A worker keeps the ids of so many words (or of one batch's) and then starts anew; of a quarter
+#: for the byte-level pattern, where a word with and without a blank or a capital letter is two.
 KEPT_WORDS = 800_000
 
 # Letters whose lower case and composed forms are letters too, and signs that no pattern of the
@@ -83,14 +84,13 @@ class Encoder:
     stands between white space is a word. Signs behind a word are looked up apart from it.
     """
 
-    def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
+    def __init__(self, path: str, kept_words: int | None = None) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._kept = kept_words
         self._stems: dict[str, bytes] = {}
         self._others = _Words(lambda word: self._new([word])[0])
         with open(path, encoding="utf-8") as f:
@@ -100,6 +100,7 @@ class Encoder:
         self._cut = self._pattern(parts)
         self._lower = self._cut is pc.ascii_split_whitespace
         self._letters = _LETTERS_ONLY if self._lower else _WORD
+        self._kept = kept_words or (KEPT_WORDS if self._lower else KEPT_WORDS // 4)
 
     @staticmethod
     def _pattern(parts: dict) -> Callable[[pa.Array], pa.Array] | None:

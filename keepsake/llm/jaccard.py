@@ -52,7 +52,7 @@ PROFILE = 128  # ranges of hashes that are counted per set
 AT_ONCE = 1 << 18  # signatures that leave a task in one batch
 MOST_BITS = 1 << 27  # of a Bloom filter, whatever the number of its members
 # A staged table gets a file for so many documents or n-grams of theirs, whichever gives more.
-DOCUMENTS_A_FILE, NGRAMS_A_FILE = 1 << 14, 1 << 23
+DOCUMENTS_A_FILE, NGRAMS_A_FILE = 1 << 13, 1 << 22
 _SMALL = np.uint64(0x5851F42D4C957F2D)  # marks signatures among small sets
 
 

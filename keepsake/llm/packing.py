@@ -122,6 +122,8 @@ def pack(
                 waiting, waits = [], 0
         if waiting:
             yield from placed(waiting)
+            del waiting
+            pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return docs.mapInArrow(
         task,
